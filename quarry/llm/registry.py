@@ -7,20 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.near_dedup import near_duplicates
+from quarry.llm.quality import fit_quality, score_quality
 from quarry.llm.suffix_dedup import remove_repeats
 from quarry.llm.tables import table
+from quarry.llm.urls import judge_urls
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality_classifier, op8_minhash_near_dedup, op9_url_filters)}
 
 
 #: op8: word sets by string functions, all pairs that share a shingle, and reachability by a recursive query.
