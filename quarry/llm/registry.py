@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.embedding_dedup import embedding_duplicates
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
 from quarry.llm.suffix_dedup import remove_repeats
@@ -13,6 +14,10 @@ from quarry.llm.tables import table
 from quarry.llm.urls import judge_urls
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -31,8 +36,25 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_quality_classifier, op8_minhash_near_dedup, op9_url_filters)}
-
+    return {f.__name__: f for f in (op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op8_minhash_near_dedup, op9_url_filters)}
+
+
+#: op2: all pairs of a label by the dot product over the norms, and reachability by a recursive query.
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (SELECT vec_id AS a, vec_id AS r FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.r
+), comp AS (SELECT a AS vec_id, min(r) AS component_id FROM reach GROUP BY 1
+), n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
 
 #: op8: word sets by string functions, all pairs that share a shingle, and reachability by a recursive query.
 OP8_SQL = r"""
@@ -56,4 +78,4 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, component_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_near_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL}
