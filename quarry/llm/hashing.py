@@ -88,10 +88,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, hasher: Polynomial) -> tuple[np.ndarray, np.ndarray]:
+#: For words of letters and digits: every ASCII byte that is neither, beside white space.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[128:] = NO_LETTER[48:58] = NO_LETTER[65:91] = NO_LETTER[97:123] = False
+
+
+def words(data: np.ndarray, offsets: np.ndarray, hasher: Polynomial, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the mixed 64-bit hash of every word in the buffer, A-Z lower-cased, and the number of words of each text."""
     data = _LOWER[data]
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    inside = np.concatenate([[False], ~between[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[0::2], edge[1::2]
     hashes = splitmix(hasher.spans(hasher.prefix(data), start, end) ^ (end - start).astype(U64))

@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.decontaminate import mark_contaminated
 from quarry.llm.embedding_dedup import embedding_duplicates
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
+from quarry.llm.sharding import assign_shards
 from quarry.llm.suffix_dedup import remove_repeats
 from quarry.llm.tables import table
+from quarry.llm.token_counts import read_pieces, token_counts
 from quarry.llm.urls import judge_urls
 
 
+#: Vocabulary of the token counts and of the lattice; a file of public tokenizers.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), read_pieces(PIECES))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -27,6 +38,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "slot", "shard")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
@@ -35,8 +50,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage")
+
+
+_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op6_sharding, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op8_minhash_near_dedup, op9_url_filters)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 #: op2: all pairs of a label by the dot product over the norms, and reachability by a recursive query.
