@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import mark_contaminated
 from quarry.llm.embedding_dedup import embedding_duplicates
+from quarry.llm.lattice import Pieces, encode_samples
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
 from quarry.llm.sharding import assign_shards
@@ -38,6 +39,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_lattice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_samples(table(spark, sf_dir, "documents"), Pieces.from_model(PIECES), k=2, ids=False)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "slot", "shard")
 
@@ -54,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage")
 
 
-_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op6_sharding, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
+_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op5_lattice_samples, op6_sharding, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
