@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import mark_contaminated
 from quarry.llm.embedding_dedup import embedding_duplicates
+from quarry.llm.html_extract import extract_main_text
 from quarry.llm.lattice import Pieces, encode_samples
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
@@ -47,6 +48,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "slot", "shard")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
 
@@ -59,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage")
 
 
-_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op5_lattice_samples, op6_sharding, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
+_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op5_lattice_samples, op6_sharding, op7_html_extraction, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
