@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 #: A table of ids is broadcast only if it has at most this many rows (8 bytes each, 4 MB); larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 
+_own_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="quarry-")
+    return _own_folders[app]
 
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
