@@ -13,6 +13,7 @@ All draws are hashes of the row's key, the sample, the word and the step, so res
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,7 +21,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ from quarry.llm.hashing import U64, splitmix
 
 SPACE = "▁"
 #: Pieces never reach over a boundary between these, so a text's lattice is a chain of its words' lattices.
-_WORD = regex.compile(r" *[^ \n]+| +|\n+")
+_WORD = re.compile(r" *[^ \n]+| +|\n+")
 #: Characters of words whose lattices are built together.
 _CHARS = 1 << 19
 #: Agenda entries this far below the best can't be drawn in double precision: a Gumbel draw from 53 bits lies between -4 and 37.
@@ -73,13 +73,16 @@ class Pieces:
 
     @cached_property
     def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(sorted hashes, their ids, a table of hash beginnings that occur, the longest piece)."""
+        """(sorted hashes, their ids, a table of the hash beginnings of all beginnings of pieces, the longest piece)."""
         longest = max(map(len, self.texts), default=1)
         ends = np.cumsum([len(t) for t in self.texts])
         hashes = _spans(_prefix(_points("".join(self.texts))), np.concatenate([[0], ends[:-1]]), ends) if self.texts else np.zeros(0, U64)
         order = np.argsort(hashes)
-        table = np.zeros(1 << 20, bool)
-        table[(hashes >> U64(44)).astype(np.int64)] = True
+        table = np.zeros(1 << 22, bool)
+        starts = sorted({t[:n] for t in self.texts for n in range(1, len(t) + 1)})
+        stops = np.cumsum([len(t) for t in starts])
+        if starts:
+            table[(_spans(_prefix(_points("".join(starts))), np.concatenate([[0], stops[:-1]]), stops) >> U64(42)).astype(np.int64)] = True
         return hashes[order], order, table, longest
 
 
@@ -123,13 +126,15 @@ class Lattice:
         prefix = _prefix(points)
         rows, pieces_found, lengths = [], [], []
         single = np.zeros(len(points), bool)
+        alive = place  # where what was read so far begins a piece
         for n in range(1, longest + 1):
-            at = place[place + n <= stop]
+            at = alive[alive + n <= stop[alive]]
             if not len(at):
                 break
             h = _spans(prefix, at, at + n)
-            maybe = table[(h >> U64(44)).astype(np.int64)]
-            at, h = at[maybe], h[maybe]
+            maybe = table[(h >> U64(42)).astype(np.int64)]
+            alive = at = at[maybe]
+            h = h[maybe]
             spot = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
             good = hashes[spot] == h if len(hashes) else np.zeros(len(h), bool)
             at, found = at[good], ids[spot[good]]
@@ -239,7 +244,7 @@ def gumbel_top_k(lattice: Lattice, words: np.ndarray, seed: int, walks: list[tup
                 at = done + ways
                 draw = (splitmix(at.astype(U64) * U64(0x9FB21C651E98DF25) + salts[sample]) >> U64(11)).astype(np.float64) * 2.0**-53
                 v = _below((after - log_q)[ways] + np.log(mass[ways]), value, draw)
-                best = np.argsort(-v)[: k + 1] if len(v) > k + 1 else np.arange(len(v))  # no more can be expanded
+                best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else np.arange(len(v))  # no more can be expanded
                 for x, t in zip(v[best].tolist(), at[best].tolist(), strict=True):
                     own = frozenset([int(path[t])])
                     agenda.append((x, sample, t, own | taken if t == first else own))
@@ -301,7 +306,7 @@ def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> I
     low = 0
     while low < len(texts):
         high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high]) <= 4 * _CHARS):
+        while high < len(texts) and (high == low or size + len(texts[high]) <= 8 * _CHARS):
             size += len(texts[high])
             high += 1
         yield from _sample(texts[low:high], keys[low:high], pieces, k)
