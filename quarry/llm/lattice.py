@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ class Lattice:
             degree[at + word[at] + 1] += 1
         self.start = np.cumsum(degree)
         filled, m = self.start[:-1].copy(), int(self.start[-1])
-        node, self.piece, self.to, weight = np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
+        node, self.piece, self.to, weight = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m)
         for k in range(len(rows) - 1, -1, -1):  # of a node's edges the longest come first
             own = rows[k] + word[rows[k]]
             spot = filled[own]
@@ -174,10 +175,13 @@ class Lattice:
             heads = np.flatnonzero(np.concatenate([[True], node[e[1:]] != node[e[:-1]]])) if len(e) else e
             if len(e):
                 back[node[e[heads]]] = np.logaddexp.reduceat(weight[e] + back[self.to[e]], heads)
-        self.log_q = weight + back[self.to] - back[node]
+        del by, far, rows, pieces_found
+        weight += back[self.to]
+        weight -= back[node]
+        self.log_q = weight
         self.q = np.minimum(np.exp(self.log_q), 1.0)
-        total = np.cumsum(self.q)
-        self.below = total - np.concatenate([[0.0], total])[self.start[node]]  # the share of the edge and those before it
+        total = np.concatenate([[0.0], np.cumsum(self.q)])
+        self.below = total[1:] - total[self.start[node]]  # the share of the edge and those before it
         self.below[self.start[1:] - 1] = 2.0  # the last edge takes what rounding leaves; the end of a word has none
         self.final = self.to == np.repeat(self.end, size + 1)[node] if nodes else np.zeros(0, bool)
 
@@ -196,12 +200,12 @@ class Lattice:
         while len(live):
             live = live[node[live] < self.end[word[live]]]
             e = self.step(node[live], uniform(seed[live], step))
-            edges.append(e)
-            own.append(live)
+            edges.append(e.astype(np.int32))
+            own.append(live.astype(np.int32))
             node[live] = self.to[e]
             step += 1
-        edges, own = np.concatenate(edges), np.concatenate(own)
-        return edges[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(word))
+        own = np.concatenate(own)
+        return np.concatenate(edges)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(word))
 
 
 def _times(n: int, factor: int) -> np.uint64:
@@ -306,7 +310,7 @@ def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> I
     low = 0
     while low < len(texts):
         high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high]) <= 8 * _CHARS):
+        while high < len(texts) and (high == low or size + len(texts[high]) <= 3 * _CHARS):
             size += len(texts[high])
             high += 1
         yield from _sample(texts[low:high], keys[low:high], pieces, k)
@@ -356,10 +360,24 @@ def _sample(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> Iterat
         yield out
 
 
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a piece's texts, but for one long text, are read as one group and its token ids stay small."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        low, total = 0, 0
+        for k, n in enumerate(size.tolist()):
+            if k > low and total + n > 3 * _CHARS:
+                yield batch.slice(low, k - low)
+                low, total = k, 0
+            total += n
+        if batch.num_rows > low:
+            yield batch.slice(low)
+
+
 def _encoder(pieces: Pieces, k: int, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, probability, score, trip, digest, tokens, at = [], [], [], [], [], [], 0
+        for batch in _pieces_of(batches):
+            n, probability, score, trip, digest, tokens = [], [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = [i if i is not None else int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
             for text, found in zip(texts, sample_texts(texts, keys, pieces, k), strict=True):
