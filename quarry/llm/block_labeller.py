@@ -224,7 +224,7 @@ def training_page(random: np.random.Generator) -> tuple[list[Block], np.ndarray]
     inner = "".join(body)
     if random.random() < 0.2:
         inner += noise(_AFTER[:10])
-    main = wrapped(_MAIN[random.integers(len(_MAIN))], inner)
+    main = inner if random.random() < 0.08 else wrapped(_MAIN[random.integers(len(_MAIN))], inner)
     if random.random() < 0.3:
         main = wrapped(random.choice(["div", 'div class="wrapper"', 'div class="container"', "main"]), main)
     before = "".join(noise(_AROUND) for _ in range(random.integers(0, 4)))
