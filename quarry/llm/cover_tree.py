@@ -8,8 +8,10 @@ import numpy as np
 
 #: Radii of the levels below the root; each half the one above.
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
-_SLACK = 1e-7
-_PAIRS = 1 << 19
+#: Distances come from dot products of unit vectors; near 0 they are off by about 1e-7.
+_SLACK = 1e-6
+#: Pairs whose distances are taken together.
+_PAIRS = 1 << 15
 
 
 @dataclass
@@ -53,7 +55,7 @@ class CoverTree:
             else:
                 rest, done = self.order[a:b].copy(), []
                 while len(rest):  # the first of the rest becomes a center and takes what it covers
-                    near = np.linalg.norm(self.x[rest] - self.x[rest[0]], axis=1) <= r
+                    near = self.x[rest] @ self.x[rest[0]] >= 1 - r * r / 2
                     near[0] = True
                     done.append(rest[near])
                     rest = rest[~near]
@@ -82,12 +84,10 @@ def threshold_pairs(a: CoverTree, b: CoverTree, cosine: float):
     (p < q by place), and a node met with itself comes as equal member arrays.
     """
     reach, same = np.sqrt(max(0.0, 2 - 2 * cosine)), a is b
-    stack = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    zero = np.zeros(1, np.int64)
+    stack = [(0, zero, zero)]
     while stack:
         depth, i, j = stack.pop()
-        if len(i) > _PAIRS:
-            stack += [(depth, i[k : k + _PAIRS], j[k : k + _PAIRS]) for k in range(0, len(i), _PAIRS)]
-            continue
         la, lb = a.levels[depth], b.levels[depth]
         if depth == len(a.levels) - 1:
             p, q = la.center[i], lb.center[j]
@@ -97,18 +97,34 @@ def threshold_pairs(a: CoverTree, b: CoverTree, cosine: float):
             if good.any():
                 yield "point", p[good], q[good]
             continue
-        d = np.linalg.norm(a.x[la.center[i]] - b.x[lb.center[j]], axis=1)
-        r = la.radius[i] + lb.radius[j]
-        within = (d + r <= reach - _SLACK) & ((np.diff(la.start)[i] > 1) | (np.diff(lb.start)[j] > 1))
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.x[la.center[i]], b.x[lb.center[j]])))
+        within = (d + la.radius[i] + lb.radius[j] <= reach - _SLACK) & ((np.diff(la.start)[i] > 1) | (np.diff(lb.start)[j] > 1))
         for m, n in zip(i[within].tolist(), j[within].tolist(), strict=True):
             yield "node", a.order[la.start[m] : la.start[m + 1]], b.order[lb.start[n] : lb.start[n + 1]]
-        rest = (d - r <= reach + _SLACK) & ~within
-        i, j = i[rest], j[rest]
-        if len(i):
-            size = (la.first[i + 1] - la.first[i]) * (lb.first[j + 1] - lb.first[j])
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // _PAIRS)) + 1
-            for x, y in zip(np.split(i, cuts), np.split(j, cuts), strict=True):
+        i, j = i[~within], j[~within]
+        size = (la.first[i + 1] - la.first[i]) * (lb.first[j + 1] - lb.first[j])
+        below = a.levels[depth + 1], b.levels[depth + 1]
+        for m, n in zip(i[size > _PAIRS].tolist(), j[size > _PAIRS].tolist(), strict=True):  # a product of matrices for two large families
+            cj = np.arange(lb.first[n], lb.first[n + 1])
+            step = max(1, _PAIRS * 8 // len(cj))
+            for low in range(int(la.first[m]), int(la.first[m + 1]), step):
+                ci = np.arange(low, min(low + step, int(la.first[m + 1])))
+                d2 = 2 - 2 * a.x[below[0].center[ci]] @ b.x[below[1].center[cj]].T
+                bound = reach + _SLACK + below[0].radius[ci][:, None] + below[1].radius[cj][None, :]
+                keep = d2 <= bound * bound
+                if same:
+                    keep &= ci[:, None] <= cj[None, :]
+                x, y = np.nonzero(keep)
+                stack += [(depth + 1, ci[x[k : k + _PAIRS]], cj[y[k : k + _PAIRS]]) for k in range(0, len(x), _PAIRS)]
+        i, j, size = i[size <= _PAIRS], j[size <= _PAIRS], size[size <= _PAIRS]
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // _PAIRS)) + 1
+        for x, y in zip(np.split(i, cuts), np.split(j, cuts), strict=True):
+            if len(x):
                 ci, cj = _children(x, y, la.first, lb.first)
+                d2 = 2 - 2 * np.einsum("ij,ij->i", a.x[below[0].center[ci]], b.x[below[1].center[cj]])
+                bound = reach + _SLACK + below[0].radius[ci] + below[1].radius[cj]
+                keep = d2 <= bound * bound
                 if same:
-                    ci, cj = ci[ci <= cj], cj[ci <= cj]
-                stack.append((depth + 1, ci, cj))
+                    keep &= ci <= cj
+                if keep.any():
+                    stack.append((depth + 1, ci[keep], cj[keep]))

@@ -24,8 +24,8 @@ from quarry.llm.durable import as_id, durable
 
 #: Vectors from which the top centers are chosen, and the most centers of a label and of all labels.
 SAMPLE, CENTERS, MOST_CENTERS = 4096, 8, 1024
-#: Residents of a block, at most about this many.
-BLOCK = 2048
+#: Residents of a block, and guests that meet them in one task, at most about this many.
+BLOCK, GUESTS = 2048, 8192
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -121,7 +121,8 @@ def _tasks(cosine: float):
 
         tree = CoverTree(x[own]) if len(own) else None
         if tree is not None:
-            meet(own, own, tree, tree)
+            if table.column("share")[0].as_py() == 0:
+                meet(own, own, tree, tree)
             if len(guests):
                 meet(guests, own, CoverTree(x[guests]), tree)
         root = np.arange(len(rep))
@@ -168,13 +169,16 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     radius = {(r["label"], r["dim"], r["cell"]): r["r"] for r in cells.where(F.col("label").isin(top)).collect()} if top else {}
     seen = homes.drop("dim").mapInArrow(_visits(centers, radius, reach), "rep long, label long, embedding array<float>, cell int, d double, others array<int>")
     seen = seen.withColumn("dim", F.size("embedding")).withColumn("at", F.explode(F.array_append("others", F.col("cell"))))
-    blocks = cells.select("label", "dim", F.col("cell").alias("at"), "blocks")
-    own = F.pmod(F.xxhash64("rep", F.hash("embedding")), F.col("blocks")).cast("int")
-    placed = seen.join(blocks, ["label", "dim", "at"]).withColumn("own", F.when(F.col("at") == F.col("cell"), own))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("blocks") - 1)))
-    placed = placed.select("label", "dim", "at", "block", "rep", "embedding", (F.coalesce(F.col("own") == F.col("block"), F.lit(False))).alias("resident"))
-    counted = placed.join(classes.select("rep", "n"), "rep")
-    found = durable(counted.groupBy("label", "dim", "at", "block").applyInArrow(_tasks(cosine), "a long, b long, links long"), "links")
+    crowd = seen.groupBy("label", "dim", "at").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("shares"))
+    blocks = cells.select("label", "dim", F.col("cell").alias("at"), "blocks").join(crowd, ["label", "dim", "at"])
+    number = lambda n: F.pmod(F.xxhash64("rep", F.hash("embedding")), F.col(n)).cast("int")
+    placed = seen.join(blocks, ["label", "dim", "at"]).withColumn("own", F.when(F.col("at") == F.col("cell"), number("blocks")))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("blocks") - 1))).withColumn("resident", F.coalesce(F.col("own") == F.col("block"), F.lit(False)))
+    # a block's residents meet its guests share by share, and each other in the first
+    all_shares, one_share = F.sequence(F.lit(0), F.col("shares") - 1), F.array(number("shares"))
+    placed = placed.withColumn("share", F.explode(F.when(F.col("resident"), all_shares).otherwise(one_share)))
+    counted = placed.select("label", "dim", "at", "block", "share", "rep", "embedding", "resident").join(classes.select("rep", "n"), "rep")
+    found = durable(counted.groupBy("label", "dim", "at", "block", "share").applyInArrow(_tasks(cosine), "a long, b long, links long"), "links")
     least = classes.select("rep", "least")
     ends = found.select("a", "b").join(least.select(F.col("rep").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("rep").alias("b"), F.col("least").alias("y")), "b")
     comp = components(ends, "x", "y").withColumnRenamed("node", "least")

@@ -30,6 +30,7 @@ def brute(x, label, cosine):
 @pytest.mark.parametrize("block", [2048, 9])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "GUESTS", 4 * block)
     x, label = made(1)
     n, comp = brute(x, label, 0.98)
     df = spark.createDataFrame([(k, v.tolist(), int(g)) for k, (v, g) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").repartition(5)
