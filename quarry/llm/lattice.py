@@ -33,8 +33,8 @@ SPACE = "▁"
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 #: Characters of words whose lattices are built together.
 _CHARS = 1 << 19
-#: Agenda entries this far below the best can't be drawn in double precision: a Gumbel draw from 53 bits lies between -4 and 37.
-_REACH = 60.0
+#: No Gumbel draw from 53 bits is larger (they end at 36.8), so an entry with a location this far below another value is never larger.
+_REACH = 37.0
 
 
 @dataclass
@@ -235,9 +235,9 @@ def gumbel_top_k(lattice: Lattice, words: np.ndarray, seed: int, walks: list[tup
     salts = splitmix(key + np.arange(1, k + 2, dtype=U64) * U64(0xD1342543DE82EF95))
 
     def offer(sample: int, first: int, value: float, base: float, taken: frozenset) -> None:
-        # the sum of log probabilities falls along the path; what lies out of reach of the best so far is not looked at
-        path, top, before, done, size = found[sample][1], -np.inf, base, first, 256
-        while done < len(path) and before + 40 >= top - _REACH:
+        # locations fall along the path; k + 1 entries at most can be expanded, and what can't be among the largest is not looked at
+        path, values, before, done, size = found[sample][1], np.zeros(0), base, first, 384
+        while done < len(path) and (len(values) <= k or before + _REACH >= values[0]):
             e = path[done : done + size]
             log_q, mass = lattice.log_q[e], 1.0 - lattice.q[e]
             after = before + np.cumsum(log_q)
@@ -252,8 +252,8 @@ def gumbel_top_k(lattice: Lattice, words: np.ndarray, seed: int, walks: list[tup
                 for x, t in zip(v[best].tolist(), at[best].tolist(), strict=True):
                     own = frozenset([int(path[t])])
                     agenda.append((x, sample, t, own | taken if t == first else own))
-                top = max(top, float(v.max()))
-            before, done, size = float(after[-1]), done + size, 4096
+                values = np.sort(np.concatenate([values, v[best]]))[-k - 1 :]
+            before, done, size = float(after[-1]), done + size, 512
 
     offer(0, 0, bound, 0.0, frozenset())
     while agenda:
