@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -40,3 +42,9 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 def as_id(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("long")
+
+
+def release_memory() -> None:
+    """Hands freed memory of a Python worker back to the system, where the C library can; workers live on between stages."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

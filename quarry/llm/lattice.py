@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id
+from quarry.llm.durable import as_id, release_memory
 from quarry.llm.hashing import U64, splitmix
 
 SPACE = "▁"
 #: Pieces never reach over a boundary between these, so a text's lattice is a chain of its words' lattices.
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
-#: Characters of words whose lattices are built together.
-_CHARS = 1 << 19
+#: Characters of texts that are read together. More share more words but take more memory, about 200 bytes a character.
+GROUP = 1 << 20
 #: No Gumbel draw from 53 bits is larger (they end at 36.8), so an entry with a location this far below another value is never larger.
 _REACH = 37.0
 
@@ -94,7 +94,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _power(which: int, n: int) -> np.ndarray:
     if len(_powers[which]) < n:
-        _powers[which] = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 2 * _CHARS), (_BASE, _INVERSE)[which], U64)]), dtype=U64)
+        _powers[which] = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, GROUP), (_BASE, _INVERSE)[which], U64)]), dtype=U64)
     return _powers[which][:n]
 
 
@@ -305,12 +305,12 @@ def _tokens(edges: np.ndarray, lattice: Lattice) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
+def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int, group: int = GROUP) -> Iterator[list[tuple[np.ndarray, float, float]]]:
     """For each text (token ids, log probability, log inclusion score) of up to k segmentations, in order of their perturbed values."""
     low = 0
     while low < len(texts):
         high, size = low, 0
-        while high < len(texts) and (high == low or size + len(texts[high]) <= 3 * _CHARS):
+        while high < len(texts) and (high == low or size + len(texts[high]) <= group):
             size += len(texts[high])
             high += 1
         yield from _sample(texts[low:high], keys[low:high], pieces, k)
@@ -360,13 +360,13 @@ def _sample(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> Iterat
         yield out
 
 
-def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces_of(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a piece's texts, but for one long text, are read as one group and its token ids stay small."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         low, total = 0, 0
         for k, n in enumerate(size.tolist()):
-            if k > low and total + n > 3 * _CHARS:
+            if k > low and total + n > group:
                 yield batch.slice(low, k - low)
                 low, total = k, 0
             total += n
@@ -374,13 +374,13 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(low)
 
 
-def _encoder(pieces: Pieces, k: int, ids: bool):
+def _encoder(pieces: Pieces, k: int, ids: bool, group: int = GROUP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces_of(batches):
+        for batch in _pieces_of(batches, group):
             n, probability, score, trip, digest, tokens = [], [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = [i if i is not None else int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
-            for text, found in zip(texts, sample_texts(texts, keys, pieces, k), strict=True):
+            for text, found in zip(texts, sample_texts(texts, keys, pieces, k, group), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 n.append([len(i) for i, _, _ in found])
                 probability.append([p for _, p, _ in found])
@@ -390,22 +390,26 @@ def _encoder(pieces: Pieces, k: int, ids: bool):
                 if ids:
                     tokens.append([i.astype(np.int32) for i, _, _ in found])
             columns = {"n_tokens": pa.array(n, pa.list_(pa.int64())), "log_prob": pa.array(probability, pa.list_(pa.float64())), "inclusion": pa.array(score, pa.list_(pa.float64())), "tokens_hash": pa.array(digest, pa.list_(pa.string())), "round_trip": pa.array(trip)}
+            del texts, keys
             if ids:
                 columns["token_ids"] = pa.array(tokens, pa.list_(pa.list_(pa.int32())))
             columns |= {c: batch.column(c) for c in batch.schema.names[2:]} | {"id": batch.column(0)}
             yield pa.RecordBatch.from_pydict(columns)
+            del columns, n, probability, score, digest, tokens
+            release_memory()
 
     return run
 
 
-def encode_samples(docs: DataFrame, pieces: Pieces, k: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encode_samples(docs: DataFrame, pieces: Pieces, k: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, group: int = GROUP) -> DataFrame:
     """id_col and, as arrays with an entry for each sampled segmentation: n_tokens, log_prob, inclusion (log probability of being among
     the k), tokens_hash and, with ids=True, token_ids. round_trip says whether decoding every one of them gives the text again.
 
     A null or empty text has one segmentation of no tokens. Texts with fewer than k segmentations return all, with inclusion 0. Draws are
-    seeded by the id, by the text's hash where it is null; rows that repeat an id and a text get equal results. Other columns are ignored.
+    seeded by the id, by the text's hash where it is null; rows that repeat an id and a text get equal results. Other columns are ignored. group: characters that a
+    task reads together; it changes memory, not results.
     """
     rows = docs.select(as_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "n_tokens array<long>, log_prob array<double>, inclusion array<double>, tokens_hash array<string>, round_trip boolean" + (", token_ids array<array<int>>" if ids else "")
-    out = rows.mapInArrow(_encoder(pieces, k, ids), f"{kind}, id long")
+    out = rows.mapInArrow(_encoder(pieces, k, ids, group), f"{kind}, id long")
     return out.select(F.col("id").alias(id_col), *(c for c in out.columns if c != "id"))

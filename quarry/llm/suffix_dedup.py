@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.anchors import anchor_runs
-from quarry.llm.durable import as_id, durable
+from quarry.llm.durable import as_id, durable, release_memory
 from quarry.llm.hashing import U64, Polynomial, joined, splitmix
 from quarry.llm.suffix_sort import Suffixes
 
@@ -138,6 +138,8 @@ def _find_runs(buckets: int):
             if rows is not None:
                 spread = (splitmix(rows.column(1).to_numpy().view(U64)) % U64(buckets)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(spread), *rows.columns], names=["bucket", *rows.schema.names])
+            del runs, class_of, parts, texts, blobs, rows, gone, later
+            release_memory()
 
     return run
 
@@ -224,7 +226,9 @@ _FOUND_TYPES = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("mark", pa.
 
 
 def _meet_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_runs(table)], _FOUND_TYPES)
+    out = pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_runs(table)], _FOUND_TYPES)
+    release_memory()
+    return out
 
 
 _SLICES = "kind int, id long, mark long, blob binary, key long, pos long, lead int"
@@ -317,7 +321,9 @@ def _sorted_spans(key: np.ndarray, ids: np.ndarray, marks: np.ndarray, pos: np.n
 
 
 def _meet_slice_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_slices(table)], _FOUND_TYPES)
+    out = pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_slices(table)], _FOUND_TYPES)
+    release_memory()
+    return out
 
 
 def _meet_slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
