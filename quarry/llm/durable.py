@@ -29,6 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lost executors can't lose it, and nothing above it runs twice."""
+    # a union of parts whose partitions were coalesced differently must not count as partitioned by their keys
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
