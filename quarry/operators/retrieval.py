@@ -199,8 +199,14 @@ def text_leg(corpus: Corpus, queries: DataFrame, filters: Filters, fusion: Fusio
     return filtered(found, corpus, filters, limit)
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions shall not count as partitioned by their parts' keys: parts whose partitions were coalesced differently can't be zipped."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def fuse(legs: list[DataFrame], k: float, limit: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): reciprocal ranks 1 / (k + rank + 1) summed over ranked lists; ties by id."""
+    plain_unions(legs[0].sparkSession)
     parts = [leg.select("query_id", "chunk_id", (1.0 / (F.lit(float(k)) + F.col("rank") + 1)).alias("part")) for leg in legs]
     rows = parts[0]
     for p in parts[1:]:
