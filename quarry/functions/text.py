@@ -30,8 +30,13 @@ def fold(text: Column) -> Column:
     return F.lower(F.translate(text, *latin_folds()))
 
 
+@lru_cache(maxsize=1)
+def _folds() -> dict[int, int]:
+    return str.maketrans(*latin_folds())
+
+
 def fold_text(text: str) -> str:
-    return text.translate(str.maketrans(*latin_folds())).lower()
+    return text.lower() if text.isascii() else text.translate(_folds()).lower()
 
 
 def normalize_heading(text: Column) -> Column:

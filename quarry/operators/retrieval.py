@@ -84,44 +84,78 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return ranked(out, "distance", limit=k)
 
 
-def _counts(terms: list[str]):
-    """(chunk_id, term, heading, context, content): overlapping occurrences of folded terms in each field of a chunk."""
+def query_terms(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """(query_id, folded phrases) of rows (query_id, query), in blocks."""
+    for rows in blocks(queries, "query_id", "query"):
+        yield [(r["query_id"], list(dict.fromkeys(fold_text(p) for p in compile_query(checked_query(r["query"] or ""))))) for r in rows]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for k, t in enumerate(terms):
-            machine.add_word(t, k)
-        machine.make_automaton()
+def _occurrences(batch: pa.RecordBatch, machine) -> tuple[np.ndarray, np.ndarray]:
+    """(rows [row, term, heading, context, content], trigrams of each row) of a batch (chunk_id, heading, context, content)."""
+    found: list[tuple[int, int, int, int, int]] = []
+    fields = [batch.column(c).to_pylist() for c in (1, 2, 3)]
+    length = np.zeros(batch.num_rows, np.int64)
+    for row in range(batch.num_rows):
+        n: dict[int, list[int]] = {}
+        for f in range(3):
+            text = fields[f][row]
+            if text:
+                length[row] += max(len(text) - 2, 0)
+                for _, k in machine.iter(fold_text(text)):
+                    n.setdefault(k, [0, 0, 0])[f] += 1
+        found += [(row, k, *v) for k, v in n.items()]
+    return np.array(found, np.int64).reshape(-1, 5), length
+
+
+def _machine(terms: list[str]):
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        out.add_word(t, k)
+    out.make_automaton()
+    return out
+
+
+def _corpus_counts(terms: list[str]):
+    """(key, n): chunks that hold a term, by the term's number; under -1 the number of chunks, under -2 their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, total = _machine(terms), np.zeros(len(terms) + 2, np.int64)
         for batch in batches:
-            keys, out_key, out_term, out_n = batch.column(0).to_pylist(), [], [], []
-            fields = [batch.column(c).to_pylist() for c in (1, 2, 3)]
-            for row, key in enumerate(keys):
-                n: dict[int, list[int]] = {}
-                for f in range(3):
-                    text = fields[f][row]
-                    for _, k in machine.iter(fold_text(text)) if text else ():
-                        n.setdefault(k, [0, 0, 0])[f] += 1
-                for k, v in n.items():
-                    out_key.append(key)
-                    out_term.append(k)
-                    out_n.append(v)
-            columns = [pa.array([v[f] for v in out_n], pa.int32()) for f in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_term, pa.int32()), *columns], names=["chunk_id", "term", "heading", "context", "content"])
+            found, length = _occurrences(batch, machine)
+            total[:-2] += np.bincount(found[:, 1], minlength=len(terms))
+            total[-1] += batch.num_rows
+            total[-2] += length.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -2, -1], pa.int32()), pa.array(total)], names=["key", "n"])
 
     return run
 
 
-def query_terms(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """(query_id, folded phrases) of rows (query_id, query), in blocks."""
-    for rows in blocks(queries, "query_id", "query"):
-        yield [(r["query_id"], list(dict.fromkeys(fold_text(p) for p in compile_query(checked_query(r["query"] or ""))))) for r in rows]
+def _scores(terms: list[str], idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
+    """(query_id, weight_id, chunk_id, bm25), of each batch the k best for each query and weight."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(terms)
+        for batch in batches:
+            found, length = _occurrences(batch, machine)
+            if not len(found):
+                continue
+            keys, row, term = batch.column(0).to_numpy(), found[:, 0], found[:, 1]
+            norm = 1.2 * (0.25 + 0.75 * length[row] / mean)
+            for weight_id, *w in weights:
+                tf = found[:, 2:] @ np.array(w)
+                part = idf[term] * (tf * 2.2) / (tf + norm)
+                for query_id, own in uses:
+                    mine = np.isin(term, own)
+                    rows, at = np.unique(row[mine], return_inverse=True)
+                    if len(rows):
+                        score = -np.bincount(at, part[mine])
+                        order = np.lexsort((keys[rows], np.round(score, 9)))[:k]
+                        n = len(order)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_id)), pa.array(np.full(n, weight_id, np.int32)), pa.array(keys[rows[order]]), pa.array(score[order])], names=["query_id", "weight_id", "chunk_id", "bm25"])
 
-def term_matches(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
-    return fields.mapInArrow(_counts(terms), "chunk_id long, term int, heading int, context int, content int")
+    return run
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | None = None) -> DataFrame:
@@ -129,48 +163,56 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
 
     queries: (query_id, query) or, compiled, (query_id, phrases). weights: (weight_id, heading, context, content), a few rows. k1 is 1.2 and
     b 0.75; a chunk's length is the number of its trigrams over all fields; a phrase's frequency is the weighted sum of its occurrences.
+    One pass counts phrases and lengths (a number for each phrase reaches the driver), a second scores; only k rows of a batch are shuffled.
     """
-    spark = chunks.sparkSession
-    length = sum((F.greatest(F.length(F.coalesce(c, F.lit(""))) - 2, F.lit(0)) for c in ("heading", "context_text", "content")), F.lit(0))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
-    sizes = chunks.select(F.col("id").alias("chunk_id"), length.alias("length"))
+    fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
+    triples = [(r["weight_id"], r["heading"], r["context"], r["content"]) for r in weights.orderBy("weight_id").collect()]
     out = None
     source = query_terms(queries) if "query" in queries.columns else ([(r["query_id"], [fold_text(p) for p in r["phrases"]]) for r in rows] for rows in blocks(queries, "query_id", "phrases"))
     for block in source:
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
-        uses = [(q, terms.index(t)) for q, ts in block for t in ts]
         if not terms:
             continue
-        hits = term_matches(chunks, terms)
-        frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        known = frequency.crossJoin(stats).select("term", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"), "mean")
-        rows = hits.join(sizes, "chunk_id").join(known, "term").crossJoin(F.broadcast(weights.withColumnsRenamed({"heading": "wh", "context": "wx", "content": "wc"})))
-        tf = F.col("wh") * F.col("heading") + F.col("wx") * F.col("context") + F.col("wc") * F.col("content")
-        rows = rows.withColumn("score", F.col("idf") * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean"))))
-        used = spark.createDataFrame(uses, "query_id long, term int")
-        part = rows.join(F.broadcast(used), "term").groupBy("query_id", "weight_id", "chunk_id").agg((-F.sum("score")).alias("bm25"))
+        counted = {r["key"]: r["n"] for r in fields.mapInArrow(_corpus_counts(terms), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        n, df = counted.get(-1, 0), np.array([counted.get(t, 0) for t in range(len(terms))], float)
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        number = {t: i for i, t in enumerate(terms)}
+        uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
+        run = _scores(terms, np.where(idf > 0, idf, 1e-6), counted.get(-2, 0) / max(n, 1) or 1.0, uses, triples, k)
+        part = fields.mapInArrow(run, "query_id long, weight_id int, chunk_id long, bm25 double")
         out = part if out is None else out.union(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, weight_id int, chunk_id long, bm25 double")
+        out = chunks.sparkSession.createDataFrame([], "query_id long, weight_id int, chunk_id long, bm25 double")
     window = Window.partitionBy("query_id", "weight_id").orderBy(F.round("bm25", 9), "chunk_id")
     out = out.withColumn("rank", F.row_number().over(window) - 1)
     return out if k is None else out.where(F.col("rank") < k)
 
 
-def weight_table(spark: SparkSession, *triples: tuple[float, float, float]) -> DataFrame:
-    return spark.createDataFrame([(k, *map(float, t)) for k, t in enumerate(triples)], "weight_id int, heading double, context double, content double")
-
-
 def match_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, matches): chunks that hold at least one phrase of the query."""
-    out = None
+    fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
+    out = chunks.sparkSession.createDataFrame([], "query_id long, matches long")
     for block in query_terms(queries):
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
-        used = chunks.sparkSession.createDataFrame([(q, terms.index(t)) for q, ts in block for t in ts] or [], "query_id long, term int")
-        part = term_matches(chunks, terms).join(F.broadcast(used), "term").groupBy("query_id").agg(F.countDistinct("chunk_id").alias("matches"))
-        out = part if out is None else out.union(part)
-    return out
+        uses = [(q, [terms.index(t) for t in ts]) for q, ts in block if ts]
+        out = out.union(fields.mapInArrow(_matching(terms, uses), "query_id long, matches long"))
+    return out.groupBy("query_id").agg(F.sum("matches").alias("matches")).where("matches > 0")
+
+
+def _matching(terms: list[str], uses: list[tuple[int, list[int]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, total = _machine(terms), [0] * len(uses)
+        for batch in batches:
+            found, _ = _occurrences(batch, machine)
+            for i, (_, own) in enumerate(uses):
+                total[i] += len(np.unique(found[np.isin(found[:, 1], own), 0]))
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in uses], pa.int64()), pa.array(total, pa.int64())], names=["query_id", "matches"])
+
+    return run
+
+
+def weight_table(spark: SparkSession, *triples: tuple[float, float, float]) -> DataFrame:
+    return spark.createDataFrame([(k, *map(float, t)) for k, t in enumerate(triples)], "weight_id int, heading double, context double, content double")
 
 
 def attach(candidates: DataFrame, corpus: Corpus) -> DataFrame:
