@@ -132,28 +132,63 @@ def _corpus_counts(terms: list[str]):
     return run
 
 
+def _by_term(found: np.ndarray, terms: int):
+    """of(terms): the places in found that hold one of them, in order."""
+    order = np.argsort(found[:, 1], kind="stable")
+    ends = np.searchsorted(found[order, 1], np.arange(terms + 1))
+    return lambda own: np.sort(np.concatenate([order[ends[t] : ends[t + 1]] for t in own]))
+
+
+#: Candidates that a task keeps before it hands them on.
+KEPT = 2_000_000
+
+
 def _scores(terms: list[str], idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
-    """(query_id, weight_id, chunk_id, bm25), of each batch the k best for each query and weight."""
+    """(query_id, weight_id, chunk_id, bm25), of each task the k best for each query and weight."""
+
+    def best(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((keys, np.round(score, 9)))[:k]
+        return keys[order], score[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(terms)
+        kept: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for (query_id, weight_id), parts in kept.items():
+                keys, score = best(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), query_id)), pa.array(np.full(len(keys), weight_id, np.int32)), pa.array(keys), pa.array(score)], names=["query_id", "weight_id", "chunk_id", "bm25"])
+
         for batch in batches:
             found, length = _occurrences(batch, machine)
             if not len(found):
                 continue
             keys, row, term = batch.column(0).to_numpy(), found[:, 0], found[:, 1]
+            of = _by_term(found, len(terms))
             norm = 1.2 * (0.25 + 0.75 * length[row] / mean)
+            values = []
             for weight_id, *w in weights:
                 tf = found[:, 2:] @ np.array(w)
-                part = idf[term] * (tf * 2.2) / (tf + norm)
-                for query_id, own in uses:
-                    mine = np.isin(term, own)
-                    rows, at = np.unique(row[mine], return_inverse=True)
-                    if len(rows):
-                        score = -np.bincount(at, part[mine])
-                        order = np.lexsort((keys[rows], np.round(score, 9)))[:k]
-                        n = len(order)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_id)), pa.array(np.full(n, weight_id, np.int32)), pa.array(keys[rows[order]]), pa.array(score[order])], names=["query_id", "weight_id", "chunk_id", "bm25"])
+                values.append((weight_id, idf[term] * (tf * 2.2) / (tf + norm)))
+            for query_id, own in uses:
+                mine = of(own)
+                if not len(mine):
+                    continue
+                rows, at = np.unique(row[mine], return_inverse=True)
+                for weight_id, part in values:
+                    parts = kept.setdefault((query_id, weight_id), [])
+                    parts.append(best([(keys[rows], -np.bincount(at, part[mine]))]))
+                    held += len(parts[-1][0])
+                    if k is not None and len(parts) > 1 and (n := sum(len(x) for x, _ in parts)) > 2 * k:
+                        parts[:] = [best(parts)]
+                        held += len(parts[0][0]) - n
+            if held > KEPT:
+                yield from handed()
+                kept.clear()
+                held = 0
+        yield from handed()
 
     return run
 
@@ -163,7 +198,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
 
     queries: (query_id, query) or, compiled, (query_id, phrases). weights: (weight_id, heading, context, content), a few rows. k1 is 1.2 and
     b 0.75; a chunk's length is the number of its trigrams over all fields; a phrase's frequency is the weighted sum of its occurrences.
-    One pass counts phrases and lengths (a number for each phrase reaches the driver), a second scores; only k rows of a batch are shuffled.
+    One pass counts phrases and lengths (a number for each phrase reaches the driver), a second scores; only k rows of a task are shuffled.
     """
     fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
     triples = [(r["weight_id"], r["heading"], r["context"], r["content"]) for r in weights.orderBy("weight_id").collect()]
@@ -194,7 +229,8 @@ def match_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     out = chunks.sparkSession.createDataFrame([], "query_id long, matches long")
     for block in query_terms(queries):
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
-        uses = [(q, [terms.index(t) for t in ts]) for q, ts in block if ts]
+        number = {t: i for i, t in enumerate(terms)}
+        uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
         out = out.union(fields.mapInArrow(_matching(terms, uses), "query_id long, matches long"))
     return out.groupBy("query_id").agg(F.sum("matches").alias("matches")).where("matches > 0")
 
@@ -204,8 +240,9 @@ def _matching(terms: list[str], uses: list[tuple[int, list[int]]]):
         machine, total = _machine(terms), [0] * len(uses)
         for batch in batches:
             found, _ = _occurrences(batch, machine)
+            of = _by_term(found, len(terms))
             for i, (_, own) in enumerate(uses):
-                total[i] += len(np.unique(found[np.isin(found[:, 1], own), 0]))
+                total[i] += len(np.unique(found[of(own), 0]))
         yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in uses], pa.int64()), pa.array(total, pa.int64())], names=["query_id", "matches"])
 
     return run

@@ -55,6 +55,22 @@ def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_queries(spark).join(v, "query_id")
 
 
+#: Words that a document's query is made of: the first two runs of letters.
+_WORD, _WORDS = "[A-Za-z]{4,24}", 2
+
+
+def every_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document asks for its first words; a document without words asks for nothing."""
+    words = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORD), F.lit(0)), 1, _WORDS)
+    return _table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.lower(F.array_join(words, " ")).alias("query"))
+
+
+def every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector and document of one id ask together; where one is missing, the other asks alone."""
+    rows = every_text_query(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id", "full")
+    return rows.select("query_id", F.coalesce("query", F.lit("")).alias("query"), "vector")
+
+
 def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items ask for the documents that hold their text word for word."""
     items = _table(spark, sf_dir, "benchmark").where("item_id is not null and text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -116,16 +132,23 @@ def knn_exact_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- full text
 
 
-def _bm25_sql(weights: tuple[float, float, float]) -> str:
+#: The terms of every_text_query().
+EVERY_TERMS_SQL = f"""terms(query_id, p) AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{_WORD}')[1:{_WORDS}], lambda w: lower(w))) FROM documents WHERE doc_id % 50 = 0
+)"""
+
+
+def _bm25_sql(weights: tuple[float, float, float], terms_sql: str | None = None) -> str:
     from quarry.functions.query_compiler import compile_query
     from quarry.functions.text import fold_text
 
     terms = [(q, fold_text(p)) for q, text in TEXTS for p in compile_query(text)]
     values = ", ".join(f"({q}, '{p}')" for q, p in dict.fromkeys(terms))
     occ = lambda c: f"(len({c}) - len(replace({c}, p, ''))) / len(p)"
+    if terms_sql:  # words of any kind may overlap themselves, which replace() does not count
+        occ = lambda c: f"CASE WHEN contains({c}, p) THEN len(list_filter(range(1, CAST(len({c}) - len(p) + 2 AS BIGINT)), lambda i: substr({c}, i, len(p)) = p)) ELSE 0 END"
     h, x, c = weights
-    return f"""terms(query_id, p) AS (VALUES {values}
-), folded AS (SELECT id, strip_accents(lower(coalesce(heading, ''))) AS h, strip_accents(lower(context_text)) AS x, strip_accents(lower(content)) AS t,
+    terms_sql = terms_sql or f"terms(query_id, p) AS (VALUES {values}\n)"
+    return f"""{terms_sql}, folded AS (SELECT id, strip_accents(lower(coalesce(heading, ''))) AS h, strip_accents(lower(context_text)) AS x, strip_accents(lower(content)) AS t,
   greatest(len(coalesce(heading, '')) - 2, 0) + greatest(len(context_text) - 2, 0) + greatest(len(content) - 2, 0) AS d FROM kb_chunks
 ), stats AS (SELECT count(*) AS n, avg(d) AS mean FROM folded
 ), occ AS (SELECT query_id, p, id, d, {occ("h")} AS oh, {occ("x")} AS ox, {occ("t")} AS ot FROM folded CROSS JOIN terms
@@ -135,6 +158,7 @@ def _bm25_sql(weights: tuple[float, float, float]) -> str:
 
 
 BM25_SQL = _bm25_sql(Fusion().weights)
+EVERY_BM25_SQL = _bm25_sql(Fusion().weights, EVERY_TERMS_SQL)
 
 
 @register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM text_rank WHERE rank < 50", BM25_SQL))
@@ -162,8 +186,8 @@ def tune_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fusion and the pipeline
 
 
-def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int) -> str:
-    return f"""{BM25_SQL}, qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (1, 2, 3)
+def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int, text: str = BM25_SQL, asking: str = "vec_id IN (1, 2, 3)") -> str:
+    return f"""{text}, qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE {asking}
 ), near AS (SELECT query_id, chunk_id, sqrt(list_sum(list_transform(list_zip(embedding, vector), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS distance FROM kb_vectors CROSS JOIN qv
 ), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) - 1 AS rank FROM near
 ), a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM (SELECT k.* FROM knn k {_JOINED} WHERE k.rank < {fetch_vectors} AND {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {pool}
@@ -173,6 +197,7 @@ def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int) -> str:
 
 
 _DEFAULT_HYBRID = _hybrid_sql("c.quality_score >= 0.3", 500, 500, 50)
+_EVERY = (EVERY_BM25_SQL, "vec_id % 50 = 0")
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -208,12 +233,12 @@ def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def mmr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True, same_document_penalty=0.1))))
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True, same_document_penalty=0.1))))
 
 
 @register()
 def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10, rerank=True)))
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, rerank=True)))
 
 
 _PARENT = Parent(enabled=True, whole_document_below=20, max_tokens=400)
@@ -231,7 +256,57 @@ def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=20)).select("query_id", "chunk_id", "match_spans")
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=20)).select("query_id", "chunk_id", "match_spans")
+
+
+# --- the same for every fiftieth row
+
+
+_EVERY_HYBRID = _hybrid_sql("c.quality_score >= 0.3", 500, 500, 50, *_EVERY)
+_EVERY_FILTERED = _hybrid_sql("c.quality_score >= 0.3 AND d.topic = 'en' AND list_contains(d.tags, 'b1') AND d.date >= '2024-02-01'", 500, 500, 50, *_EVERY)
+
+
+@register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM text_rank WHERE rank < 50", EVERY_BM25_SQL))
+def bm25_ranked_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, Fusion().weights), 50)
+    return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@register(_with("SELECT query_id, count(DISTINCT id) AS matches FROM hit GROUP BY 1", EVERY_BM25_SQL))
+def fts_match_count_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.match_counts(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir))
+
+
+@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 10", _EVERY_HYBRID))
+def hybrid_search_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)))
+
+
+@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 5", _EVERY_FILTERED))
+def hybrid_filtered_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Filters(topic="en", tags_all=("en", "b1"), date_from="2024-02-01")
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=5, filters=f)))
+
+
+@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits", _EVERY_HYBRID))
+def rrf_fuse_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _short(candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True))))
+
+
+@register(_with("SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w - min(score) OVER w > 1.1920929e-07 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 4) AS relevance FROM hits WINDOW w AS (PARTITION BY query_id)", _EVERY_HYBRID))
+def minmax_relevance_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True)))
+    return refine.relevance(hits).select("query_id", "chunk_id", F.round("relevance", 4).alias("relevance"))
+
+
+@register(_with("SELECT query_id, count(*) >= 2 AND avg(score) > 0 AND max(score) / avg(score) < 1.5 AS low_confidence FROM hits WHERE rank < 10 GROUP BY 1", _EVERY_HYBRID))
+def low_confidence_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)).select("query_id", "low_confidence").distinct()
+
+
+@register(_with("SELECT query_id, chunk_id, CASE WHEN whole THEN full_text WHEN fits THEN near_text ELSE own END AS content, CASE WHEN whole THEN 'whole_document' ELSE 'adjacent' END AS kind FROM wide", PARENT_SQL.replace(_DEFAULT_HYBRID, _EVERY_HYBRID)))
+def parent_expansion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, parent=_PARENT)).select("query_id", "chunk_id", "content", F.col("expanded_from.kind").alias("kind"))
 
 
 # --- chunks, documents, filters
@@ -470,15 +545,16 @@ def connection_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = {r["id"]: r["path"] for r in corpus(spark, sf_dir).documents.where(F.col("id").isin(*(k for k, _ in TEXTS))).select("id", "path").collect()}
-    rows = [(k, text, [(paths[k], None)] if k in paths else []) for k, text in TEXTS]
-    return spark.createDataFrame(rows, "query_id long, query string, expected array<struct<path:string,heading:string>>")
+    """Every query expects the document of its id."""
+    paths = corpus(spark, sf_dir).documents.select(F.col("id").alias("query_id"), F.array(F.struct("path", F.lit(None).cast("string").alias("heading"))).alias("expected"))
+    none = F.array().cast("array<struct<path:string,heading:string>>")
+    return every_query(spark, sf_dir).select("query_id", "query").join(paths, "query_id", "left").withColumn("expected", F.coalesce("expected", none))
 
 
 @register()
 def sweep_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     kb, g = corpus(spark, sf_dir), _sweep_golden(spark, sf_dir)
-    hits = tuning.sweep(kb, hybrid_queries(spark, sf_dir), g, Filters(), 10)
+    hits = tuning.sweep(kb, every_query(spark, sf_dir), g, Filters(), 10)
     return tuning.metric_table(kb, hits, g, (1, 5, 10)).withColumn("value", F.round("value", 6))
 
 
