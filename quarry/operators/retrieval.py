@@ -46,15 +46,20 @@ def _nearest(ids: list[int], matrix: np.ndarray, k: int):
             picked = lists.take(pa.array(good))
             x = picked.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), -1)
             keys = batch.column(0).to_numpy()[good]
+            squares = (x * x).sum(1)
             for low in range(0, len(ids), 256):
                 q = matrix[low : low + 256]
-                d = norms[low : low + 256, None] - 2 * q @ x.T + (x * x).sum(1)
-                m = min(len(good), k + 16)  # a few more, as the product form rounds
-                near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(good) else np.broadcast_to(np.arange(len(good)), d.shape)
-                exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(2))
-                order = np.lexsort((keys[near], exact), axis=1)[:, :k]
-                near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[low : low + 256], near.shape[1])), pa.array(keys[near].ravel()), pa.array(exact.ravel())], names=["query_id", "chunk_id", "distance"])
+                d = norms[low : low + 256, None] - 2 * q @ x.T + squares
+                slack = 8 * (matrix.shape[1] + 4) * np.finfo(float).eps * (norms[low : low + 256, None] + squares)  # the product form rounds by less
+                m = min(len(good), k)
+                edge = np.partition(d + slack, m - 1, axis=1)[:, m - 1 : m]
+                out = []
+                for i, open_ in enumerate(~(d - slack > edge)):  # all that may be among the k nearest, equal vectors too
+                    near = np.flatnonzero(open_)
+                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                    order = np.lexsort((keys[near], exact))[:k]
+                    out.append((np.full(len(order), ids[low + i]), keys[near[order]], exact[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "chunk_id", "distance"])
 
     return run
 
