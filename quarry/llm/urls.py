@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -12,8 +14,6 @@ from quarry.llm.durable import as_id
 
 #: Least share of labelled URLs that hold a combination, least share of them that are labelled block, and least ratio to the overall share.
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.6, 2.0
-#: Mined rules that are kept, by confidence, support and tokens. They travel in the plan, so their number is bounded.
-MOST_RULES = 500
 MOST_FIXED = 1000
 _BLOCK = "label=block"
 
@@ -84,10 +84,18 @@ def mine_block_rules(labelled: DataFrame, url_col: str = "url", block_col: str =
         return []
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
     found = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= lift))
+    return smallest(r["a"] for r in found.select(F.array_sort("antecedent").alias("a")).orderBy(F.size("a"), "a").toLocalIterator())
+
+
+def smallest(rules: Iterable[list[str]]) -> list[list[str]]:
+    """The rules, given by size, that contain no other one. Only these are held; a rule meets those that begin with a token of its own."""
     kept: list[list[str]] = []
-    for r in found.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), F.array_sort("antecedent")).limit(MOST_RULES).collect():
-        if not any(set(k) <= set(r["antecedent"]) for k in kept):
-            kept.append(sorted(r["antecedent"]))
+    by_first: dict[str, list[frozenset[str]]] = {}
+    for r in rules:
+        own = frozenset(r)
+        if not any(k <= own for t in r for k in by_first.get(t, ())):
+            kept.append(list(r))
+            by_first.setdefault(r[0], []).append(own)
     return kept
 
 
@@ -98,8 +106,7 @@ def matches(tokens: Column, rules: list[list[str]]) -> Column:
     index: dict[str, list[list[str]]] = {}
     for r in rules:
         index.setdefault(r[0], []).append(r)
-    entries = [x for k, v in sorted(index.items()) for x in (F.lit(k), F.array(*(F.array(*map(F.lit, r)) for r in v)))]
-    table = F.create_map(*entries)
+    table = F.from_json(F.lit(json.dumps(index)), "map<string,array<array<string>>>")  # one literal, for any number of rules
     return F.exists(tokens, lambda t: F.exists(F.coalesce(F.try_element_at(table, t), F.array().cast("array<array<string>>")), lambda r: F.size(F.array_except(r, tokens)) == 0))
 
 
