@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.durable import as_id
 
-#: Least share of labelled URLs that hold a combination, least share of them that are labelled block, and least ratio to the overall share.
-SUPPORT, CONFIDENCE, LIFT = 0.01, 0.6, 2.0
+#: Least share of labelled URLs that hold a combination, least share of them that are labelled block, and the ratio to the overall share that is exceeded.
+SUPPORT, CONFIDENCE, LIFT = 0.01, 0.6, 1.0
 MOST_FIXED = 1000
 _BLOCK = "label=block"
 
@@ -83,7 +83,7 @@ def mine_block_rules(labelled: DataFrame, url_col: str = "url", block_col: str =
     if not items.where(F.array_contains("items", _BLOCK)).limit(1).count():
         return []
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    found = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") >= lift))
+    found = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") > lift))
     return smallest(r["a"] for r in found.select(F.array_sort("antecedent").alias("a")).orderBy(F.size("a"), "a").toLocalIterator())
 
 

@@ -21,3 +21,10 @@ def test_many_rules_match(spark):
     rules = [sorted([f"h1=x{k}", 'p="q\\é']) for k in range(5000)]
     rows = spark.createDataFrame([(["h1=x4999", 'p="q\\é'],), (["h1=x5000", 'p="q\\é'],), (["h1=x1"],), (None,)], "t array<string>")
     assert [bool(r[0]) for r in rows.select(urls.matches(rows["t"], rules)).collect()] == [True, False, False, False]
+
+
+def test_most_urls_blocked(spark):
+    rows = [("https://bad.com/x", True)] * 60 + [("https://good.net/x", False)] * 40
+    rules = urls.mine_block_rules(spark.createDataFrame(rows, "url string, block boolean"))
+    assert ["h1=bad"] in rules and not any("h1=good" in r or r == ["p=x"] for r in rules)
+    assert urls.mine_block_rules(spark.createDataFrame(rows[:60], "url string, block boolean")) == []
