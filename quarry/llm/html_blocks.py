@@ -7,9 +7,14 @@ import re
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|head|math|object|canvas|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|button|head|math|object|canvas|audio|video)(?![\w:-])[^>]*(?<!/)>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.IGNORECASE | re.DOTALL,
 )
+#: Without an end tag these run to the end of the page; of other elements without text only the tag is skipped.
+_RAW = frozenset(("script", "style", "iframe", "textarea"))
+#: A second one ends the first.
+_SINGLE = frozenset(("select", "button"))
+_IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z]+|[0-9]+")
 #: Elements that are part of a line of text; all others part blocks.
@@ -37,6 +42,37 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _after(page: str, tag: str, at: int, last: dict[str, int]) -> int:
+    """Where an element without text, whose start tag ends at a place, ends. last: the last end tag of each kind, found once a page."""
+    if tag == "head":
+        return _after_head(page, at, last)
+    if tag not in last:
+        last[tag] = max((m.end() for m in re.finditer(rf"</{tag}\s*>", page, re.IGNORECASE)), default=-1)
+    if last[tag] <= at:
+        return len(page) if tag in _RAW else at
+    m = re.compile(rf"</{tag}\s*>" + (rf"|<{tag}(?![\w:-])" if tag in _SINGLE else ""), re.IGNORECASE).search(page, at)
+    return m.end() if m[0].startswith("</") else at
+
+
+def _after_head(page: str, at: int, last: dict[str, int]) -> int:
+    """A head ends at its end tag, or before text or a tag that can't stand in it."""
+    while m := _TOKEN.search(page, at):
+        if page[at : m.start()].strip():
+            return at
+        tag = (m[1] or m[3] or "").lower()
+        if m[2] and tag == "head":
+            return m.end()
+        if tag and tag not in _IN_HEAD:
+            return m.start()
+        at = m.end()
+        if m[1] and tag != "head":
+            at = _after(page, tag, at, last)
+        elif tag == "title" and not m[2]:
+            end = re.compile(r"</title\s*>|<", re.IGNORECASE).search(page, at)
+            at = at if end is None else end.end() if end[0] != "<" else end.start()
+    return at
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The blocks of text in page order, white space as single spaces, character references decoded; scripts, styles and the like are no text."""
     page = page or ""
@@ -77,9 +113,10 @@ def blocks_of(page: str | None) -> list[Block]:
             if depth > 0:
                 links += len(text)
 
-    for m in _TOKEN.finditer(page):
+    last: dict[str, int] = {}
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
-        at = m.end()
+        at = m.end() if m[1] is None else _after(page, m[1].lower(), m.end(), last)
         tag = m[3].lower() if m[3] else None
         if tag is None:  # comments, declarations and elements without text
             continue
