@@ -8,12 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.block_labeller import Labeller, features, trained
+from quarry.llm.block_labeller import LEAST, PART, Labeller, features, trained
 from quarry.llm.durable import as_id
 from quarry.llm.html_blocks import blocks_of
 
-#: Blocks that are read together, padded to the longest page.
-_TOGETHER = 8192
 
 
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
@@ -24,11 +22,12 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     low = 0
     while low < len(order):
         high = low + 1
-        while high < len(order) and (high + 1 - low) * len(blocks[order[high]]) <= _TOGETHER:
+        while high < len(order) and (high + 1 - low) * len(blocks[order[high]]) <= PART:
             high += 1
         part = order[low:high]
-        for k, z in zip(part, model.scores([features(blocks[k]) for k in part]), strict=True):
-            out[k] = "\n".join(b.text for b, s in zip(blocks[k], z, strict=True) if s > 0)
+        long = len(blocks[part[0]]) > PART
+        for k, z in zip(part, [model.long_scores(blocks[part[0]])] if long else model.scores([features(blocks[k]) for k in part]), strict=True):
+            out[k] = "\n".join(b.text for b, s in zip(blocks[k], z, strict=True) if s > LEAST)
         low = high
     return out
 
