@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +185,31 @@ class Lattice:
         self.below[self.start[1:] - 1] = 2.0  # the last edge takes what rounding leaves; the end of a word has none
         self.final = self.to == np.repeat(self.end, size + 1)[node] if nodes else np.zeros(0, bool)
 
+    def joined(self, other: Lattice) -> Lattice:
+        """The words of both; those of the other one come last."""
+        out, nodes = object.__new__(Lattice), len(self.start) - 1
+        for f in ("piece", "log_q", "q", "below", "final"):
+            setattr(out, f, np.concatenate([getattr(self, f), getattr(other, f)]))
+        out.to = np.concatenate([self.to, other.to + np.int32(nodes)])
+        out.start = np.concatenate([self.start[:-1], other.start + self.start[-1]])
+        out.first, out.end = np.concatenate([self.first, other.first + nodes]), np.concatenate([self.end, other.end + nodes])
+        return out
+
+    def chosen(self, words: np.ndarray) -> Lattice:
+        """Some of the words, in this order."""
+        out = object.__new__(Lattice)
+        size = self.end[words] - self.first[words] + 1
+        node = _ranges(self.first[words], size)
+        out.end = np.cumsum(size) - 1
+        out.first = out.end - size + 1
+        edge = _ranges(self.start[self.first[words]], self.start[self.end[words]] - self.start[self.first[words]])
+        for f in ("piece", "log_q", "q", "below", "final"):
+            setattr(out, f, getattr(self, f)[edge])
+        out.start = np.concatenate([[0], np.cumsum(self.start[node + 1] - self.start[node])])
+        moved = np.repeat(out.first - self.first[words], self.start[self.end[words]] - self.start[self.first[words]])
+        out.to = (self.to[edge] + moved).astype(np.int32)
+        return out
+
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
         e = self.start[node]
@@ -208,6 +233,11 @@ class Lattice:
         return np.concatenate(edges)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(word))
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i] to start[i] + size[i], one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def _times(n: int, factor: int) -> np.uint64:
     return U64(n * factor % (1 << 64))
 
@@ -305,15 +335,18 @@ def _tokens(edges: np.ndarray, lattice: Lattice) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int, group: int = GROUP) -> Iterator[list[tuple[np.ndarray, float, float]]]:
-    """For each text (token ids, log probability, log inclusion score) of up to k segmentations, in order of their perturbed values."""
-    low = 0
+def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int, group: int = GROUP, known: Known | None = None) -> Iterator[list[tuple[np.ndarray, float, float]]]:
+    """For each text (token ids, log probability, log inclusion score) of up to k segmentations, in order of their perturbed values.
+
+    known: lattices of frequent words from earlier calls with the same pieces, to which those of these texts are added.
+    """
+    low, known = 0, known or Known(pieces, group // 2)
     while low < len(texts):
         high, size = low, 0
         while high < len(texts) and (high == low or size + len(texts[high]) <= group):
             size += len(texts[high])
             high += 1
-        yield from _sample(texts[low:high], keys[low:high], pieces, k)
+        yield from _sample(texts[low:high], keys[low:high], known, k)
         low = high
 
 
@@ -325,11 +358,36 @@ class _Numbers(dict):
         return n
 
 
-def _sample(texts: list[str], keys: list[int], pieces: Pieces, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
-    number = _Numbers()
+class Known:
+    """Lattices of words that were frequent so far. Nodes beyond `limit` aren't kept; which words are changes time, not results."""
+
+    def __init__(self, pieces: Pieces, limit: int):
+        self.pieces, self.limit = pieces, limit
+        self.lattice, self.number = Lattice([], pieces), _Numbers()
+
+    def read(self, split: list[list[str]]) -> tuple[Lattice, np.ndarray]:
+        """(a lattice of all words, the words by their numbers in it)."""
+        old, count = len(self.number), sum(map(len, split))
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, count)
+        words = list(islice(self.number, old, None))
+        if not words:
+            return self.lattice, word
+        all_words = self.lattice.joined(Lattice(words, self.pieces))
+        new = np.flatnonzero(np.bincount(word, minlength=len(self.number))[old:] > 1) + old
+        room = self.limit - (len(self.lattice.start) - 1)
+        new = new[np.cumsum(all_words.end[new] - all_words.first[new] + 1) <= room]
+        for w in words:
+            del self.number[w]
+        for w in new.tolist():
+            self.number[words[w - old]]  # numbered anew
+        if len(new):
+            self.lattice = self.lattice.joined(all_words.chosen(new))
+        return all_words, word
+
+
+def _sample(texts: list[str], keys: list[int], known: Known, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
     split = [_WORD.findall(t) for t in texts]
-    word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64)
-    lattice = Lattice(list(number), pieces)
+    lattice, word = known.read(split)
     counts = np.array([len(ws) for ws in split], np.int64)
     ends = np.cumsum(counts)
     seed = splitmix(np.array([k_ % (1 << 64) for k_ in keys], U64))
@@ -376,11 +434,12 @@ def _pieces_of(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Rec
 
 def _encoder(pieces: Pieces, k: int, ids: bool, group: int = GROUP):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(pieces, group // 2)
         for batch in _pieces_of(batches, group):
             n, probability, score, trip, digest, tokens = [], [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = [i if i is not None else int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
-            for text, found in zip(texts, sample_texts(texts, keys, pieces, k, group), strict=True):
+            for text, found in zip(texts, sample_texts(texts, keys, pieces, k, group, known), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 n.append([len(i) for i, _, _ in found])
                 probability.append([p for _, p, _ in found])
