@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def as_id(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("long")
 
 
+def free_prefix(df: DataFrame, names: Iterable[str]) -> str:
+    """A prefix that makes none of the names that of a column of df."""
+    taken, prefix = {c.lower() for c in df.columns}, "__"
+    while any(f"{prefix}{n}".lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 def release_memory() -> None:
     """Hands freed memory of a Python worker back to the system, where the C library can; workers live on between stages."""
     with contextlib.suppress(OSError, AttributeError):

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id
+from quarry.llm.durable import as_id, free_prefix
 
 #: Labelled rows used to fit, those with the least hashes of their ids.
 FIT_ROWS = 20_000
@@ -109,18 +109,25 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
         paths += [tuple((int(columns[f]), up, b) for f, up, b in p) for p in found]
         margin += step
     paths = sorted(set(paths))
-    met = np.ones((len(y), len(paths)), bool)
+    seen: dict[bytes, int] = {}  # of rules that hold for the same rows the first, held as bits
     for k, p in enumerate(paths):
+        met = np.ones(len(y), bool)
         for f, greater, bound in p:
-            met[:, k] &= (x[:, f] > bound) if greater else (x[:, f] <= bound)
-    _, unique = np.unique(met, axis=1, return_index=True)
-    unique = np.sort(unique[(met[:, unique].mean(0) > 0) & (met[:, unique].mean(0) < 1)])
-    m = met[:, unique].astype(np.float64)
+            met &= (x[:, f] > bound) if greater else (x[:, f] <= bound)
+        if met.any() and not met.all():
+            seen.setdefault(np.packbits(met).tobytes(), k)
+    unique = list(seen.values())
+    m = np.empty((len(y), len(unique)), np.float32)  # zeros and ones
+    for j, bits in enumerate(seen):
+        m[:, j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(y))
+    del seen
+    if not unique:
+        return RuleEnsemble(base, ())
     w, b, z, zb, t = np.zeros(m.shape[1]), base, np.zeros(m.shape[1]), base, 1.0
     rate = 4 / (np.linalg.norm(m[: min(len(m), 4000)], 2) ** 2 * len(m) / min(len(m), 4000) / len(m) + 1)
     for _ in range(600):  # proximal gradient steps with momentum
-        e = 1 / (1 + np.exp(-(m @ z + zb))) - y
-        new = z - rate * (m.T @ e) / len(y)
+        e = 1 / (1 + np.exp(-(m @ z.astype(np.float32) + zb))) - y
+        new = z - rate * (e.astype(np.float32) @ m) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * lasso, 0)
         nb, nt = zb - rate * e.mean(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
@@ -134,21 +141,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = chosen.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
     texts = docs.select(as_id(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     stats = statistics(F.col("text"))
-    rows = texts.select("y", "id", *(c.alias(k) for k, c in stats.items())).orderBy("id", "y", *stats).limit(fit_rows).collect()
-    names = list(stats)
-    x = np.array([[r[k] for k in names] for r in rows], np.float64).reshape(-1, len(names))
-    return fit_rules(x, np.array([r["y"] for r in rows], np.float64), names)
+    rows = texts.select("y", "id", *(c.alias(k) for k, c in stats.items())).orderBy("id", "y", *stats).limit(fit_rows).toArrow()
+    x = np.stack([rows.column(k).to_numpy() for k in stats], 1).astype(np.float64)
+    y = rows.column("y").to_numpy().astype(np.float64)
+    del rows
+    return fit_rules(x, y, list(stats))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns of docs with held_out, score and predicted added (columns of these names are replaced).
 
-    Null and empty texts get a score too. A null id counts as not held out. Labels, language, source and id are no inputs of a score.
+    Null and empty texts get a score too. Input columns of any other name stay as they are. A null id counts as not held out. Labels, language, source and id are no inputs of a score.
     """
     names = ["held_out", "score", "predicted"]
     rest = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     stats = statistics(F.col(text_col))
-    temporary = {k: f"__{k}" for k in stats}
+    mark = free_prefix(docs, stats)
+    temporary = {k: f"{mark}{k}" for k in stats}
     out = rest.withColumns({temporary[k]: c for k, c in stats.items()})
     held = F.coalesce(F.crc32(as_id(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     out = out.withColumns({"held_out": held, "score": model.score({k: F.col(v) for k, v in temporary.items()})})
