@@ -13,11 +13,9 @@ All draws are hashes of the row's key, the sample, the word and the step, so res
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +27,6 @@ from quarry.llm.durable import as_id, release_memory
 from quarry.llm.hashing import U64, splitmix
 
 SPACE = "▁"
-#: Pieces never reach over a boundary between these, so a text's lattice is a chain of its words' lattices.
-_WORD = re.compile(r" *[^ \n]+| +|\n+")
 #: Characters of texts that are read together. More share more words but take more memory, about 200 bytes a character.
 GROUP = 1 << 20
 #: No Gumbel draw from 53 bits is larger (they end at 36.8), so an entry with a location this far below another value is never larger.
@@ -73,18 +69,40 @@ class Pieces:
         return data[at].tobytes()
 
     @cached_property
-    def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(sorted hashes, their ids, a table of the hash beginnings of all beginnings of pieces, the longest piece)."""
-        longest = max(map(len, self.texts), default=1)
-        ends = np.cumsum([len(t) for t in self.texts])
-        hashes = _spans(_prefix(_points("".join(self.texts))), np.concatenate([[0], ends[:-1]]), ends) if self.texts else np.zeros(0, U64)
-        order = np.argsort(hashes)
-        table = np.zeros(1 << 22, bool)
-        starts = sorted({t[:n] for t in self.texts for n in range(1, len(t) + 1)})
+    def index(self) -> Beginnings:
+        return Beginnings(self.texts)
+
+
+class Beginnings:
+    """A hash table of all beginnings of pieces."""
+
+    def __init__(self, texts: list[str]):
+        self.longest = max(map(len, texts), default=1)
+        whole = {t: k for k, t in enumerate(texts)}
+        starts = sorted({t[:n] for t in texts for n in range(1, len(t) + 1)})
         stops = np.cumsum([len(t) for t in starts])
-        if starts:
-            table[(_spans(_prefix(_points("".join(starts))), np.concatenate([[0], stops[:-1]]), stops) >> U64(42)).astype(np.int64)] = True
-        return hashes[order], order, table, longest
+        self.hash = _spans(_prefix(_points("".join(starts))), np.concatenate([[0], stops[:-1]]), stops) if starts else np.zeros(0, U64)
+        #: The piece that a beginning is, or -1.
+        self.piece = np.array([whole.get(t, -1) for t in starts], np.int64)
+        slot = (self.hash >> U64(42)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        same = slot[order[1:]] == slot[order[:-1]]
+        self.next = np.full(len(starts), -1, np.int32)  # in the same slot
+        self.next[order[:-1][same]] = order[1:][same]
+        self.first = np.full(1 << 22, -1, np.int32)
+        heads = order[np.concatenate([[True], ~same])] if len(order) else order
+        self.first[slot[heads]] = heads
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The beginning that has each hash, or -1."""
+        out = self.first[(h >> U64(42)).astype(np.int64)]
+        wrong = np.flatnonzero(out >= 0)
+        wrong = wrong[self.hash[out[wrong]] != h[wrong]]
+        while len(wrong):
+            out[wrong] = self.next[out[wrong]]
+            wrong = wrong[out[wrong] >= 0]
+            wrong = wrong[self.hash[out[wrong]] != h[wrong]]
+        return out
 
 
 _BASE = 0xD6E8FEB86659FD93
@@ -115,10 +133,9 @@ def _spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 class Lattice:
     """The lattices of distinct words. Nodes are numbered through all words; edges are sorted by node."""
 
-    def __init__(self, words: list[str], pieces: Pieces):
-        hashes, ids, table, longest = pieces.index
-        points = _points("".join(words))
-        size = np.array([len(w) for w in words], np.int64)
+    def __init__(self, points: np.ndarray, size: np.ndarray, pieces: Pieces):
+        """points: the words' characters, one word after the other."""
+        index, words = pieces.index, size
         self.end = np.cumsum(size) + np.arange(len(words))  # each word has one node more than characters
         self.first = self.end - size
         place = np.arange(len(points))  # characters
@@ -128,17 +145,16 @@ class Lattice:
         rows, pieces_found, lengths = [], [], []
         single = np.zeros(len(points), bool)
         alive = place  # where what was read so far begins a piece
-        for n in range(1, longest + 1):
+        for n in range(1, index.longest + 1):
             at = alive[alive + n <= stop[alive]]
             if not len(at):
                 break
-            h = _spans(prefix, at, at + n)
-            maybe = table[(h >> U64(42)).astype(np.int64)]
-            alive = at = at[maybe]
-            h = h[maybe]
-            spot = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-            good = hashes[spot] == h if len(hashes) else np.zeros(len(h), bool)
-            at, found = at[good], ids[spot[good]]
+            start = index.find(_spans(prefix, at, at + n))
+            begins = np.flatnonzero(start >= 0)
+            alive = at = at[begins]
+            found = index.piece[start[begins]]
+            good = np.flatnonzero(found >= 0)
+            at, found = at[good], found[good]
             if n == 1:
                 single[at] = True
             rows.append(at)
@@ -221,16 +237,18 @@ class Lattice:
 
     def walk(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges, count) of one segmentation of each word, one after the other."""
-        node, live, edges, own, step = self.first[word].copy(), np.arange(len(word)), [], [], 0
+        node, live, taken, count, step = self.first[word].copy(), np.arange(len(word)), [], np.zeros(len(word), np.int64), 0
         while len(live):
             live = live[node[live] < self.end[word[live]]]
             e = self.step(node[live], uniform(seed[live], step))
-            edges.append(e.astype(np.int32))
-            own.append(live.astype(np.int32))
+            taken.append((live.astype(np.int32), e.astype(np.int32)))
+            count[live] += 1
             node[live] = self.to[e]
             step += 1
-        own = np.concatenate(own)
-        return np.concatenate(edges)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(word))
+        edges, first = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+        for k, (own, e) in enumerate(taken):
+            edges[first[own] + k] = e
+        return edges, count
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -350,12 +368,14 @@ def sample_texts(texts: list[str], keys: list[int], pieces: Pieces, k: int, grou
         low = high
 
 
-class _Numbers(dict):
-    """Numbers its keys as they come."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+def split_words(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where words start, in texts that end at the given places. A word is a run of other characters with the spaces before it, a run of
+    spaces at the end of a line, or a run of line feeds. Pieces never reach over these bounds, so a text's lattice is a chain of its words' lattices."""
+    kind = (points == 32).astype(np.int8) + 2 * (points == 10).astype(np.int8)
+    begin = np.ones(len(points) + 1, bool)
+    begin[1:-1] = (kind[1:] != kind[:-1]) & ((kind[:-1] != 1) | (kind[1:] != 0))
+    begin[ends] = True
+    return np.flatnonzero(begin[:-1])
 
 
 class Known:
@@ -363,32 +383,41 @@ class Known:
 
     def __init__(self, pieces: Pieces, limit: int):
         self.pieces, self.limit = pieces, limit
-        self.lattice, self.number = Lattice([], pieces), _Numbers()
+        self.lattice = Lattice(np.zeros(0, np.uint32), np.zeros(0, np.int64), pieces)
+        self.hash, self.number = np.zeros(0, U64), np.zeros(0, np.int64)  # sorted by hash
 
-    def read(self, split: list[list[str]]) -> tuple[Lattice, np.ndarray]:
+    def read(self, points: np.ndarray, start: np.ndarray) -> tuple[Lattice, np.ndarray]:
         """(a lattice of all words, the words by their numbers in it)."""
-        old, count = len(self.number), sum(map(len, split))
-        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, count)
-        words = list(islice(self.number, old, None))
-        if not words:
-            return self.lattice, word
-        all_words = self.lattice.joined(Lattice(words, self.pieces))
-        new = np.flatnonzero(np.bincount(word, minlength=len(self.number))[old:] > 1) + old
-        room = self.limit - (len(self.lattice.start) - 1)
-        new = new[np.cumsum(all_words.end[new] - all_words.first[new] + 1) <= room]
-        for w in words:
-            del self.number[w]
-        for w in new.tolist():
-            self.number[words[w - old]]  # numbered anew
-        if len(new):
-            self.lattice = self.lattice.joined(all_words.chosen(new))
-        return all_words, word
+        size, old = np.diff(np.append(start, len(points))), len(self.hash)
+        hashes, first, word, count = np.unique(_spans(_prefix(points), start, start + size), return_index=True, return_inverse=True, return_counts=True)
+        place = np.searchsorted(self.hash, hashes)
+        hit = np.zeros(len(hashes), bool)
+        if old:
+            hit = self.hash[np.minimum(place, old - 1)] == hashes
+        number = np.empty(len(hashes), np.int64)
+        number[hit] = self.number[place[hit]]
+        new = np.flatnonzero(~hit)
+        if not len(new):
+            return self.lattice, number[word]
+        number[new] = np.arange(old, old + len(new))
+        own = first[new]
+        every = self.lattice.joined(Lattice(points[_ranges(start[own], size[own])], size[own], self.pieces))
+        again = new[count[new] > 1]
+        again = again[np.cumsum(size[first[again]] + 1) <= self.limit - (len(self.lattice.start) - 1)]
+        if len(again):
+            self.lattice = self.lattice.joined(every.chosen(number[again]))
+            both = np.concatenate([self.hash, hashes[again]])
+            order = np.argsort(both)
+            self.hash, self.number = both[order], np.concatenate([self.number, np.arange(old, old + len(again))])[order]
+        return every, number[word]
 
 
 def _sample(texts: list[str], keys: list[int], known: Known, k: int) -> Iterator[list[tuple[np.ndarray, float, float]]]:
-    split = [_WORD.findall(t) for t in texts]
-    lattice, word = known.read(split)
-    counts = np.array([len(ws) for ws in split], np.int64)
+    points, stops = _points("".join(texts)), np.cumsum([len(t) for t in texts])
+    start = split_words(points, stops)
+    lattice, word = known.read(points, start)
+    del points
+    counts = np.diff(np.searchsorted(start, stops), prepend=0)
     ends = np.cumsum(counts)
     seed = splitmix(np.array([k_ % (1 << 64) for k_ in keys], U64))
     place = np.arange(len(word)) - np.repeat(ends - counts, counts)
