@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 LEAST, MOST = 3, 32
+# The characters of the scripts; all others are words if alphanumeric.
+SCRIPTS = {
+    "kanji": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F), (0x3005, 0x3005), (0x3006, 0x3006)),
+    "hiragana": ((0x3041, 0x309F),),
+    "katakana": ((0x30A1, 0x30FF), (0xFF66, 0xFF9F)),
+}
 
 
 def script(c: str) -> str:
     """kanji, hiragana, katakana, word or gap."""
     p = ord(c)
-    if 0x4E00 <= p <= 0x9FFF or 0x3400 <= p <= 0x4DBF or c in "々〆":
-        return "kanji"
-    if 0x3041 <= p <= 0x309F:
-        return "hiragana"
-    if 0x30A0 <= p <= 0x30FF or 0xFF66 <= p <= 0xFF9D:
-        return "katakana" if c != "・" else "gap"
+    for kind, ranges in SCRIPTS.items():
+        if any(low <= p <= high for low, high in ranges):
+            return kind
     return "word" if c.isalnum() or c in "_-" else "gap"
 
 

@@ -62,13 +62,22 @@ def status(corpus: Corpus, threshold: float = QUALITY) -> DataFrame:
 
 
 def topics(documents: DataFrame) -> DataFrame:
-    """(category, topic, documents, last_indexed, titles); nulls form groups, null titles are dropped."""
-    out = documents.groupBy("category", "topic").agg(F.count("*").alias("documents"), F.max("last_indexed").alias("last_indexed"), F.sort_array(F.collect_list("title")).alias("titles"))
-    return out.orderBy("category", "topic")
+    """(category, topic, documents, last_indexed); nulls form groups."""
+    return documents.groupBy("category", "topic").agg(F.count("*").alias("documents"), F.max("last_indexed").alias("last_indexed")).orderBy("category", "topic")
+
+
+def topic_titles(documents: DataFrame) -> DataFrame:
+    """(category, topic, title): the listing of the topics, a row for each title; null titles are dropped."""
+    return documents.where("title is not null").select("category", "topic", "title").orderBy("category", "topic", "title")
 
 
 def topic_groups(documents: DataFrame) -> DataFrame:
-    return documents.groupBy(group_prefix(F.col("path")).alias("prefix")).agg(F.count("*").alias("documents"), F.sort_array(F.collect_list("path")).alias("paths"))
+    return documents.groupBy(group_prefix(F.col("path")).alias("prefix")).agg(F.count("*").alias("documents"))
+
+
+def group_paths(documents: DataFrame) -> DataFrame:
+    """(prefix, path): the listing of the groups, a row for each path."""
+    return documents.select(group_prefix(F.col("path")).alias("prefix"), "path")
 
 
 FIELDS = ("title", "date", "topic", "depth", "tags")
@@ -99,31 +108,40 @@ class FieldRule:
 
 
 def _violations(rule: FieldRule) -> list[Column]:
+    """A null string is no value, an empty one is; null tags are an empty list. A wrong type tells of nothing else; neither does a missing value."""
     array = rule.name == "tags"
-    value = F.col(rule.name)
+    value = F.coalesce(F.col("tags"), F.array().cast("array<string>")) if array else F.col(rule.name)
     size = F.size(value) if array else F.length(value)
-    empty = value.isNull() | (size == 0 if array else F.trim(value) == "")
     problem = lambda test, kind, text: F.when(test, F.struct(F.lit(rule.name).alias("field"), F.lit(kind).alias("kind"), F.lit(text).alias("detail")))
-    missing = value.isNull() | (empty & F.lit(not rule.allow_empty))
-    out = [problem(missing, "missing", "required")] if rule.required else []
-    live = ~F.coalesce(missing if rule.required else empty, F.lit(True))
     if rule.type is not None and (rule.type == "array") != array:
-        return [*out, problem(live, "type", rule.type)]
-    if rule.pattern is not None:
-        out.append(problem(live & ~value.rlike(rule.pattern), "pattern", rule.pattern))
-    if rule.enum:
-        good = F.forall(value, lambda x: x.isin(*rule.enum)) if array else value.isin(*rule.enum)
-        out.append(problem(live & ~good, "enum", "|".join(rule.enum)))
+        return [problem(F.lit(True), "type", rule.type)]
+    blank = (size == 0) & F.lit(rule.required and not rule.allow_empty)
+    missing = blank if array else F.when(value.isNull(), F.lit(rule.required)).otherwise(blank)
+    out = [problem(missing, "missing", "required")]
+    live = ~missing & value.isNotNull()
     if rule.min_length is not None:
         out.append(problem(live & (size < rule.min_length), "length", f"min {rule.min_length}"))
     if rule.max_length is not None:
         out.append(problem(live & (size > rule.max_length), "length", f"max {rule.max_length}"))
+    if rule.pattern is not None:
+        out.append(problem(live & ~value.rlike(rule.pattern), "pattern", rule.pattern))
+    if rule.enum and not array:
+        out.append(problem(live & ~value.isin(*rule.enum), "enum", "|".join(rule.enum)))
     return out
 
 
+def _tag_violations(rule: FieldRule) -> Column:
+    """One for each tag outside the enum."""
+    bad = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda x: ~x.isin(*rule.enum))
+    return F.transform(bad, lambda x: F.struct(F.lit("tags").alias("field"), F.lit("enum").alias("kind"), F.lit("|".join(rule.enum)).alias("detail")))
+
+
 def validate(documents: DataFrame, rules: tuple[FieldRule, ...]) -> DataFrame:
     """(path, field, kind, detail) of each broken rule: missing, type, pattern, enum or length."""
     found = F.array_compact(F.array(*(v for r in rules for v in _violations(r))))
+    for r in rules:
+        if r.name == "tags" and r.enum and r.type != "string":
+            found = F.concat(found, _tag_violations(r))
     return documents.select("path", F.explode(found).alias("v")).select("path", "v.field", "v.kind", "v.detail")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import category_of, embedding_text, quality_score, topic_of
 from quarry.model import Corpus
+from quarry.storage import numbered
 
 
 def rename_pairs(stored: DataFrame, disk: DataFrame) -> DataFrame:
@@ -43,10 +44,10 @@ def upsert(documents: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows by path: known paths keep their id, new ones get the next ids in path order."""
     known = incoming.drop("id").join(documents.select("path", "id"), "path")
     new = incoming.drop("id").join(documents.select("path"), "path", "left_anti")
-    top = documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("path"))).crossJoin(top).withColumn("id", F.col("n") + F.col("top")).drop("n", "top")
+    top = documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    added = numbered(new, "path", "id", top + 1)
     kept = documents.join(incoming.select("path"), "path", "left_anti")
-    return kept.unionByName(known, allowMissingColumns=True).unionByName(numbered, allowMissingColumns=True).select(*documents.columns)
+    return kept.unionByName(known, allowMissingColumns=True).unionByName(added, allowMissingColumns=True).select(*documents.columns)
 
 
 def meta_only(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from quarry.functions.spans import match_spans
 from quarry.functions.vectors import cosine_matrix
 from quarry.model import Mmr, Parent
+from quarry.storage import hinted
 
 
 def lexical_overlap(query: pd.Series, text: pd.Series) -> pd.Series:
@@ -27,7 +28,7 @@ def rerank(hits: DataFrame, queries: DataFrame, limit: int | None, scorer=lexica
     """Scores replaced by scorer(query, context + blank line + content), best first, cut at the limit."""
     text = F.when(F.coalesce(F.trim("context_text"), F.lit("")) != "", F.concat_ws("\n\n", "context_text", "content")).otherwise(F.col("content"))
     score = pandas_udf(scorer, "double")
-    rows = hits.drop("score", "rank").join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("score", score("query", text)).drop("query")
+    rows = hits.drop("score", "rank").join(hinted(queries.select("query_id", "query")), "query_id").withColumn("score", score("query", text)).drop("query")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")) - 1)
     return rows if limit is None else rows.where(F.col("rank") < limit)
 
@@ -76,8 +77,12 @@ def expand(hits: DataFrame, chunks: DataFrame, parent: Parent) -> DataFrame:
     tokens = F.when(F.coalesce("token_count", F.lit(0)) > 0, F.col("token_count")).otherwise(F.floor(F.octet_length("content") / 4))
     own = hits.select("query_id", "chunk_id", "document_id", F.col("chunk_index").alias("at"), F.coalesce(F.col("token_count") < parent.whole_document_below, F.lit(False)).alias("small"))
     rows = chunks.select("document_id", "chunk_index", F.col("content").alias("text"), tokens.cast("long").alias("tokens"))
-    met = own.join(rows, "document_id").where(F.col("small") | (F.abs(F.col("chunk_index") - F.col("at")) <= 1))
+    # of a document at most 2 * max + 64 chunks are read, those of the least indexes, and the hit's neighbours
     near = F.abs(F.col("chunk_index") - F.col("at")) <= 1
+    bound = 2 * parent.max_tokens + 64
+    documents = own.select("document_id").distinct()
+    first = rows.join(documents, "document_id", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index")))
+    met = own.join(first, "document_id").where(near | (F.col("small") & (F.col("r") <= bound))).drop("r")
     part = F.struct("chunk_index", "text")
     found = met.groupBy("query_id", "chunk_id", "at", "small").agg(
         F.count("*").alias("n"), F.sum("tokens").alias("total"), F.sum(F.when(near, F.col("tokens"))).alias("near_total"),
@@ -102,7 +107,7 @@ def _spans(query: pd.Series, content: pd.Series) -> pd.Series:
 
 
 def with_spans(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    return hits.join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("match_spans", pandas_udf(_spans, _SPANS)("query", "content")).drop("query")
+    return hits.join(hinted(queries.select("query_id", "query")), "query_id").withColumn("match_spans", pandas_udf(_spans, _SPANS)("query", "content")).drop("query")
 
 
 def low_confidence(hits: DataFrame, ratio: float = 1.5) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.query_compiler import compile_query
 from quarry.functions.text import fold_text
 from quarry.model import MOST_FETCHED, MOST_NEIGHBOURS, Corpus, Filters, Fusion, checked_query
+from quarry.storage import durable, hinted, plain_unions
 
 #: Queries that one pass over the corpus answers; more make more passes.
 BLOCK = 4096
@@ -95,7 +96,14 @@ def query_terms(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
         yield [(r["query_id"], list(dict.fromkeys(fold_text(p) for p in compile_query(checked_query(r["query"] or ""))))) for r in rows]
 
 
-def _occurrences(batch: pa.RecordBatch, machine) -> tuple[np.ndarray, np.ndarray]:
+def _text_fields(chunks: DataFrame) -> tuple[DataFrame, bool]:
+    """((chunk_id, heading, context, content), whether they are folded): a stored index holds folded fields."""
+    ready = "folded_content" in chunks.columns
+    names = ("folded_heading", "folded_context", "folded_content") if ready else ("heading", "context_text", "content")
+    return chunks.select(F.col("id").alias("chunk_id"), *(F.col(c).alias(n) for c, n in zip(names, ("heading", "context", "content"), strict=True))), ready
+
+
+def _occurrences(batch: pa.RecordBatch, machine, ready: bool) -> tuple[np.ndarray, np.ndarray]:
     """(rows [row, term, heading, context, content], trigrams of each row) of a batch (chunk_id, heading, context, content)."""
     found: list[tuple[int, int, int, int, int]] = []
     fields = [batch.column(c).to_pylist() for c in (1, 2, 3)]
@@ -106,7 +114,7 @@ def _occurrences(batch: pa.RecordBatch, machine) -> tuple[np.ndarray, np.ndarray
             text = fields[f][row]
             if text:
                 length[row] += max(len(text) - 2, 0)
-                for _, k in machine.iter(fold_text(text)):
+                for _, k in machine.iter(text if ready else fold_text(text)):
                     n.setdefault(k, [0, 0, 0])[f] += 1
         found += [(row, k, *v) for k, v in n.items()]
     return np.array(found, np.int64).reshape(-1, 5), length
@@ -122,17 +130,49 @@ def _machine(terms: list[str]):
     return out
 
 
-def _corpus_counts(terms: list[str]):
+_FOUND = "chunk_id long, length long, hits binary, chunks long"
+
+
+def _finder(terms: list[str], ready: bool):
+    """A row for each chunk that holds a term: its length in trigrams and int32 rows (term, heading, context, content). For each task a
+    row without chunk_id has the number of chunks it read and their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, chunks, total = _machine(terms), 0, 0
+        pack = lambda i, n, h, c: pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(c, pa.int64())], names=["chunk_id", "length", "hits", "chunks"])
+        for batch in batches:
+            found, length = _occurrences(batch, machine, ready)
+            chunks, total = chunks + batch.num_rows, total + int(length.sum())
+            if len(found):
+                start = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+                own = found[start, 0]
+                blobs = [x.tobytes() for x in np.split(found[:, 1:].astype(np.int32), start[1:])]
+                yield pack(batch.column(0).take(pa.array(own)), length[own], blobs, [None] * len(own))
+        yield pack([None], [total], [None], [chunks])
+
+    return run
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk ids, lengths, rows [row, term, heading, context, content]) of a batch of the finder."""
+    batch = batch.filter(batch.column(0).is_valid())
+    blobs = [np.frombuffer(x, np.int32).reshape(-1, 4) for x in batch.column(2).to_pylist()]
+    row = np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
+    hits = np.concatenate(blobs).astype(np.int64) if blobs else np.zeros((0, 4), np.int64)
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.concatenate([row[:, None], hits], 1)
+
+
+def _term_counts(n: int):
     """(key, n): chunks that hold a term, by the term's number; under -1 the number of chunks, under -2 their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, total = _machine(terms), np.zeros(len(terms) + 2, np.int64)
+        total = np.zeros(n + 2, np.int64)
         for batch in batches:
-            found, length = _occurrences(batch, machine)
-            total[:-2] += np.bincount(found[:, 1], minlength=len(terms))
-            total[-1] += batch.num_rows
-            total[-2] += length.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(terms)), -2, -1], pa.int32()), pa.array(total)], names=["key", "n"])
+            rest = batch.filter(batch.column(0).is_null())
+            total[-1] += sum(rest.column(3).to_pylist())
+            total[-2] += sum(rest.column(1).to_pylist())
+            total[:-2] += np.bincount(_unpacked(batch)[2][:, 1], minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array([*range(n), -2, -1], pa.int32()), pa.array(total)], names=["key", "n"])
 
     return run
 
@@ -148,7 +188,7 @@ def _by_term(found: np.ndarray, terms: int):
 KEPT = 2_000_000
 
 
-def _scores(terms: list[str], idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
+def _scores(idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
     """(query_id, weight_id, chunk_id, bm25), of each task the k best for each query and weight."""
 
     def best(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +197,6 @@ def _scores(terms: list[str], idf: np.ndarray, mean: float, uses: list[tuple[int
         return keys[order], score[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(terms)
         kept: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         held = 0
 
@@ -167,11 +206,11 @@ def _scores(terms: list[str], idf: np.ndarray, mean: float, uses: list[tuple[int
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), query_id)), pa.array(np.full(len(keys), weight_id, np.int32)), pa.array(keys), pa.array(score)], names=["query_id", "weight_id", "chunk_id", "bm25"])
 
         for batch in batches:
-            found, length = _occurrences(batch, machine)
+            keys, length, found = _unpacked(batch)
             if not len(found):
                 continue
-            keys, row, term = batch.column(0).to_numpy(), found[:, 0], found[:, 1]
-            of = _by_term(found, len(terms))
+            row, term = found[:, 0], found[:, 1]
+            of = _by_term(found, len(idf))
             norm = 1.2 * (0.25 + 0.75 * length[row] / mean)
             values = []
             for weight_id, *w in weights:
@@ -203,9 +242,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
 
     queries: (query_id, query) or, compiled, (query_id, phrases). weights: (weight_id, heading, context, content), a few rows. k1 is 1.2 and
     b 0.75; a chunk's length is the number of its trigrams over all fields; a phrase's frequency is the weighted sum of its occurrences.
-    One pass counts phrases and lengths (a number for each phrase reaches the driver), a second scores; only k rows of a task are shuffled.
+    One pass over the chunks finds the phrases of all queries of a block; what it found is counted (a number for each phrase reaches the
+    driver) and then scored, and only k rows of a task are shuffled.
     """
-    fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
+    fields, ready = _text_fields(chunks)
     triples = [(r["weight_id"], r["heading"], r["context"], r["content"]) for r in weights.orderBy("weight_id").collect()]
     out = None
     source = query_terms(queries) if "query" in queries.columns else ([(r["query_id"], [fold_text(p) for p in r["phrases"]]) for r in rows] for rows in blocks(queries, "query_id", "phrases"))
@@ -213,13 +253,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
         if not terms:
             continue
-        counted = {r["key"]: r["n"] for r in fields.mapInArrow(_corpus_counts(terms), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+        found = durable(fields.mapInArrow(_finder(terms, ready), _FOUND), "phrases")
+        counted = {r["key"]: r["n"] for r in found.mapInArrow(_term_counts(len(terms)), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
         n, df = counted.get(-1, 0), np.array([counted.get(t, 0) for t in range(len(terms))], float)
         idf = np.log((n - df + 0.5) / (df + 0.5))
         number = {t: i for i, t in enumerate(terms)}
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
-        run = _scores(terms, np.where(idf > 0, idf, 1e-6), counted.get(-2, 0) / max(n, 1) or 1.0, uses, triples, k)
-        part = fields.mapInArrow(run, "query_id long, weight_id int, chunk_id long, bm25 double")
+        run = _scores(np.where(idf > 0, idf, 1e-6), counted.get(-2, 0) / max(n, 1) or 1.0, uses, triples, k)
+        part = found.mapInArrow(run, "query_id long, weight_id int, chunk_id long, bm25 double")
         out = part if out is None else out.union(part)
     if out is None:
         out = chunks.sparkSession.createDataFrame([], "query_id long, weight_id int, chunk_id long, bm25 double")
@@ -230,21 +271,21 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
 
 def match_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, matches): chunks that hold at least one phrase of the query."""
-    fields = chunks.select(F.col("id").alias("chunk_id"), "heading", F.col("context_text").alias("context"), "content")
+    fields, ready = _text_fields(chunks)
     out = chunks.sparkSession.createDataFrame([], "query_id long, matches long")
     for block in query_terms(queries):
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
         number = {t: i for i, t in enumerate(terms)}
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
-        out = out.union(fields.mapInArrow(_matching(terms, uses), "query_id long, matches long"))
+        out = out.union(fields.mapInArrow(_matching(terms, uses, ready), "query_id long, matches long"))
     return out.groupBy("query_id").agg(F.sum("matches").alias("matches")).where("matches > 0")
 
 
-def _matching(terms: list[str], uses: list[tuple[int, list[int]]]):
+def _matching(terms: list[str], uses: list[tuple[int, list[int]]], ready: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, total = _machine(terms), [0] * len(uses)
         for batch in batches:
-            found, _ = _occurrences(batch, machine)
+            found, _ = _occurrences(batch, machine, ready)
             of = _by_term(found, len(terms))
             for i, (_, own) in enumerate(uses):
                 total[i] += len(np.unique(found[of(own), 0]))
@@ -265,10 +306,14 @@ def attach(candidates: DataFrame, corpus: Corpus) -> DataFrame:
 
 
 def filtered(candidates: DataFrame, corpus: Corpus, filters: Filters, limit: int) -> DataFrame:
-    """Candidates that were cut by rank first, then filtered, ranked anew and cut at the limit."""
+    """(query_id, chunk_id, rank) of candidates that were cut by rank first, then filtered, ranked anew and cut at the limit.
+
+    Candidates are few by their cut: they are stored, counted and, where small, broadcast to the chunks' ids and the columns that are filtered by.
+    """
     from quarry.operators.predicates import predicate
 
-    kept = attach(candidates, corpus).where(predicate(filters)).drop("quality_score")
+    few = hinted(durable(candidates.select("query_id", "chunk_id", "rank"), "candidates"))
+    kept = attach(few, corpus).where(predicate(filters)).select("query_id", "chunk_id", "rank")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).where(F.col("rank") < limit)
 
 
@@ -283,11 +328,6 @@ def text_leg(corpus: Corpus, queries: DataFrame, filters: Filters, fusion: Fusio
     return filtered(found, corpus, filters, limit)
 
 
-def plain_unions(spark: SparkSession) -> None:
-    """Unions shall not count as partitioned by their parts' keys: parts whose partitions were coalesced differently can't be zipped."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-
-
 def fuse(legs: list[DataFrame], k: float, limit: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): reciprocal ranks 1 / (k + rank + 1) summed over ranked lists; ties by id."""
     plain_unions(legs[0].sparkSession)

@@ -11,7 +11,8 @@ from quarry.functions.text import category_of, token_estimate, topic_of
 from quarry.model import Corpus, Filters, Fusion, GraphOptions, Mmr, Parent, SearchOptions
 from quarry.operators import checks, evaluation, graph, maintenance, predicates, refine, retrieval, tuning
 from quarry.plans.search import candidates, search
-from quarry.sources.corpus import CORPUS_SQL, corpus
+from quarry.sources.corpus import CORPUS_SQL
+from quarry.sources.index import stored as corpus
 from quarry.sources.files import chunk_rows, parsed
 from quarry.streaming.maintain import batch_state, debounced
 
@@ -19,10 +20,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-#: Names and texts of the queries that the corpus is asked.
-TEXTS = ((1, "tion"), (2, '"the of" and'), (3, "hesta, eronthat"))
-
-
 def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -46,15 +43,6 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def text_queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEXTS), "query_id long, query string")
-
-
-def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*(k for k, _ in TEXTS))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return text_queries(spark).join(v, "query_id")
-
-
 #: Words that a document's query is made of: the first two runs of letters.
 _WORD, _WORDS = "[A-Za-z]{4,24}", 2
 
@@ -72,25 +60,10 @@ def every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items ask for the documents that hold their text word for word."""
-    items = _table(spark, sf_dir, "benchmark").where("item_id is not null and text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    rows = items.orderBy("query_id").collect()  # a golden set is small by contract
-    docs = _table(spark, sf_dir, "documents").where("text is not null and doc_id is not null")
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    held = F.filter(F.array(*(F.when(F.contains("text", F.lit(r["query"])), F.lit(r["query_id"])) for r in rows)), lambda x: x.isNotNull())
-    found = docs.select(path.alias("path"), F.explode(held).alias("query_id"))
-    e = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("path", F.lit(None).cast("string").alias("heading")))).alias("expected"))
-    return items.join(e, "query_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<struct<path:string,heading:string>>")))
-
-
-def golden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each item ten documents: every one that holds its first 12 characters, by path."""
-    rows = _table(spark, sf_dir, "benchmark").where("item_id is not null and text is not null").orderBy("item_id").collect()
-    docs = corpus(spark, sf_dir).documents.select("id", "path")
-    text = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    held = F.filter(F.array(*(F.when(F.contains("text", F.lit(r["text"][:12])), F.lit(r["item_id"])) for r in rows)), lambda x: x.isNotNull())
-    found = text.select("id", F.explode(held).alias("query_id")).join(docs, "id").select("query_id", F.col("id").alias("chunk_id"), "path", F.lit(None).cast("string").alias("heading"))
-    return retrieval.ranked(found, "path", limit=10)
+    """(query_id, query, expected): every query expects the document of its id."""
+    paths = corpus(spark, sf_dir).documents.select(F.col("id").alias("query_id"), F.array(F.struct("path", F.lit(None).cast("string").alias("heading"))).alias("expected"))
+    none = F.array().cast("array<struct<path:string,heading:string>>")
+    return every_query(spark, sf_dir).join(paths, "query_id", "left").withColumn("expected", F.coalesce("expected", none))
 
 
 # --- nearest neighbours
@@ -137,18 +110,11 @@ EVERY_TERMS_SQL = f"""terms(query_id, p) AS (SELECT DISTINCT doc_id, unnest(list
 )"""
 
 
-def _bm25_sql(weights: tuple[float, float, float], terms_sql: str | None = None) -> str:
-    from quarry.functions.query_compiler import compile_query
-    from quarry.functions.text import fold_text
-
-    terms = [(q, fold_text(p)) for q, text in TEXTS for p in compile_query(text)]
-    values = ", ".join(f"({q}, '{p}')" for q, p in dict.fromkeys(terms))
-    occ = lambda c: f"(len({c}) - len(replace({c}, p, ''))) / len(p)"
-    if terms_sql:  # words of any kind may overlap themselves, which replace() does not count
-        occ = lambda c: f"CASE WHEN contains({c}, p) THEN len(list_filter(range(1, CAST(len({c}) - len(p) + 2 AS BIGINT)), lambda i: substr({c}, i, len(p)) = p)) ELSE 0 END"
+def _bm25_sql(weights: tuple[float, float, float]) -> str:
+    # words of any kind may overlap themselves, which replace() does not count
+    occ = lambda c: f"CASE WHEN contains({c}, p) THEN len(list_filter(range(1, CAST(len({c}) - len(p) + 2 AS BIGINT)), lambda i: substr({c}, i, len(p)) = p)) ELSE 0 END"
     h, x, c = weights
-    terms_sql = terms_sql or f"terms(query_id, p) AS (VALUES {values}\n)"
-    return f"""{terms_sql}, folded AS (SELECT id, strip_accents(lower(coalesce(heading, ''))) AS h, strip_accents(lower(context_text)) AS x, strip_accents(lower(content)) AS t,
+    return f"""{EVERY_TERMS_SQL}, folded AS (SELECT id, strip_accents(lower(coalesce(heading, ''))) AS h, strip_accents(lower(context_text)) AS x, strip_accents(lower(content)) AS t,
   greatest(len(coalesce(heading, '')) - 2, 0) + greatest(len(context_text) - 2, 0) + greatest(len(content) - 2, 0) AS d FROM kb_chunks
 ), stats AS (SELECT count(*) AS n, avg(d) AS mean FROM folded
 ), occ AS (SELECT query_id, p, id, d, {occ("h")} AS oh, {occ("x")} AS ox, {occ("t")} AS ot FROM folded CROSS JOIN terms
@@ -158,36 +124,30 @@ def _bm25_sql(weights: tuple[float, float, float], terms_sql: str | None = None)
 
 
 BM25_SQL = _bm25_sql(Fusion().weights)
-EVERY_BM25_SQL = _bm25_sql(Fusion().weights, EVERY_TERMS_SQL)
 
 
 @register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM text_rank WHERE rank < 50", BM25_SQL))
 def bm25_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(corpus(spark, sf_dir).chunks, text_queries(spark), retrieval.weight_table(spark, Fusion().weights), 50)
+    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, Fusion().weights), 50)
     return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM text_rank WHERE rank < 50", _bm25_sql((0.5, 4.0, 1.0))))
 def bm25_other_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(corpus(spark, sf_dir).chunks, text_queries(spark), retrieval.weight_table(spark, (0.5, 4.0, 1.0)), 50)
+    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, (0.5, 4.0, 1.0)), 50)
     return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @register(_with("SELECT query_id, count(DISTINCT id) AS matches FROM hit GROUP BY 1", BM25_SQL))
 def fts_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.match_counts(corpus(spark, sf_dir).chunks, text_queries(spark))
-
-
-@register(_with("SELECT query_id, count(DISTINCT id) AS matches, 2 * count(DISTINCT id) >= any_value(n) AS idf_clamped, count(DISTINCT id) >= 2 AS effective FROM hit CROSS JOIN stats GROUP BY 1", BM25_SQL))
-def tune_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tuning.preflight(corpus(spark, sf_dir), text_queries(spark))
+    return retrieval.match_counts(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir))
 
 
 # --- fusion and the pipeline
 
 
-def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int, text: str = BM25_SQL, asking: str = "vec_id IN (1, 2, 3)") -> str:
-    return f"""{text}, qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE {asking}
+def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int) -> str:
+    return f"""{BM25_SQL}, qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0
 ), near AS (SELECT query_id, chunk_id, sqrt(list_sum(list_transform(list_zip(embedding, vector), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))) AS distance FROM kb_vectors CROSS JOIN qv
 ), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) - 1 AS rank FROM near
 ), a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank FROM (SELECT k.* FROM knn k {_JOINED} WHERE k.rank < {fetch_vectors} AND {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {pool}
@@ -197,7 +157,6 @@ def _hybrid_sql(where: str, fetch: int, fetch_vectors: int, pool: int, text: str
 
 
 _DEFAULT_HYBRID = _hybrid_sql("c.quality_score >= 0.3", 500, 500, 50)
-_EVERY = (EVERY_BM25_SQL, "vec_id % 50 = 0")
 
 
 def _short(df: DataFrame) -> DataFrame:
@@ -206,29 +165,29 @@ def _short(df: DataFrame) -> DataFrame:
 
 @register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 10", _DEFAULT_HYBRID))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10)))
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)))
 
 
 @register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 5", _hybrid_sql("c.quality_score >= 0.3 AND d.topic = 'en' AND list_contains(d.tags, 'b1') AND d.date >= '2024-02-01'", 500, 500, 50)))
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Filters(topic="en", tags_all=("en", "b1"), date_from="2024-02-01")
-    return _short(search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=5, filters=f)))
+    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=5, filters=f)))
 
 
 @register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits", _DEFAULT_HYBRID))
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(candidates(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True))))
+    return _short(candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True))))
 
 
 @register(_with("SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w - min(score) OVER w > 1.1920929e-07 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 4) AS relevance FROM hits WINDOW w AS (PARTITION BY query_id)", _DEFAULT_HYBRID))
 def minmax_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = candidates(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True)))
+    hits = candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True)))
     return refine.relevance(hits).select("query_id", "chunk_id", F.round("relevance", 4).alias("relevance"))
 
 
 @register(_with("SELECT query_id, count(*) >= 2 AND avg(score) > 0 AND max(score) / avg(score) < 1.5 AS low_confidence FROM hits WHERE rank < 10 GROUP BY 1", _DEFAULT_HYBRID))
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10)).select("query_id", "low_confidence").distinct()
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)).select("query_id", "low_confidence").distinct()
 
 
 @register()
@@ -251,7 +210,7 @@ PARENT_SQL = _DEFAULT_HYBRID + """, h AS (SELECT hits.query_id, hits.chunk_id, c
 
 @register(_with("SELECT query_id, chunk_id, CASE WHEN whole THEN full_text WHEN fits THEN near_text ELSE own END AS content, CASE WHEN whole THEN 'whole_document' ELSE 'adjacent' END AS kind FROM wide", PARENT_SQL))
 def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10, parent=_PARENT)).select("query_id", "chunk_id", "content", F.col("expanded_from.kind").alias("kind"))
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, parent=_PARENT)).select("query_id", "chunk_id", "content", F.col("expanded_from.kind").alias("kind"))
 
 
 @register()
@@ -259,56 +218,6 @@ def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=20)).select("query_id", "chunk_id", "match_spans")
 
 
-# --- the same for every fiftieth row
-
-
-_EVERY_HYBRID = _hybrid_sql("c.quality_score >= 0.3", 500, 500, 50, *_EVERY)
-_EVERY_FILTERED = _hybrid_sql("c.quality_score >= 0.3 AND d.topic = 'en' AND list_contains(d.tags, 'b1') AND d.date >= '2024-02-01'", 500, 500, 50, *_EVERY)
-
-
-@register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM text_rank WHERE rank < 50", EVERY_BM25_SQL))
-def bm25_ranked_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, Fusion().weights), 50)
-    return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
-
-
-@register(_with("SELECT query_id, count(DISTINCT id) AS matches FROM hit GROUP BY 1", EVERY_BM25_SQL))
-def fts_match_count_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.match_counts(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir))
-
-
-@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 10", _EVERY_HYBRID))
-def hybrid_search_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)))
-
-
-@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank < 5", _EVERY_FILTERED))
-def hybrid_filtered_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = Filters(topic="en", tags_all=("en", "b1"), date_from="2024-02-01")
-    return _short(search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=5, filters=f)))
-
-
-@register(_with("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits", _EVERY_HYBRID))
-def rrf_fuse_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True))))
-
-
-@register(_with("SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w - min(score) OVER w > 1.1920929e-07 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 4) AS relevance FROM hits WINDOW w AS (PARTITION BY query_id)", _EVERY_HYBRID))
-def minmax_relevance_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, mmr=Mmr(enabled=True)))
-    return refine.relevance(hits).select("query_id", "chunk_id", F.round("relevance", 4).alias("relevance"))
-
-
-@register(_with("SELECT query_id, count(*) >= 2 AND avg(score) > 0 AND max(score) / avg(score) < 1.5 AS low_confidence FROM hits WHERE rank < 10 GROUP BY 1", _EVERY_HYBRID))
-def low_confidence_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)).select("query_id", "low_confidence").distinct()
-
-
-@register(_with("SELECT query_id, chunk_id, CASE WHEN whole THEN full_text WHEN fits THEN near_text ELSE own END AS content, CASE WHEN whole THEN 'whole_document' ELSE 'adjacent' END AS kind FROM wide", PARENT_SQL.replace(_DEFAULT_HYBRID, _EVERY_HYBRID)))
-def parent_expansion_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10, parent=_PARENT)).select("query_id", "chunk_id", "content", F.col("expanded_from.kind").alias("kind"))
-
-
 # --- chunks, documents, filters
 
 
@@ -328,14 +237,24 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-@register(_with("SELECT category, topic, count(*) AS documents, array_to_string(list_sort(list(title)), '|') AS titles FROM kb_documents GROUP BY 1, 2"))
+@register(_with("SELECT category, topic, count(*) AS documents FROM kb_documents GROUP BY 1, 2"))
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.topics(corpus(spark, sf_dir).documents).select("category", "topic", "documents", F.array_join("titles", "|").alias("titles"))
+    return checks.topics(corpus(spark, sf_dir).documents).select("category", "topic", "documents")
 
 
-@register(_with("SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS prefix, count(*) AS documents, array_to_string(list_sort(list(path)), '|') AS paths FROM kb_documents GROUP BY 1"))
+@register(_with("SELECT category, topic, title FROM kb_documents"))
+def topic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.topic_titles(corpus(spark, sf_dir).documents)
+
+
+@register(_with("SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS prefix, count(*) AS documents FROM kb_documents GROUP BY 1"))
 def topic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.topic_groups(corpus(spark, sf_dir).documents).select("prefix", "documents", F.array_join("paths", "|").alias("paths"))
+    return checks.topic_groups(corpus(spark, sf_dir).documents)
+
+
+@register(_with("SELECT array_to_string(list_slice(string_split(path, '/'), 1, 2), '/') AS prefix, path FROM kb_documents"))
+def group_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.group_paths(corpus(spark, sf_dir).documents)
 
 
 @register(_with("SELECT id, string_split(path, '/')[1] AS category, string_split(path, '/')[2] AS topic FROM kb_documents"))
@@ -490,50 +409,98 @@ def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evaluation
 
-GOLDEN_SQL = """g AS (SELECT item_id, d.source || '/' || d.lang || '/' || d.doc_id || '.md' AS path FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-), found AS (SELECT item_id, d.source || '/' || d.lang || '/' || d.doc_id || '.md' AS path, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text[1:12])
-), h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY path, doc_id) AS r FROM found QUALIFY r <= 10
-), j AS (SELECT g.item_id, g.path, h.r FROM g LEFT JOIN h ON h.item_id = g.item_id AND h.path = g.path
+#: Every query expects one document, which counts once.
+METRICS_SQL = _DEFAULT_HYBRID + f""", asked AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 50 = 0
+), j AS (SELECT asked.query_id, min(rank) + 1 AS r FROM asked LEFT JOIN (SELECT query_id, rank, chunk_id // 1000000 AS document_id FROM hits WHERE rank < 10) h ON h.query_id = asked.query_id AND h.document_id = asked.query_id GROUP BY 1
 ), ks(k) AS (VALUES (1), (5), (10)
-), m AS (SELECT item_id AS query_id, 'recall' AS metric, k, count(*) FILTER (r <= k) / count(*) AS value FROM j CROSS JOIN ks GROUP BY 1, 2, 3
-  UNION ALL SELECT item_id, 'rr', 0, coalesce(1.0 / min(r), 0) FROM j GROUP BY 1
-  UNION ALL SELECT item_id, 'ndcg', k, sum(CASE WHEN r <= k THEN 1 / log2(r + 1) ELSE 0 END) / list_sum(list_transform(range(least(k, count(*))), lambda i: 1 / log2(i + 2))) FROM j CROSS JOIN ks GROUP BY 1, 2, 3)"""
+), m AS (SELECT query_id, 'recall' AS metric, k, CASE WHEN r <= k THEN 1.0 ELSE 0.0 END AS value FROM j CROSS JOIN ks
+  UNION ALL SELECT query_id, 'rr', 0, coalesce(1.0 / r, 0) FROM j
+  UNION ALL SELECT query_id, 'ndcg', k, CASE WHEN r <= k THEN 1 / log2(r + 1) ELSE 0 END FROM j CROSS JOIN ks)"""
+_RUN = SearchOptions(limit=10)
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.metrics(golden_hits(spark, sf_dir), golden_set(spark, sf_dir), (1, 5, 10))
+def _evaluated(spark: SparkSession, sf_dir: str) -> evaluation.Run:
+    return evaluation.evaluate(corpus(spark, sf_dir), golden_set(spark, sf_dir), _RUN, (1, 5, 10))
 
 
-@register(f"WITH {GOLDEN_SQL} SELECT query_id, metric, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM m")
+@register(_with("SELECT query_id, metric, CAST(k AS INTEGER) AS k, round(value, 6) AS value FROM m", METRICS_SQL))
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(spark, sf_dir).withColumn("value", F.round("value", 6))
+    return _evaluated(spark, sf_dir).metrics.withColumn("value", F.round("value", 6))
 
 
-@register(f"WITH {GOLDEN_SQL} SELECT metric, CAST(k AS INTEGER) AS k, round(avg(value), 6) AS value, count(*) AS queries FROM m GROUP BY 1, 2")
+@register(_with("SELECT metric, CAST(k AS INTEGER) AS k, round(avg(value), 6) AS value, count(*) AS queries FROM m GROUP BY 1, 2", METRICS_SQL))
 def eval_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.aggregate(_metrics(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return _evaluated(spark, sf_dir).aggregate.withColumn("value", F.round("value", 6))
 
 
-@register(f"WITH {GOLDEN_SQL}, a AS (SELECT metric, k, round(avg(value), 9) AS now FROM m GROUP BY 1, 2) SELECT metric, CAST(k AS INTEGER) AS k FROM a WHERE k = 5 AND 0.1 > 0.05")
+@register(_with("SELECT metric, CAST(k AS INTEGER) AS k FROM (SELECT DISTINCT metric, k FROM m) WHERE k = 5", METRICS_SQL))
 def eval_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against a run whose values at k = 5 were a tenth higher."""
-    now = evaluation.aggregate(_metrics(spark, sf_dir))
+    now = _evaluated(spark, sf_dir).aggregate
     before = now.withColumn("value", F.when(F.col("k") == 5, F.col("value") + 0.1).otherwise(F.col("value")))
     return evaluation.regressions(now, before).select("metric", "k")
 
 
-@register()
+QUOTES_SQL = r"""needles AS (SELECT n, min(item_id) AS id FROM (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE length(n) >= 12 GROUP BY n
+), hay AS (SELECT document_id, lower(trim(regexp_replace(unnest([heading, context_text, content]), '\s+', ' ', 'g'))) AS h FROM kb_chunks
+), found AS (SELECT DISTINCT document_id, n, id FROM hay JOIN needles ON contains(h, n)
+), live AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.document_id = f.document_id AND g.n <> f.n AND contains(g.n, f.n)))"""
+
+
+@register(_with("SELECT d.path, count(*) AS needles, array_to_string(list_sort(list(live.id)), '|') AS queries FROM live JOIN kb_documents d ON d.id = live.document_id GROUP BY 1", QUOTES_SQL))
 def golden_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that quote two or more golden queries, had none been expected."""
-    unexpected = golden_set(spark, sf_dir).withColumn("expected", F.array().cast("array<struct<path:string,heading:string>>"))
-    return evaluation.quoted_queries(corpus(spark, sf_dir), unexpected, least=1).select("path", "needles", "queries")
+    """Documents that quote a benchmark item word for word, had none been expected."""
+    items = _table(spark, sf_dir, "benchmark").where("item_id is not null and text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    unexpected = items.withColumn("expected", F.array().cast("array<struct<path:string,heading:string>>"))
+    found = evaluation.quoted_queries(corpus(spark, sf_dir), unexpected, least=1)
+    return found.select("path", "needles", F.array_join(F.transform("queries", lambda q: q.cast("string")), "|").alias("queries"))
 
 
-@register()
+SNAPSHOT_SQL = """parts AS (SELECT sha256(list_aggregate([CASE WHEN v IS NULL THEN 'n' ELSE 's' || strlen(v) || ':' || v END FOR v IN [d.path, CAST(c.chunk_index AS VARCHAR), c.heading, c.content, c.context_text]], 'string_agg', '')) AS s
+  FROM kb_chunks c JOIN kb_documents d ON d.id = c.document_id
+), total AS (SELECT count(*) AS chunks, sum(CAST('0x' || s[1:15] AS HUGEINT)) AS one, sum(CAST('0x' || s[16:30] AS HUGEINT)) AS two FROM parts)"""
+
+
+@register(_with("SELECT (SELECT count(*) FROM kb_documents) AS documents, chunks, sha256(one || '|' || two) AS content FROM total", SNAPSHOT_SQL))
 def corpus_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.corpus_snapshot(corpus(spark, sf_dir))
 
 
+# --- before and after a sweep
+
+_ASKED_SQL = "everyone AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 50 = 0 UNION SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0)"
+PREFLIGHT_SQL = _DEFAULT_HYBRID + f""", {_ASKED_SQL}
+, mc AS (SELECT query_id, count(DISTINCT id) AS m FROM hit GROUP BY 1), tc AS (SELECT query_id, count(*) AS t FROM b GROUP BY 1), vc AS (SELECT query_id, count(*) AS v FROM a GROUP BY 1
+), oc AS (SELECT query_id, count(*) AS o FROM a JOIN b USING (query_id, chunk_id) GROUP BY 1)"""
+
+
+@register(
+    _with(
+        """SELECT query_id, coalesce(m, 0) AS matches, 2 * coalesce(m, 0) >= n AS idf_clamped, coalesce(t, 0) AS text_candidates, coalesce(v, 0) AS vector_candidates, coalesce(o, 0) AS overlap, coalesce(t, 0) >= 2 AS effective
+        FROM everyone LEFT JOIN mc USING (query_id) LEFT JOIN tc USING (query_id) LEFT JOIN vc USING (query_id) LEFT JOIN oc USING (query_id) CROSS JOIN stats""",
+        PREFLIGHT_SQL,
+    )
+)
+def tune_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.preflight(corpus(spark, sf_dir), every_query(spark, sf_dir))
+
+
+@register(_with("SELECT query_id, count(*) FILTER (tie) AS ties FROM (SELECT query_id, coalesce(score = lag(score) OVER (PARTITION BY query_id ORDER BY rank), false) AS tie FROM hits WHERE rank < 10) GROUP BY 1", _DEFAULT_HYBRID))
+def tune_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.adjacent_ties(candidates(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10)))
+
+
+def _ranked_by(name: str, weights: tuple[float, float, float]) -> str:
+    """The text candidates under other weights, as a table of this name."""
+    tail = _bm25_sql(weights).split("), hit AS (", 1)[1].replace("hit ", f"hit_{name} ").replace("scored AS", f"scored_{name} AS").replace("FROM scored", f"FROM scored_{name}").replace("text_rank AS", f"rank_{name} AS")
+    return f", hit_{name} AS ({tail}, {name} AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (SELECT k.* FROM rank_{name} k {_JOINED} WHERE k.rank < 500 AND c.quality_score >= 0.3) QUALIFY r <= 50)"
+
+
+@register(_with("SELECT doc_id AS query_id, EXISTS (SELECT 1 FROM heavy_h x FULL JOIN heavy_c y ON x.query_id = y.query_id AND x.r = y.r WHERE coalesce(x.query_id, y.query_id) = doc_id AND x.chunk_id IS DISTINCT FROM y.chunk_id) AS sensitive FROM documents WHERE doc_id % 50 = 0", BM25_SQL + _ranked_by("heavy_h", tuning.EXTREMES[0]) + _ranked_by("heavy_c", tuning.EXTREMES[1])))
+def tune_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tuning.sensitivity(corpus(spark, sf_dir), every_text_query(spark, sf_dir))
+
+
 # --- graph, sweep, stream
 
 
@@ -545,10 +512,7 @@ def connection_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sweep_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query expects the document of its id."""
-    paths = corpus(spark, sf_dir).documents.select(F.col("id").alias("query_id"), F.array(F.struct("path", F.lit(None).cast("string").alias("heading"))).alias("expected"))
-    none = F.array().cast("array<struct<path:string,heading:string>>")
-    return every_query(spark, sf_dir).select("query_id", "query").join(paths, "query_id", "left").withColumn("expected", F.coalesce("expected", none))
+    return golden_set(spark, sf_dir).drop("vector")
 
 
 @register()
@@ -577,7 +541,15 @@ def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(corpus(spark, sf_dir), hybrid_queries(spark, sf_dir), SearchOptions(limit=10))
+    return search(corpus(spark, sf_dir), every_query(spark, sf_dir), SearchOptions(limit=10))
+
+
+@register(_with("SELECT 'documents' AS \"table\", count(*) AS n FROM kb_documents UNION ALL SELECT 'chunks', count(*) FROM kb_chunks UNION ALL SELECT 'vectors', count(*) FROM kb_vectors WHERE chunk_id IS NOT NULL AND embedding IS NOT NULL"))
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored index."""
+    kb = corpus(spark, sf_dir)
+    parts = [t.select(F.lit(n).alias("table")).groupBy("table").count().withColumnRenamed("count", "n") for n, t in (("documents", kb.documents), ("chunks", kb.chunks), ("vectors", kb.vectors))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def queries() -> dict[str, Query]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.model import Corpus, SearchOptions
 from quarry.operators.refine import diversify, expand, low_confidence, rerank, with_spans
 from quarry.operators.retrieval import attach, fuse, text_leg, vector_leg
+from quarry.storage import durable, hinted
 
 HIT = ("query_id", "rank", "score", "chunk_id", "document_id", "path", "title", "topic", "date", "tags", "heading", "content", "match_spans", "expanded_from", "low_confidence")
 
@@ -19,7 +20,8 @@ def candidates(corpus: Corpus, queries: DataFrame, options: SearchOptions) -> Da
         legs.append(vector_leg(corpus, queries.where("vector is not null"), options.filters, options.pool))
     if "query" in queries.columns:
         legs.append(text_leg(corpus, queries.where("query is not null"), options.filters, options.fusion, options.pool))
-    return attach(fuse(legs, options.fusion.k, None if options.mmr.enabled else options.fused), corpus)
+    found = durable(fuse(legs, options.fusion.k, None if options.mmr.enabled else options.fused), "fused")
+    return attach(hinted(found), corpus)
 
 
 def search(corpus: Corpus, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
@@ -33,6 +35,7 @@ def search(corpus: Corpus, queries: DataFrame, options: SearchOptions | None = N
     if options.rerank:
         hits = rerank(hits, queries, None if options.mmr.enabled else options.hits)
     hits = diversify(hits, corpus.vectors, options.hits, options.mmr) if options.mmr.enabled else hits.where(F.col("rank") < options.hits)
+    hits = durable(hits, "hits")  # as many rows as queries times the limit at most
     flags = low_confidence(hits, options.min_confidence_ratio)
     if options.parent.enabled:
         hits = expand(hits, corpus.chunks, options.parent)

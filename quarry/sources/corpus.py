@@ -53,9 +53,10 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select((F.col("vec_id") * STRIDE).alias("chunk_id"), "embedding")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return Corpus(documents(raw), chunks(raw), vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+def corpus(spark: SparkSession, sf_dir: str, spread=lambda df, key: df) -> Corpus:
+    """spread: deals out a table's rows before they are read."""
+    raw = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"), "doc_id")
+    return Corpus(documents(raw), chunks(raw), vectors(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id")))
 
 
 #: The same model for DuckDB, as the head of a query.

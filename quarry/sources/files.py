@@ -12,8 +12,9 @@ from quarry.functions.globs import ignore_regex
 from quarry.functions.text import category_of, extension_of, quality_score, token_estimate, topic_of
 from quarry.sources.parsers import BINARY, MOST_BYTES, parse, registry
 
-# Folders that are never read.
-EXCLUDED = (".git", ".obsidian", ".trash", "node_modules", "target", ".venv")
+# Folders that are left out unless a list is given, and those that always are.
+EXCLUDED = (".obsidian", ".git", "node_modules", "target", ".vscode", ".idea")
+ALWAYS_EXCLUDED = (".git", ".svn", "node_modules")
 MOST_RULES, MOST_RULE_BYTES = 1000, 64 << 10
 
 
@@ -23,17 +24,21 @@ def ignore_rules(text: str) -> list[tuple[str, bool]]:
     return [r for line in text.split("\n") if (r := ignore_regex(line))]
 
 
-def excluded(path: Column, folders: tuple[str, ...] = (), ignore: str = "") -> Column:
-    """True for paths under an excluded folder or whose last matching ignore pattern does not take them back."""
+def excluded(path: Column, folders: tuple[str, ...] | None = None, ignore: str = "") -> Column:
+    """True for paths under an excluded folder or whose last matching ignore pattern does not take them back.
+
+    folders replaces the default list, () excludes nothing of it; the folders that are always left out stay so.
+    """
+    barring = (*ALWAYS_EXCLUDED, *(EXCLUDED if folders is None else folders))
     low = F.lower(path)
-    barred = F.arrays_overlap(F.slice(F.split(low, "/"), 1, F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0))), F.array(*(F.lit(x.lower()) for x in (*EXCLUDED, *folders))))
+    barred = F.arrays_overlap(F.slice(F.split(low, "/"), 1, F.greatest(F.size(F.split(low, "/")) - 1, F.lit(0))), F.array(*(F.lit(x.lower()) for x in barring)))
     matched = F.lit(False)
     for pattern, back in ignore_rules(ignore):
         matched = F.when(low.rlike(pattern), F.lit(not back)).otherwise(matched)
     return barred | matched
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",), folders: tuple[str, ...] = (), ignore: str = "", cap: int = MOST_BYTES) -> DataFrame:
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",), folders: tuple[str, ...] | None = None, ignore: str = "", cap: int = MOST_BYTES) -> DataFrame:
     """(path, content_hash, size_bytes, status, content) of the eligible files under root; those over the cap have status oversize and no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]

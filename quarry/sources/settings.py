@@ -32,8 +32,15 @@ def search_options(text: str) -> SearchOptions:
 GOLDEN = "query_id long, query string, expected array<struct<path:string,heading:string>>, tags array<string>"
 
 
+def golden_defaults(text: str) -> dict:
+    """{limit?, rerank?} that a golden set asks to be run with."""
+    import yaml
+
+    return dict((yaml.safe_load(text) or {}).get("defaults") or {})
+
+
 def golden(spark: SparkSession, text: str) -> DataFrame:
-    """The queries of a golden set: {defaults?, queries: [{id?, query, expected: [{path, heading?}], tags?}]}."""
+    """The queries of a golden set: {defaults?, queries: [{id?, query, expected: [{path, heading?}], tags?}]}. golden_defaults() reads the defaults."""
     import yaml
 
     if len(text.encode()) > MOST_GOLDEN:

@@ -1,12 +1,13 @@
 """Index maintenance from a stream of file events.
 
 Events are (event_id, ts, kind, path, new_path) with kind reindex, deindex or rename. Micro-batches are merged in foreachBatch: a batch's last
-event for each path decides. State is a Parquet table of (path, ts, event_id), written to a new folder for each batch, so a batch that runs again gives the same state.
+event for each path decides. State is a Parquet table of (path, ts, event_id, live) in buckets by path; deindexed paths stay in it as tombstones, so that an
+older event that comes late doesn't revive them. A batch writes only the buckets it touches, to a new folder, so a batch that runs again gives the same state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import extension_of
@@ -25,11 +26,16 @@ def classify(events: DataFrame, extensions: tuple[str, ...] = ("md",)) -> DataFr
     return old.unionByName(new)
 
 
+def last_events(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path, ts, event_id, live): for each path the last by (ts, event_id) of the state and the changes; deindexed paths stay as tombstones."""
+    newest = F.max_by(F.struct("ts", "event_id", "live"), F.struct("ts", "event_id", ~F.col("live")))
+    return state.select(*_COLUMNS).unionByName(changes.select(*_COLUMNS)).groupBy("path").agg(newest.alias("e")).select("path", "e.ts", "e.event_id", "e.live")
+
+
 def merge(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """State after changes: for each path the last by (ts, event_id); a deindexed path goes. Changes older than the state don't undo it."""
-    rows = state.withColumn("live", F.lit(True)).unionByName(changes)
-    last = rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), F.desc("event_id"), "live"))).where("n = 1 and live")
-    return last.select("path", "ts", "event_id")
+    """The live paths (path, ts, event_id) after changes. state: (path, ts, event_id), with tombstones if it has a column live."""
+    known = state if "live" in state.columns else state.withColumn("live", F.lit(True))
+    return last_events(known, changes).where("live").drop("live")
 
 
 def batch_state(events: DataFrame, extensions: tuple[str, ...] = ("md",)) -> DataFrame:
@@ -37,20 +43,49 @@ def batch_state(events: DataFrame, extensions: tuple[str, ...] = ("md",)) -> Dat
     return merge(events.sparkSession.createDataFrame([], STATE), classify(events, extensions))
 
 
+#: Buckets of the state; a batch rewrites those of its paths, and every FULL-th batch all of them, so that older batches need not be read.
+BUCKETS, FULL = 64, 32
+_COLUMNS = ("path", "ts", "event_id", "live")
+_STORED = "path string, ts timestamp, event_id long, live boolean, bucket int, version long"
+
+
+def _stored(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The rows of each bucket's newest version after a batch."""
+    if number < 0:
+        return spark.createDataFrame([], _STORED)
+    rows = spark.read.schema(_STORED).parquet(*(f"{folder}/state-{k}" for k in range(number // FULL * FULL, number + 1)))
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi")
+
+
 def maintain(events: DataFrame, folder: str, extensions: tuple[str, ...] = ("md",), trigger: dict | None = None):
-    """Starts a query that keeps the state table under `folder`. Deindexed paths are kept as tombstones of the last batch only."""
+    """Starts a query that keeps the state table under `folder`, a folder state-<n> for each batch."""
     spark = events.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        state = spark.read.schema(STATE).parquet(f"{folder}/state-{number - 1}") if number else spark.createDataFrame([], STATE)
-        merge(state, classify(batch, extensions)).write.mode("overwrite").parquet(f"{folder}/state-{number}")
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        changes = classify(batch, extensions)
+        before = _stored(spark, folder, number - 1)
+        if number % FULL:
+            touched = [r[0] for r in changes.select(bucket).distinct().collect()]  # at most BUCKETS
+            before = before.where(F.col("bucket").isin(touched)) if touched else before.limit(0)
+        new = last_events(before, changes).select(*_COLUMNS, bucket.alias("bucket"), F.lit(number).cast("long").alias("version"))
+        new.repartition("bucket").write.mode("overwrite").parquet(f"{folder}/state-{number}")
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
 
 
 def last_state(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    return spark.read.schema(STATE).parquet(f"{folder}/state-{number}")
+    """(path, ts, event_id) of the live paths after a batch."""
+    return _stored(spark, folder, number).where("live").select("path", "ts", "event_id")
+
+
+def drop_versions(spark: SparkSession, folder: str, number: int) -> None:
+    """Deletes the folders that no batch after this one reads."""
+    for k in range(number // FULL * FULL):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state-{k}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def debounced(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
