@@ -4,37 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table of ids is broadcast only if it has at most this many rows (8 bytes each, 4 MB); larger ones are joined by shuffle.
-BROADCAST_IDS = 500_000
-
-_own_folders: dict[str, str] = {}
-
+from quarry.storage import durable, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="quarry-")
-    return _own_folders[app]
+__all__ = ["as_id", "durable", "free_prefix", "keep_ids", "release_memory", "shared_folder"]
 
-
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lost executors can't lose it, and nothing above it runs twice."""
-    # a union of parts whose partitions were coalesced differently must not count as partitioned by their keys
-    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table of ids is broadcast only if it has at most this many rows (8 bytes each, 4 MB); larger ones are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
