@@ -30,19 +30,23 @@ BLOCK, GUESTS = 2048, 8192
 
 def _units(column: pa.Array) -> np.ndarray:
     offsets = column.offsets.to_numpy()
-    x = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(len(column), -1)
+    return _normed(column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(len(column), -1))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors. Rows are scaled by their largest component first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _centers(rows: list) -> dict[tuple[int, int], np.ndarray]:
+def _centers(rows: list) -> dict[tuple[str, int], np.ndarray]:
     """(label, dimension) to centers, farthest first; a label's first center is its first row."""
-    by: dict[tuple[int, int], list] = defaultdict(list)
+    by: dict[tuple[str, int], list] = defaultdict(list)
     for r in rows:
         by[r["label"], len(r["embedding"])].append(r["embedding"])
     out, left = {}, MOST_CENTERS
     for key in sorted(by):
-        x = np.array(by[key], np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _normed(np.array(by[key], np.float64))
         chosen, d = [0], np.linalg.norm(x - x[0], axis=1)
         while len(chosen) < min(CENTERS, left) and d.max() > 0.5:
             chosen.append(int(d.argmax()))
@@ -53,10 +57,11 @@ def _centers(rows: list) -> dict[tuple[int, int], np.ndarray]:
     return out
 
 
-def _by_key(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    label, size = batch.column(1).to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
-    for key in sorted(set(zip(label.tolist(), size.tolist(), strict=True))):
-        yield key, np.flatnonzero((label == key[0]) & (size == key[1]))
+def _by_key(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+    labels = batch.column(1).dictionary_encode()
+    names, label, size = labels.dictionary.to_pylist(), labels.indices.to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+    for at, n in sorted(set(zip(label.tolist(), size.tolist(), strict=True))):
+        yield (names[at], n), np.flatnonzero((label == at) & (size == n))
 
 
 def _homes(centers: dict):
@@ -143,14 +148,19 @@ def _tasks(cosine: float):
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id_col, n_links, component_id and kept of every row; links join vectors of equal label with cosine >= the threshold.
 
-    Cosines are taken in double precision and the result is exact. A null label, and a vector that is null, empty, zero or holds null or
+    Cosines are taken in double precision and the result is exact. Labels of any type are compared as they are. A null label, and a vector that is null, empty, zero or holds null or
     non-finite components, links with nothing; vectors of different length neither. Rows with a null id count in others' n_links
     no more than unlinked ones: they link with nothing, component_id is null and kept true. Rows that repeat an id count one by one
     as links and are one node of a component. An empty table gives an empty one.
     """
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    e = F.transform(F.col(vector_col), lambda v: v.cast("float"))
-    rows = vectors.select(as_id(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), e.alias("embedding"))
+    kinds = dict(vectors.dtypes)
+    kind = "float" if kinds[vector_col] == "array<float>" else "double"
+    e = F.transform(F.col(vector_col), lambda v: v.cast(kind))
+    label = F.col(label_col)
+    if kinds[label_col] in ("float", "double"):  # both zeros are equal
+        label = F.when(label == 0, F.lit(0.0)).otherwise(label)
+    rows = vectors.select(as_id(id_col).alias("id"), label.cast("string").alias("label"), e.alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     ok = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     digests = {"h1": F.when(F.col("ok"), F.xxhash64("embedding")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding"))}
@@ -158,16 +168,16 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str =
     key = ["label", "h1", "h2"]
     good = rows.where("ok")
     classes = good.groupBy(*key).agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = durable(classes.withColumn("rep", F.xxhash64(*key)), "vectors")
-    sample = classes.select("label", "embedding", "rep").orderBy("rep").limit(SAMPLE).collect()
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    sample = classes.select("label", "embedding", "h1", "h2").orderBy("h1", "h2", "label").limit(SAMPLE).collect()
     centers = _centers(sample)
-    homes = classes.select("rep", "label", "embedding").mapInArrow(_homes(centers), "rep long, label long, embedding array<float>, cell int, d double")
+    homes = classes.select("rep", "label", "embedding").mapInArrow(_homes(centers), f"rep long, label string, embedding array<{kind}>, cell int, d double")
     homes = durable(homes.withColumn("dim", F.size("embedding")), "homes")
     cells = homes.groupBy("label", "dim", "cell").agg(F.max("d").alias("r"), F.count("*").alias("m"))
     cells = durable(cells.select("label", "dim", "cell", "r", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "cells")
     top = [k[0] for k in centers]
     radius = {(r["label"], r["dim"], r["cell"]): r["r"] for r in cells.where(F.col("label").isin(top)).collect()} if top else {}
-    seen = homes.drop("dim").mapInArrow(_visits(centers, radius, reach), "rep long, label long, embedding array<float>, cell int, d double, others array<int>")
+    seen = homes.drop("dim").mapInArrow(_visits(centers, radius, reach), f"rep long, label string, embedding array<{kind}>, cell int, d double, others array<int>")
     seen = seen.withColumn("dim", F.size("embedding")).withColumn("at", F.explode(F.array_append("others", F.col("cell"))))
     crowd = seen.groupBy("label", "dim", "at").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("shares"))
     blocks = cells.select("label", "dim", F.col("cell").alias("at"), "blocks").join(crowd, ["label", "dim", "at"])

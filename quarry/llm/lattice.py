@@ -485,6 +485,8 @@ def _encoder(pieces: Pieces, k: int, ids: bool, group: int = GROUP):
             yield pa.RecordBatch.from_pydict(columns)
             del columns, n, probability, score, digest, tokens
             release_memory()
+        del known
+        release_memory()
 
     return run
 
@@ -501,3 +503,24 @@ def encode_samples(docs: DataFrame, pieces: Pieces, k: int = 2, id_col: str = "d
     kind = "n_tokens array<long>, log_prob array<double>, inclusion array<double>, tokens_hash array<string>, round_trip boolean" + (", token_ids array<array<int>>" if ids else "")
     out = rows.mapInArrow(_encoder(pieces, k, ids, group), f"{kind}, id long")
     return out.select(F.col("id").alias(id_col), *(c for c in out.columns if c != "id"))
+
+
+def _decoder(pieces: Pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled = [None if row is None else [None if i is None else pieces.spell(np.asarray(i, np.int64)).decode("utf-8", "surrogatepass") for i in row] for row in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.list_(pa.string())), *batch.columns[1:]], names=["texts", *batch.schema.names[1:]])
+
+    return run
+
+
+def decode_samples(samples: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out_col: str = "texts") -> DataFrame:
+    """samples with out_col added (replaced if there): for each segmentation of ids_col, arrays of token ids, the text that its tokens spell.
+
+    Null stays null, no tokens spell an empty text. A token id outside the vocabulary, or bytes that are no UTF-8, are an error.
+    """
+    names = [c for c in samples.columns if c != out_col]
+    kinds = dict(samples.dtypes)
+    rows = samples.select(F.col(f"`{ids_col}`").cast("array<array<int>>").alias("ids"), *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(names)))
+    out = rows.mapInArrow(_decoder(pieces), ", ".join(["texts array<string>", *(f"x{k} {kinds[c]}" for k, c in enumerate(names))]))
+    return out.select(*(F.col(f"x{k}").alias(c) for k, c in enumerate(names)), F.col("texts").alias(out_col))

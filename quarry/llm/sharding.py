@@ -48,9 +48,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def assign_shards(rows: DataFrame, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """rows with slot and shard added (columns of these names are replaced). The table has `slots` rows whatever the input, and is broadcast."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill_table(shards, slots))], "__slot int, shard string")
-    out = rows.drop("slot", "shard").withColumn("__slot", slot_of(F.col(f"`{key_col}`"), slots))
-    return out.join(F.broadcast(table), "__slot").withColumnRenamed("__slot", "slot")
+    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill_table(shards, slots))], "slot int, shard string")
+    out = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key_col}`"), slots))
+    return out.join(F.broadcast(table), "slot")
 
 
 def write_shards(rows: DataFrame, path: str, key_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, parts: int = 1) -> None:

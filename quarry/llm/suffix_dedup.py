@@ -301,15 +301,15 @@ def _sorted_spans(key: np.ndarray, ids: np.ndarray, marks: np.ndarray, pos: np.n
         return None
     key, ids, marks, pos, lead = number[keep], ids[keep], marks[keep], pos[keep], lead[keep].astype(np.int64)
     chosen = blobs.take(pa.array(keep))
-    offsets = np.frombuffer(chosen.buffers()[1], np.int32)[chosen.offset : chosen.offset + len(chosen) + 1].astype(np.int64)
+    chosen = chosen.combine_chunks() if isinstance(chosen, pa.ChunkedArray) else chosen
+    offsets = np.frombuffer(chosen.buffers()[1], np.int64 if pa.types.is_large_binary(chosen.type) else np.int32)[chosen.offset : chosen.offset + len(chosen) + 1].astype(np.int64)
     data = np.frombuffer(chosen.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     n = np.diff(offsets) - WINDOW + 1
     row = np.repeat(np.arange(len(key)), n)
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((step, pos[row], ids[row]))  # earlier starts first; start = pos + step
     start = pos[row] + step
-    order = np.lexsort((start, ids[row]))
+    order = np.lexsort((start, ids[row]))  # earlier starts first
     row, step, start = row[order], step[order], start[order]
     group = Suffixes(data, WINDOW).classes(offsets[row] + step, key[row] * 128 + lead[row] - step)
     order = np.argsort(group, kind="stable")
@@ -329,11 +329,12 @@ def _meet_slice_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def _meet_slices(table: pa.Table) -> Iterator[pa.RecordBatch]:
     kind = table.column("kind").to_numpy()
     yield from table.filter(pa.array(kind == 1)).select(["kind", "id", "mark", "blob"]).to_batches()
-    table = table.filter(pa.array(kind == 0)).sort_by("key").combine_chunks()
+    table = table.filter(pa.array(kind == 0))
+    table = table.set_column(table.schema.get_field_index("blob"), "blob", table.column("blob").cast(pa.large_binary())).sort_by("key").combine_chunks()
     if not table.num_rows:
         return
     key, ids, marks, pos, lead = (table.column(c).to_numpy() for c in ("key", "id", "mark", "pos", "lead"))
-    blobs = table.column("blob").chunk(0)
+    blobs = table.column("blob")  # one chunk, or several where the bytes are over 2 GB
     low = 0
     while low < len(key):  # pieces of whole keys keep the working arrays small
         high = min(low + 20_000, len(key))

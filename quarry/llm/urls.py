@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -10,10 +12,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id
+from quarry.llm.durable import as_id, durable
 
 #: Least share of labelled URLs that hold a combination, least share of them that are labelled block, and the ratio to the overall share that is exceeded.
 SUPPORT, CONFIDENCE, LIFT = 0.01, 0.6, 1.0
+#: Blocked rows that a combination needs at least, so that a small table makes no rules of single sites.
+LEAST_ROWS = 3
 MOST_FIXED = 1000
 _BLOCK = "label=block"
 
@@ -76,15 +80,32 @@ def fixed_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[
     return name, verdict
 
 
-def mine_block_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> list[list[str]]:
-    """Token combinations that stand for block in rows (url, block boolean), without those that contain another."""
-    bag = labelled.where(F.col(block_col).isNotNull()).select(tokens_of(F.col(url_col)).alias("t"), F.col(block_col).alias("b"))
-    items = bag.select(F.when(F.col("b"), F.array_append("t", F.lit(_BLOCK))).otherwise(F.col("t")).alias("items"))
-    if not items.where(F.array_contains("items", _BLOCK)).limit(1).count():
+def mine_block_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "block", support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_ROWS) -> list[list[str]]:
+    """Token combinations that stand for block in rows (url, block boolean), without those that contain another.
+
+    A combination is held by a share `support` of all rows and by `least` rows, blocked ones only. Tokens of exactly the same rows are mined
+    as one, so that tokens which always come together make no combinations of their own; the rules name each of them again.
+    """
+    bag = labelled.where(F.col(block_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), tokens_of(F.col(url_col)).alias("t"), F.col(block_col).alias("b"))
+    bag = durable(bag, "labelled_urls")
+    n, blocked = bag.agg(F.count("*"), F.count_if("b")).first()
+    if not blocked:
+        return []
+    least = max(least, math.ceil(support * n - 1e-9))
+    each = bag.select("row", "b", F.explode("t").alias("token"))
+    alike = each.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("two")).where(F.col("c") >= least)
+    # frequent tokens are at most the mean number of tokens over the support
+    groups = durable(alike.groupBy("c", "one", "two").agg(F.sort_array(F.collect_list("token")).alias("same")).select(F.col("same")[0].alias("name"), "same"), "alike_tokens")
+    names = groups.select("name", F.explode("same").alias("token"))
+    items = durable(each.join(F.broadcast(names), "token").groupBy("row", "b").agg(F.collect_set("name").alias("t")).select(F.when(F.col("b"), F.array_append("t", F.lit(_BLOCK))).otherwise(F.col("t")).alias("items")), "url_items")
+    m = items.count()
+    if m < least:
         return []
-    rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    found = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("lift") > lift))
-    return smallest(r["a"] for r in found.select(F.array_sort("antecedent").alias("a")).orderBy(F.size("a"), "a").toLocalIterator())
+    rules = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=confidence).fit(items).associationRules
+    found = rules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK) & (F.col("confidence") * n > lift * blocked * (1 + 1e-12)))
+    kept = smallest(r["a"] for r in found.select(F.array_sort("antecedent").alias("a")).orderBy(F.size("a"), "a").toLocalIterator())
+    same = {r["name"]: r["same"] for r in groups.collect()}
+    return [sorted(r) for k in kept for r in itertools.product(*(same[t] for t in k))]
 
 
 def smallest(rules: Iterable[list[str]]) -> list[list[str]]:
