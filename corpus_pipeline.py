@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, as token ids with their scores."""
-    return encode_samples(docs, Pieces.from_model(PIECES), k=2, ids=True, group=1 << 19)
+    return encode_samples(docs, Pieces.from_model(PIECES), k=2, ids=True, group=1 << 18)
 
 
 STAGES = [
