@@ -14,7 +14,7 @@ from quarry.llm.durable import durable
 from quarry.llm.lattice import Pieces, encode_samples
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
-from quarry.llm.registry import PIECES
+from quarry.llm.registry import pieces_path
 from quarry.llm.suffix_dedup import remove_repeats
 
 
@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, as token ids with their scores."""
-    return encode_samples(docs, Pieces.from_model(PIECES), k=2, ids=True, group=1 << 18)
+    return encode_samples(docs, Pieces.from_model(pieces_path(spark)), k=2, ids=True, group=1 << 18)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import unicodedata
 from functools import lru_cache
 from urllib.parse import quote, unquote_to_bytes
@@ -183,5 +184,38 @@ def section(text: str, target: str) -> str | None:
     return None if out is None else "\n".join(out).rstrip()
 
 
+def days_before(day: str, days: int) -> str:
+    """The ISO date so many days before one."""
+    return (datetime.date.fromisoformat(day) - datetime.timedelta(days=days)).isoformat()
+
+
+def template_paths(templates: tuple[str, ...], target: str) -> list[str]:
+    """The candidates that templates with {target} stand for, in their order; those that leave the root are no candidates."""
+    paths = [t.replace("{target}", target) for t in templates]
+    return [p for p in paths if not p.startswith("/") and "\\" not in p and "\0" not in p and not any(x in ("", ".", "..") for x in p.split("/"))]
+
+
+# Estimated widths of characters in ems, and the headroom over them.
+_EM = {"ijlItfr.,;:'!|()[]{}/\\-": 0.30, " ": 0.28, "WM@%mw": 0.90}
+_HEADROOM = 1.15
+
+
+def text_width(text: str, size: float) -> float:
+    """The estimated width of a line at a font size; characters outside ASCII count as full width."""
+    em = lambda c: next((w for cs, w in _EM.items() if c in cs), 1.0 if c > "\x7f" else 0.70 if c.isupper() else 0.55)
+    return sum(map(em, text)) * size * _HEADROOM
+
+
+def fit_width(text: str, size: float, width: float) -> str:
+    """text, or its longest beginning that fits in the width with an ellipsis behind it."""
+    if text_width(text, size) <= width:
+        return text
+    left = width - text_width("…", size)
+    n = 0
+    while n < len(text) and text_width(text[: n + 1], size) <= left:
+        n += 1
+    return text[:n] + "…"
+
+
 def truncate_bytes(text: str, size: int) -> str:
     return text.encode()[:size].decode("utf-8", "ignore")

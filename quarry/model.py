@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+# Limits and defaults that users see.
 OVERFETCH, MOST_FETCHED, MOST_NEIGHBOURS, MOST_HITS = 10, 10_000, 4096, 1000
 MOST_LIST, MOST_ITEM_BYTES, MOST_QUERY_BYTES = 64, 1024, 1024
 QUALITY = 0.3

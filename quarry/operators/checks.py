@@ -6,11 +6,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import extension_of, group_prefix
 from quarry.model import QUALITY, Corpus
+from quarry.storage import durable
 
 SAMPLES = 5
 
@@ -25,6 +26,8 @@ def orphans(corpus: Corpus, postings: DataFrame | None = None) -> dict[str, Data
         "chunk-without-document": label(chunks.join(docs.withColumnRenamed("id", "d"), F.col("document_id") == F.col("d"), "left_anti"), "id"),
         "document-without-chunks": label(docs.join(chunks.select("document_id"), docs["id"] == F.col("document_id"), "left_anti"), "path"),
     }
+    none = vecs.limit(1).agg(F.count("*").alias("v")).where("v = 0")  # vectors of no chunk at all are a finding of its own
+    out["vector-table-missing"] = chunks.agg(F.count("*").alias("n")).where("n > 0").crossJoin(none).select(F.concat(F.col("n").cast("string"), F.lit(" chunks")).alias("label"))
     if postings is not None:
         out["missing-text-row"] = label(chunks.join(postings, chunks["id"] == postings["chunk_id"], "left_anti"), "id")
         out["orphan-text-row"] = label(postings.join(chunks, chunks["id"] == postings["chunk_id"], "left_anti"), "chunk_id")
@@ -44,14 +47,15 @@ def warnings(corpus: Corpus, extensions: tuple[str, ...] = ("md",), cap: int = 1
 
 
 def doctor(corpus: Corpus, postings: DataFrame | None = None, extensions: tuple[str, ...] = ("md",), cap: int = 1 << 20, excluded: str | None = None) -> DataFrame:
-    """(check, severity, n, samples): a row for each check, with the first five labels."""
+    """(check, severity, n, samples): a row for each check, with the first five labels. What all checks found is stored once, then counted and sampled."""
     found = [(k, "error", v) for k, v in orphans(corpus, postings).items()] + [(k, "warning", v) for k, v in warnings(corpus, extensions, cap, excluded).items()]
-    rows = []
-    for check, severity, labels in found:
-        count = labels.agg(F.count("*").alias("n"))
-        first = labels.orderBy("label").limit(SAMPLES).agg(F.sort_array(F.collect_list("label")).alias("samples"))
-        rows.append(count.crossJoin(first).select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "n", "samples"))
-    return reduce(DataFrame.unionByName, rows)
+    rows = durable(reduce(DataFrame.union, [v.select(F.lit(k).alias("check"), F.col("label")) for k, _, v in found]), "findings")
+    counts = rows.groupBy("check").agg(F.count("*").alias("n"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("check").orderBy("label"))).where(F.col("r") <= SAMPLES)
+    samples = first.groupBy("check").agg(F.sort_array(F.collect_list("label")).alias("samples"))
+    known = rows.sparkSession.createDataFrame([(k, s) for k, s, _ in found], "check string, severity string")
+    out = known.join(counts, "check", "left").join(samples, "check", "left")
+    return out.select("check", "severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def status(corpus: Corpus, threshold: float = QUALITY) -> DataFrame:

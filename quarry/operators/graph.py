@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import fit_width
 from quarry.model import MOST_NEIGHBOURS, Corpus, GraphOptions
 from quarry.operators.predicates import predicate
 from quarry.operators.retrieval import attach, knn
@@ -161,5 +162,5 @@ def to_svg(graph: Graph) -> str:
             p = graph.nodes[n.parent_id]
             out.append(f'<line x1="{x(p) + 240}" y1="{top(p.id) + 20:.1f}" x2="{x(n)}" y2="{top(n.id) + 20:.1f}" stroke="#888"/>')
     for n in graph.nodes:
-        out.append(f'<rect x="{x(n)}" y="{top(n.id):.1f}" width="240" height="40" fill="#eef" stroke="#558"/><text x="{x(n) + 8}" y="{top(n.id) + 25:.1f}" font-size="12">{safe(_label(n, 34))}</text>')
+        out.append(f'<rect x="{x(n)}" y="{top(n.id):.1f}" width="240" height="40" fill="#eef" stroke="#558"/><text x="{x(n) + 8}" y="{top(n.id) + 25:.1f}" font-size="12">{safe(fit_width(n.heading or n.path.rsplit("/", 1)[-1], 12, 224))}</text>')
     return "".join([*out, "</svg>"])

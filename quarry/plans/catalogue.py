@@ -298,7 +298,7 @@ BROKEN_SQL = "d AS (SELECT * FROM kb_documents WHERE id % 7 <> 0), c AS (SELECT
         UNION ALL SELECT 'orphan-embedding', count(*) FROM v WHERE chunk_id NOT IN (SELECT id FROM c)
         UNION ALL SELECT 'chunk-without-document', count(*) FROM c WHERE document_id NOT IN (SELECT id FROM d)
         UNION ALL SELECT 'document-without-chunks', count(*) FROM d WHERE id NOT IN (SELECT document_id FROM c)
-        UNION ALL SELECT 'extension-not-registered', 0 UNION ALL SELECT 'size-not-recorded', 0
+        UNION ALL SELECT 'vector-table-missing', 0 UNION ALL SELECT 'extension-not-registered', 0 UNION ALL SELECT 'size-not-recorded', 0
         UNION ALL SELECT 'larger-than-a-read-returns', count(*) FROM d WHERE size_bytes > 1048576""",
         BROKEN_SQL,
     )

@@ -5,11 +5,16 @@ from __future__ import annotations
 import io
 import json
 import re
+import unicodedata
 import zipfile
+from collections import Counter
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from xml.etree import ElementTree
 
+from quarry.functions.text import LIGATURES
+
+# Limits that users see.
 LEAST_CHUNK = 50
 MOST_BYTES, MOST_PART, MOST_UNPACKED = 50 << 20, 1 << 20, 200 << 20
 
@@ -253,15 +258,48 @@ def pptx(raw: bytes, name: str = "", exclude: tuple[str, ...] = ()) -> Parsed:
     return out
 
 
-def pdf_pages(pages: list[str], name: str = "", title: str | None = None) -> Parsed:
+# A run of this length is judged by itself, shorter ones together, if they make this many pairs with this many different second characters.
+_OWN_RUN, _LEAST_PAIRS, _LEAST_SECONDS, _TOP_SHARE, _MOST_SUSPECT = 8, 12, 6, 0.9, 0.3
+
+
+def paired_bytes(pages: list[str]) -> float:
+    """The share of characters that look like two-byte text read byte by byte: in pairs whose first character hardly varies while the second does."""
+    runs = [r for p in pages for r in p.split()]
+    narrow = [r for r in runs if len(r) >= 2 and max(map(ord, r)) < 0x100]
+    suspect = sum(len(r) for r in narrow if len(r) >= _OWN_RUN and len(set(r[::2])) <= 2 and len(set(r[1::2])) >= 4)
+    short = [r for r in narrow if len(r) < _OWN_RUN]
+    pairs = [r[k : k + 2] for r in short for k in range(0, len(r) - 1, 2)]
+    firsts = Counter(p[0] for p in pairs)
+    if len(pairs) >= _LEAST_PAIRS and len({p[1] for p in pairs}) >= _LEAST_SECONDS and sum(n for _, n in firsts.most_common(2)) >= _TOP_SHARE * len(pairs):
+        suspect += sum(map(len, short))
+    return suspect / max(1, sum(map(len, runs)))
+
+
+def repaired_title(title: str | None) -> str | None:
+    """A title whose UTF-16 bytes were read as single characters, put right; one that can't be is null, others are trimmed."""
+    text = (title or "").strip()
+    if not text.startswith("\u00fe\u00ff"):
+        return text or None
+    try:
+        out = text[2:].encode("cp1252").decode("utf-16-be")
+    except UnicodeError:
+        return None
+    return out if out.strip() and not any(unicodedata.category(c) == "Cc" for c in out) else None
+
+
+def pdf_pages(pages: list[str], name: str = "", title: str | None = None, date: str | None = None) -> Parsed:
     """Chunks of extracted page texts. Text that looks wrongly decoded, or is under 50 characters a page on average, is an error."""
     whole = "".join(pages)
-    if sum(0x80 <= ord(c) < 0xA0 for c in whole) >= 0.01 * max(1, len(whole)):
+    if sum(0x80 <= ord(c) < 0xA0 for c in whole) >= 0.01 * max(1, len(whole)) or paired_bytes(pages) >= _MOST_SUSPECT:
         raise ValueError("text looks wrongly decoded")
     if pages and sum(len(p.strip()) for p in pages) < 50 * len(pages):
         raise ValueError("hardly any text; scanned?")
-    out = Parsed(title or file_title(name))
+    out = Parsed(repaired_title(title) or file_title(name))
+    if date and (m := re.match(r"(?:D:)?([0-9]{4})-?([0-9]{2})-?([0-9]{2})", date)):
+        out.date = "-".join(m.groups())
+    letters = str.maketrans(LIGATURES)
     for n, p in enumerate(pages, 1):
+        p = p.translate(letters)
         text = re.sub(r"(?<=[a-z])-\n(?=[a-z])", "", p).strip().encode()[:MOST_PART].decode("utf-8", "ignore")
         if text:
             out.chunks.append(Chunk(len(out.chunks), f"p.{n}", 2, text, trail([out.title, f"p.{n}"])))
