@@ -19,12 +19,16 @@ from quarry.llm.token_counts import read_pieces, token_counts
 from quarry.llm.urls import judge_urls
 
 
-#: Vocabulary of the token counts and of the lattice; a file of public tokenizers.
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Vocabulary of the token counts and of the lattice, a file of public tokenizers, and the setting that names another one.
+PIECES, PIECES_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.quarry.pieces"
+
+
+def pieces_path(spark: SparkSession) -> str:
+    return spark.conf.get(PIECES_SETTING, PIECES)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), read_pieces(PIECES))
+    return token_counts(table(spark, sf_dir, "documents"), read_pieces(pieces_path(spark)))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lattice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_samples(table(spark, sf_dir, "documents"), Pieces.from_model(PIECES), k=2, ids=False)
+    return encode_samples(table(spark, sf_dir, "documents"), Pieces.from_model(pieces_path(spark)), k=2, ids=False)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
