@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id
+from quarry.llm.durable import as_id, release_memory
 from quarry.llm.hashing import NO_LETTER, U64, Polynomial, joined, splitmix, words
 
 SEED_WORDS, COVERAGE = 5, 0.8
@@ -140,6 +140,8 @@ def _checker(items: list[tuple[int, str]], least: int, threshold: float):
             ids = pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64()))
             cover = pa.array([max((c for _, c in f), default=0.0) for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, cover], names=[*batch.schema.names[1:], "items_new", "cover_new"])
+            del texts, found
+            release_memory()
 
     return run
 

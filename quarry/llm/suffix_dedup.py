@@ -349,6 +349,8 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _utf8(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mark(t) for t in texts], pa.int64()), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary()), *batch.columns[2:]], names=["id", "mark", "packed", *batch.schema.names[2:]])
+        del texts
+        release_memory()
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
@@ -370,7 +372,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = texts.mapInArrow(_find_runs(buckets), "bucket int, kind int, id long, mark long, blob binary")
     found = durable(runs.groupBy("bucket").applyInArrow(_meet_group, _FOUND), "runs")
     opened = found.where("kind = 2").groupBy("id", "mark").agg(F.collect_list("blob").alias("blobs"))
-    slices = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col, []).join(opened, ["id", "mark"]).select("id", "mark", "packed", "blobs").mapInArrow(_slice_rows, _SLICES)
+    slices = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col, []).join(opened.hint("merge"), ["id", "mark"]).select("id", "mark", "packed", "blobs").mapInArrow(_slice_rows, _SLICES)
     more = slices.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(_meet_slice_group, _FOUND)
     return durable(found.where("kind = 1").union(more).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans")), "spans")
 
@@ -395,6 +397,8 @@ def _cutter(texts: bool):
             out |= {"kept": pa.array(kept, pa.string())} if texts else {}
             out |= {n: batch.column(n) for n in batch.schema.names[3:]}
             yield pa.RecordBatch.from_pydict(out)
+            del out, kept
+            release_memory()
 
     return run
 
@@ -409,7 +413,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     extra = [c for c in docs.columns if c not in (id_col, text_col)] if texts else []
     spans = repeated_spans(docs, id_col, text_col)
-    met = _packed(docs, id_col, text_col, extra).join(spans, ["id", "mark"], "left").select("id", "packed", "spans", *(f"x{k}" for k in range(len(extra))))
+    # not broadcast: a task would then hold two Python workers, one that packs and one that cuts
+    met = _packed(docs, id_col, text_col, extra).join(spans.hint("merge"), ["id", "mark"], "left").select("id", "packed", "spans", *(f"x{k}" for k in range(len(extra))))
     kinds = dict(docs.dtypes)
     rest = "".join(f", x{k} {kinds[c]}" for k, c in enumerate(extra))
     out = met.mapInArrow(_cutter(texts), f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept string' if texts else ''}{rest}")
