@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id, release_memory
+from quarry.llm.durable import as_id, durable, release_memory
 from quarry.llm.hashing import NO_LETTER, U64, Polynomial, joined, splitmix, words
 
 SEED_WORDS, COVERAGE = 5, 0.8
 #: Item text that one pass over the documents takes along; more items make more passes.
 BLOCK_BYTES = 8 << 20
+#: Blocks after which the passes so far are written, so that the driver holds the items of no more than these.
+HELD_BLOCKS = 8
 
 
 def _lower(text: str | None) -> str:
@@ -44,26 +46,51 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return splitmix((prefix[n : n + size] - prefix[:size]) * inverse[:size])
 
 
-def _matches(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """Maximal unmarked matches (length, place in item, place in doc) of at least s words, from seeds with equal Karp-Rabin values."""
+def _matches(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, s: int) -> np.ndarray:
+    """Maximal unmarked matches, rows (length, place in item, place in doc), of at least s words, from seeds with equal Karp-Rabin values.
+
+    Seeds that follow equal unmarked words are parts of longer matches and are never paired, so that repeated words don't meet each with each.
+    """
+    none = np.zeros((0, 3), np.int64)
+    if min(len(item), len(doc)) < s:
+        return none
     gi, gd = _grams(item, s), _grams(doc, s)
-    run = lambda free: np.convolve(free, np.ones(s, np.int64), "valid") == s if len(free) >= s else np.zeros(0, bool)
-    at_i, at_d = np.flatnonzero(run(free_i)), np.flatnonzero(run(free_d))
+    at_i, at_d = np.flatnonzero(_runs(free_i, s)), np.flatnonzero(_runs(free_d, s))
     at_d = at_d[np.isin(gd[at_d], gi[at_i])]
-    where: dict[int, list[int]] = defaultdict(list)
-    for d in at_d.tolist():
-        where[int(gd[d])].append(d)
-    out = []
-    for i in at_i.tolist():
-        for d in where.get(int(gi[i]), ()):
-            if i and d and free_i[i - 1] and free_d[d - 1] and item[i - 1] == doc[d - 1]:
-                continue  # part of a longer match
-            n = 0
-            while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
-                n += 1
-            if n >= s:
-                out.append((n, i, d))
-    return out
+    if not len(at_i) or not len(at_d):
+        return none
+    before = lambda h, free, at: np.where((at > 0) & (free[at - 1] > 0), splitmix(h[at - 1]) | U64(1), U64(0))
+    pi, pd = before(item, free_i, at_i), before(doc, free_d, at_d)
+    order = np.lexsort((pd, gd[at_d]))
+    at_d, pd = at_d[order], pd[order]
+    grams = gd[at_d]
+    low, high = np.searchsorted(grams, gi[at_i]), np.searchsorted(grams, gi[at_i], side="right")
+    left, right = [], []
+    for i, p, a, b in zip(at_i.tolist(), pi, low.tolist(), high.tolist(), strict=True):
+        if a < b:
+            x, y = (a, a) if p == 0 else a + np.searchsorted(pd[a:b], np.array([p, p + U64(1)]))
+            for d in (at_d[a:x], at_d[y:b]):
+                left.append(np.full(len(d), i))
+                right.append(d)
+    i, d = (np.concatenate(left), np.concatenate(right)) if left else (none[:, 0], none[:, 0])
+    i_end, d_end = np.append(free_i > 0, False), np.append(free_d > 0, False)
+    item_, doc_ = np.append(item, U64(0)), np.append(doc, U64(0))
+    same = np.ones(len(i), bool)
+    for k in range(s):  # equal values are verified word by word
+        same &= item[i + k] == doc[d + k]
+    i, d = i[same], d[same]
+    n, live = np.full(len(i), s), np.arange(len(i))
+    while len(live):
+        x, y = i[live] + n[live], d[live] + n[live]
+        live = live[i_end[x] & d_end[y] & (item_[x] == doc_[y])]
+        n[live] += 1
+    return np.stack([n, i, d], 1)
+
+
+def _runs(free: np.ndarray, s: int) -> np.ndarray:
+    """Whether s unmarked words start at each place."""
+    total = np.concatenate([[0], np.cumsum(free)])
+    return total[s:] - total[:-s] == s
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
@@ -72,17 +99,19 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED_WORDS) -> list[tu
     s = max(least, 20)
     while True:
         found = _matches(item, doc, free_i, free_d, s)
-        longest = max((m[0] for m in found), default=0)
+        longest = int(found[:, 0].max()) if len(found) else 0
         if longest > 2 * s:
             s = longest
             continue
-        while found:  # all matches of s words or more, longest first; what is left of a part that was covered comes again
-            found.sort(key=lambda m: (-m[0], m[1], m[2]))
-            n, i, d = found[0]
+        while len(found):  # all matches of s words or more, longest first; what is left of a part that was covered comes again
+            found = found[np.lexsort((found[:, 2], found[:, 1], -found[:, 0]))]
+            n, i, d = found[0].tolist()
             free_i[i : i + n] = free_d[d : d + n] = 0
             out.append((n, i, d))
-            clear = [m for m in found[1:] if free_i[m[1] : m[1] + m[0]].all() and free_d[m[2] : m[2] + m[0]].all()]
-            found = clear if clear and clear[0][0] == n else _matches(item, doc, free_i, free_d, s)
+            ti, td = np.concatenate([[0], np.cumsum(free_i)]), np.concatenate([[0], np.cumsum(free_d)])
+            m, x, y = found.T
+            clear = found[(ti[x + m] - ti[x] == m) & (td[y + m] - td[y] == m)]
+            found = clear if len(clear) and clear[0, 0] == n else _matches(item, doc, free_i, free_d, s)
         if s == least:
             return out
         s = max(least, s // 2)
@@ -165,4 +194,6 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         part = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").toLocalIterator()]
         out = out.mapInArrow(_checker(part, least, threshold), f"{base}, items_new array<long>, cover_new double")
         out = out.select(text_at.alias("read"), *(f"x{k}" for k in range(len(names))), F.array_union("ids", "items_new").alias("ids"), F.greatest("cover", "cover_new").alias("cover"))
+        if b % HELD_BLOCKS == HELD_BLOCKS - 1 and b + 1 < blocks:
+            out = durable(out, "contaminated")
     return out.select(*(F.col(f"x{k}").alias(c) for k, c in enumerate(names)), F.array_sort("ids").alias("item_ids"), F.col("cover").alias("coverage"), (F.size("ids") > 0).alias("contaminated"))

@@ -112,3 +112,40 @@ def test_buckets_take_bits_that_differ():
     """Sketches hold small hashes: their low bits still spread."""
     values = np.sort(near_dedup.U64(1) * np.random.default_rng(1).integers(0, 1 << 63, 100_000, dtype=np.uint64))[:3000].view(np.int64)
     assert len(np.unique(values & ((1 << near_dedup.BITS) - 1))) > 2900
+
+
+def _greedy(item, doc, least):
+    """Greedy string tiling by trying all places."""
+    free_i, free_d, out = [1] * len(item), [1] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
+                    n += 1
+                best = max(best, (n, i, d), key=lambda m: m[0])
+        if best[0] < least:
+            return out
+        for k in range(best[0]):
+            free_i[best[1] + k] = free_d[best[2] + k] = 0
+        out.append(best)
+
+
+def test_tiles_of_few_words_equal_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(150):
+        words, least = r.choice([2, 3, 6]), int(r.choice([1, 2, 3, 5]))
+        item, doc = (r.integers(1, words + 1, r.integers(1, n)).astype(np.uint64) for n in (40, 60))
+        assert decontaminate.tiles(item, doc, least) == _greedy(item.tolist(), doc.tolist(), least)
+    repeated = np.full(20_000, 7, np.uint64)
+    assert decontaminate.tiles(repeated[:500], repeated) == [(500, 0, 0)]
+
+
+def test_blocks_of_a_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 2)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(12)]
+    docs = [(k, f"some words before {t} and after") for k, t in items[::2]] + [(99, "clean words of its own here"), (100, None)]
+    out = decontaminate.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: r["item_ids"] for r in out.collect()} == {k: ([k] if k < 50 else []) for k, _ in docs}
