@@ -171,6 +171,8 @@ def _checker(items: list[tuple[int, str]], least: int, threshold: float):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids, cover], names=[*batch.schema.names[1:], "items_new", "cover_new"])
             del texts, found
             release_memory()
+        Polynomial.forget()
+        release_memory()
 
     return run
 

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ def free_prefix(df: DataFrame, names: Iterable[str]) -> str:
 
 
 def release_memory() -> None:
-    """Hands freed memory of a Python worker back to the system, where the C library can; workers live on between stages."""
+    """Hands freed memory of a Python worker back to the system, Arrow's and the C library's; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -42,6 +42,11 @@ class Polynomial:
             self._powers[self.seed] = have
         return have[0][:n], have[1][:n]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Frees the kept powers; a worker that waits for its next task doesn't need them."""
+        cls._powers.clear()
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """P with P[j] - P[i] = base**i times the hash of data[i:j]."""
         out = np.zeros(len(data) + 1, U64)

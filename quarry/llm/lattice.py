@@ -486,6 +486,7 @@ def _encoder(pieces: Pieces, k: int, ids: bool, group: int = GROUP):
             del columns, n, probability, score, digest, tokens
             release_memory()
         del known
+        _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
         release_memory()
 
     return run

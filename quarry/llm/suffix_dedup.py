@@ -140,6 +140,8 @@ def _find_runs(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(spread), *rows.columns], names=["bucket", *rows.schema.names])
             del runs, class_of, parts, texts, blobs, rows, gone, later
             release_memory()
+        Polynomial.forget()
+        release_memory()
 
     return run
 
@@ -227,6 +229,7 @@ _FOUND_TYPES = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("mark", pa.
 
 def _meet_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     out = pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_runs(table)], _FOUND_TYPES)
+    Polynomial.forget()
     release_memory()
     return out
 
@@ -291,6 +294,10 @@ def _slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.zeros(len(doc), np.int32)), pa.array(ids[doc]), pa.array(marks[doc]), pa.array(blobs, pa.binary()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(poss).astype(np.int64)), pa.array(np.concatenate(leads).astype(np.int32))],
                 names=[f.split()[0] for f in _SLICES.split(", ")],
             )
+        del texts, opened, blobs, keys, docs, poss, leads, key, doc, pos
+        release_memory()
+    Polynomial.forget()
+    release_memory()
 
 
 def _sorted_spans(key: np.ndarray, ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, lead: np.ndarray, blobs: pa.Array) -> pa.RecordBatch | None:
@@ -322,6 +329,7 @@ def _sorted_spans(key: np.ndarray, ids: np.ndarray, marks: np.ndarray, pos: np.n
 
 def _meet_slice_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     out = pa.Table.from_batches([b.cast(_FOUND_TYPES) for b in _meet_slices(table)], _FOUND_TYPES)
+    Polynomial.forget()
     release_memory()
     return out
 

@@ -37,3 +37,33 @@ def test_empty(spark, tiny, tmp_path):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(0)
     for _, stage in P.STAGES[1:]:
         assert stage(spark, docs, tiny).count() == 0
+
+
+def test_quality_stage_keeps_what_scores_high(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    from quarry.llm.quality import fit_quality, score_quality
+
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    scored = {r["doc_id"]: r["score"] for r in score_quality(docs, fit_quality(docs, labels)).collect()}
+    kept = {r["doc_id"] for r in P.keep_quality(spark, docs, tiny).collect()}
+    assert kept == {i for i, s in scored.items() if s >= 0.7}
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()} & set(scored)
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()} & set(scored)
+    assert len(good & kept) > 0.95 * len(good) and len(bad & kept) < 0.5 * max(1, len(bad))
+
+
+def test_null_and_repeated_ids(spark, tiny):
+    """Rows without id and rows that repeat one pass through every stage."""
+    base = spark.read.parquet(f"{tiny}/documents.parquet")
+    text = "The old mill by the river was built long ago, and people from the village still bring their grain to it every autumn. " * 2
+    rows = [(None, text, "en", "s", 1), (5, text, "en", "s", 1), (5, text, "en", "s", 1), (5, "Another text of its own about bread and salt, nothing that the others say.", "en", "s", 1), (6, None, None, None, None), (None, None, "en", "s", 0)]
+    docs = base.limit(0).union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*base.columns))
+    near = P.drop_near_duplicates(spark, docs, tiny)
+    assert sorted(map(str, near.select("doc_id").toPandas()["doc_id"])).__len__() == 6  # rows of one id are one node and stay together
+    cut = P.drop_repeats(spark, docs, tiny)
+    assert cut.columns == docs.columns and cut.count() == 6
+    assert P.drop_contaminated(spark, docs, tiny).count() == 6
+    out = P.encode(spark, docs, tiny).collect()
+    assert len(out) == 6 and all(r["round_trip"] for r in out)
+    assert P.keep_quality(spark, docs, tiny).columns == docs.columns
+    assert P.keep_quality(spark, docs.limit(0), tiny).count() == 0
