@@ -25,7 +25,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by five-word shingles at a similarity of 0.8 or more: that of the smallest id."""
+    """One document of each group that is linked by five-word shingles at a similarity of 0.8 or more: that of the smallest id.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
     gone = near_duplicates(docs, n=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
