@@ -47,7 +47,9 @@ def warnings(corpus: Corpus, extensions: tuple[str, ...] = ("md",), cap: int = 1
 
 
 def doctor(corpus: Corpus, postings: DataFrame | None = None, extensions: tuple[str, ...] = ("md",), cap: int = 1 << 20, excluded: str | None = None) -> DataFrame:
-    """(check, severity, n, samples): a row for each check, with the first five labels. What all checks found is stored once, then counted and sampled."""
+    """(check, severity, n, samples): a row for each check, with the first five labels. What all checks found is stored once, then counted and sampled.
+
+    vector-table-missing has a row only where there are chunks and no vectors at all."""
     found = [(k, "error", v) for k, v in orphans(corpus, postings).items()] + [(k, "warning", v) for k, v in warnings(corpus, extensions, cap, excluded).items()]
     rows = durable(reduce(DataFrame.union, [v.select(F.lit(k).alias("check"), F.col("label")) for k, _, v in found]), "findings")
     counts = rows.groupBy("check").agg(F.count("*").alias("n"))
@@ -55,6 +57,7 @@ def doctor(corpus: Corpus, postings: DataFrame | None = None, extensions: tuple[
     samples = first.groupBy("check").agg(F.sort_array(F.collect_list("label")).alias("samples"))
     known = rows.sparkSession.createDataFrame([(k, s) for k, s, _ in found], "check string, severity string")
     out = known.join(counts, "check", "left").join(samples, "check", "left")
+    out = out.where((F.col("check") != "vector-table-missing") | F.col("n").isNotNull())
     return out.select("check", "severity", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
