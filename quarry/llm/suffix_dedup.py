@@ -83,62 +83,85 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _streamed(column: pa.Array, marks: list[int]) -> Iterator[bytes]:
+    """The texts of a column, of which only a few are held at a time; marks gets their marks."""
+    for low in range(0, len(column), 64):
+        for text in _utf8(column.slice(low, 64)):
+            marks.append(_mark(text))
+            yield text
+
+
+def _batch_runs(column: pa.Array, one: Polynomial, two: Polynomial) -> tuple[np.ndarray, np.ndarray]:
+    """(_RUN rows of all texts, the texts' marks)."""
+    parts, marks = [np.zeros(0, _RUN)], []
+    for first, _last, data, offsets in joined(_streamed(column, marks)):
+        prefix, other = one.prefix(data), two.prefix(data)
+        r = anchor_runs(prefix, offsets, one, WINDOW, GRAM)
+        out = np.zeros(len(r.start), _RUN)
+        end = r.last + WINDOW
+        lead = r.anchor - r.start
+        out["key"] = splitmix(one.spans(prefix, r.start, end) ^ (lead * 256 + end - r.start).astype(U64))
+        out["check"] = splitmix(two.spans(other, r.start, end)) >> U64(32)
+        out["anchor"] = splitmix(two.spans(other, r.anchor, r.anchor + GRAM)) >> U64(32)
+        out["pos"], out["doc"] = r.start - offsets[r.text], r.text + first
+        out["count"], out["lead"] = r.last - r.start + 1, lead
+        parts.append(out)
+    return np.concatenate(parts), np.array(marks, np.int64)
+
+
+def _settled(runs: np.ndarray, ids: np.ndarray, mark: np.ndarray, buckets: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch | None]:
+    """Of a batch's runs: ((bucket, blob) of those that go on, rows of the spans that are known). Its working arrays end with the call."""
+    later, class_of = _later(runs, ids)
+    gone = runs[later]
+    rows = _rows(1, ids, mark, gone["doc"].astype(np.int64), np.stack([gone["pos"].astype(np.int64), gone["pos"].astype(np.int64) + gone["count"] - 1 + WINDOW], 1))
+    del gone
+    runs, class_of = runs[~later], class_of[~later]
+    # different runs of an anchor, numbered
+    order = np.lexsort((class_of, runs["anchor"]))
+    a = runs["anchor"][order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    size = np.diff(np.append(start, len(a)))
+    number = np.empty(len(a), np.int64)
+    number[order] = np.arange(len(a)) - np.repeat(start, size)
+    hot = np.empty(len(a), bool)
+    hot[order] = np.repeat(size > FREQUENT, size)
+    runs["hot"] = hot
+    bucket = (runs["anchor"] % np.uint32(buckets)).astype(np.int64)
+    salted = hot & (number >= 2)
+    bucket[salted] = (splitmix(runs["key"][salted]) % U64(buckets)).astype(np.int64)
+    del later, class_of, a, start, size, number, hot, salted
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+    blobs = []
+    for part in np.split(order, at[1:]):
+        own = runs[part]
+        docs, own["doc"] = np.unique(own["doc"], return_inverse=True)
+        blobs.append((int(bucket[part[0]]), _blob(own, ids[docs], mark[docs])))
+    return blobs, rows
+
+
 def _find_runs(buckets: int):
     """Rows (bucket, kind, id, mark, blob): kind 0 has the runs of a batch for one bucket, kind 1 spans that are already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Polynomial(0), Polynomial(1)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _utf8(batch.column(1))
-            mark = np.array([_mark(t) for t in texts], np.int64)
-            parts = []
-            for first, _last, data, offsets in joined(texts):
-                prefix, other = one.prefix(data), two.prefix(data)
-                r = anchor_runs(prefix, offsets, one, WINDOW, GRAM)
-                out = np.zeros(len(r.start), _RUN)
-                end = r.last + WINDOW
-                lead = r.anchor - r.start
-                out["key"] = splitmix(one.spans(prefix, r.start, end) ^ (lead * 256 + end - r.start).astype(U64))
-                out["check"] = splitmix(two.spans(other, r.start, end)) >> U64(32)
-                out["anchor"] = splitmix(two.spans(other, r.anchor, r.anchor + GRAM)) >> U64(32)
-                out["pos"], out["doc"] = r.start - offsets[r.text], r.text + first
-                out["count"], out["lead"] = r.last - r.start + 1, lead
-                parts.append(out)
-            runs = np.concatenate(parts) if parts else np.zeros(0, _RUN)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            runs, mark = _batch_runs(batch.column(1), one, two)
             if not len(runs):
                 continue
-            later, class_of = _later(runs, ids)
-            gone = runs[later]
-            rows = _rows(1, ids, mark, gone["doc"].astype(np.int64), np.stack([gone["pos"].astype(np.int64), gone["pos"].astype(np.int64) + gone["count"] - 1 + WINDOW], 1))
-            blobs = []
-            runs, class_of = runs[~later], class_of[~later]
-            # different runs of an anchor, numbered
-            order = np.lexsort((class_of, runs["anchor"]))
-            a = runs["anchor"][order]
-            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            size = np.diff(np.append(start, len(a)))
-            number = np.empty(len(a), np.int64)
-            number[order] = np.arange(len(a)) - np.repeat(start, size)
-            hot = np.empty(len(a), bool)
-            hot[order] = np.repeat(size > FREQUENT, size)
-            runs["hot"] = hot
-            bucket = (runs["anchor"] % np.uint32(buckets)).astype(np.int64)
-            salted = hot & (number >= 2)
-            bucket[salted] = (splitmix(runs["key"][salted]) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            for part in np.split(order, at[1:]):
-                own = runs[part].copy()
-                docs, own["doc"] = np.unique(own["doc"], return_inverse=True)
-                blobs.append((int(bucket[part[0]]), _blob(own, ids[docs], mark[docs])))
+            blobs, rows = _settled(runs, ids, mark, buckets)
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays(
+            found = pa.RecordBatch.from_arrays(
                 [pa.array([b[0] for b in blobs], pa.int32()), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array([b[1] for b in blobs], pa.binary())], names=["bucket", "kind", "id", "mark", "blob"]
             )
+            del runs, blobs, batch
+            release_memory()
+            yield found
             if rows is not None:
                 spread = (splitmix(rows.column(1).to_numpy().view(U64)) % U64(buckets)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(spread), *rows.columns], names=["bucket", *rows.schema.names])
-            del runs, class_of, parts, texts, blobs, rows, gone, later
+            del found, rows
             release_memory()
         Polynomial.forget()
         release_memory()
