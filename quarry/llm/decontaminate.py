@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id, durable, release_memory
+from quarry.llm.durable import as_id, durable, release_memory, small_batches
 from quarry.llm.hashing import NO_LETTER, U64, Polynomial, joined, splitmix, words
 
 SEED_WORDS, COVERAGE = 5, 0.8
@@ -183,6 +183,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Columns of docs with these names are replaced. Null and empty texts meet nothing; items without id or without words are left out.
     An item of fewer words than a seed is its own seed. Items that repeat an id are reported once. Every text is read whole.
     """
+    small_batches(docs.sparkSession)
     added = ["item_ids", "coverage", "contaminated"]
     names = [c for c in docs.columns if c not in added]
     kinds = dict(docs.dtypes)

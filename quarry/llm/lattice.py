@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id, release_memory
+from quarry.llm.durable import as_id, release_memory, small_batches
 from quarry.llm.hashing import U64, splitmix
 
 SPACE = "▁"
@@ -500,6 +500,7 @@ def encode_samples(docs: DataFrame, pieces: Pieces, k: int = 2, id_col: str = "d
     seeded by the id, by the text's hash where it is null; rows that repeat an id and a text get equal results. Other columns are ignored. group: characters that a
     task reads together; it changes memory, not results.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(as_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "n_tokens array<long>, log_prob array<double>, inclusion array<double>, tokens_hash array<string>, round_trip boolean" + (", token_ids array<array<int>>" if ids else "")
     out = rows.mapInArrow(_encoder(pieces, k, ids, group), f"{kind}, id long")

@@ -4,8 +4,8 @@ A byte is removed if it lies in a window of `window` bytes that also starts earl
 
 1. Each window has an anchor that depends on its bytes alone (quarry.llm.anchors), so equal windows lie alike around equal
    anchors. Consecutive windows with one anchor form a run; one row for each run goes on, with a 96-bit hash of all its bytes.
-   Runs that equal an earlier one of the same batch are removed on the spot: a passage in a third of all texts leaves
-   one row for each batch.
+   Batches are taken together up to a number of runs, and runs that equal an earlier one among them are removed on the spot:
+   a passage in a third of all texts leaves one row for each such part of the input.
 2. Runs meet by a hash of their anchor. All runs but the first of a class are removed whole. Firsts whose anchor stands in
    runs with other bytes are open: some of their windows may have occurred before.
 3. Open runs fetch their bytes and are cut into slices by the windows' distance from the anchor; a slice's windows have a core in common,
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.anchors import anchor_runs
-from quarry.llm.durable import as_id, durable, release_memory
+from quarry.llm.durable import as_id, durable, release_memory, small_batches
 from quarry.llm.hashing import U64, Polynomial, joined, splitmix
 from quarry.llm.suffix_sort import Suffixes
 
@@ -37,6 +37,8 @@ GRAM = 36
 SLICE = 33
 #: An anchor with more different runs than this in one batch is met by single windows everywhere.
 FREQUENT = 48
+#: Batches are settled together until they have so many runs, as about 17 MB of text have.
+GATHERED = 1 << 19
 #: Compressed input bytes for each bucket of runs, about a million runs.
 BUCKET_BYTES = 16 << 20
 
@@ -109,6 +111,27 @@ def _batch_runs(column: pa.Array, one: Polynomial, two: Polynomial) -> tuple[np.
     return np.concatenate(parts), np.array(marks, np.int64)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(_RUN rows, ids, marks) of consecutive batches that come to GATHERED runs; their texts are not held."""
+    one, two = Polynomial(0), Polynomial(1)
+    parts, ids, marks, rows, size = [], [], [], 0, 0
+    for batch in batches:
+        runs, mark = _batch_runs(batch.column(1), one, two)
+        runs["doc"] += np.uint32(rows)
+        parts.append(runs)
+        ids.append(np.array(batch.column(0).to_numpy(zero_copy_only=False)))
+        marks.append(mark)
+        rows, size = rows + batch.num_rows, size + len(runs)
+        del batch, runs
+        if size >= GATHERED:
+            whole = np.concatenate(parts), np.concatenate(ids), np.concatenate(marks)
+            parts, ids, marks, rows, size = [], [], [], 0, 0
+            yield whole
+            del whole
+    if size:
+        yield np.concatenate(parts), np.concatenate(ids), np.concatenate(marks)
+
+
 def _settled(runs: np.ndarray, ids: np.ndarray, mark: np.ndarray, buckets: int) -> tuple[list[tuple[int, bytes]], pa.RecordBatch | None]:
     """Of a batch's runs: ((bucket, blob) of those that go on, rows of the spans that are known). Its working arrays end with the call."""
     later, class_of = _later(runs, ids)
@@ -141,21 +164,16 @@ def _settled(runs: np.ndarray, ids: np.ndarray, mark: np.ndarray, buckets: int)
 
 
 def _find_runs(buckets: int):
-    """Rows (bucket, kind, id, mark, blob): kind 0 has the runs of a batch for one bucket, kind 1 spans that are already known."""
+    """Rows (bucket, kind, id, mark, blob): kind 0 has the runs of a few batches for one bucket, kind 1 spans that are already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Polynomial(0), Polynomial(1)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            runs, mark = _batch_runs(batch.column(1), one, two)
-            if not len(runs):
-                continue
+        for runs, ids, mark in _gathered(batches):
             blobs, rows = _settled(runs, ids, mark, buckets)
             n = len(blobs)
             found = pa.RecordBatch.from_arrays(
                 [pa.array([b[0] for b in blobs], pa.int32()), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array([b[1] for b in blobs], pa.binary())], names=["bucket", "kind", "id", "mark", "blob"]
             )
-            del runs, blobs, batch
+            del runs, blobs
             release_memory()
             yield found
             if rows is not None:
@@ -398,6 +416,7 @@ def _buckets(docs: DataFrame) -> int:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, spans): for each text with bytes to remove, packed int64 pairs that may overlap, from one or several rows' blobs."""
+    small_batches(docs.sparkSession)
     texts = docs.select(as_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     buckets = _buckets(docs)
     runs = texts.mapInArrow(_find_runs(buckets), "bucket int, kind int, id long, mark long, blob binary")
