@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.conversations import repair_conversations
 from quarry.llm.decontaminate import mark_contaminated
 from quarry.llm.embedding_dedup import embedding_duplicates
 from quarry.llm.html_extract import extract_main_text
+from quarry.llm.language_profiles import identify_languages, learn_profiles
 from quarry.llm.lattice import Pieces, encode_samples
+from quarry.llm.lexical_search import lexical_top
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.quality import fit_quality, score_quality
 from quarry.llm.sharding import assign_shards
@@ -68,7 +71,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage")
 
 
-_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op5_lattice_samples, op6_sharding, op7_html_extraction, op8_minhash_near_dedup, op9_url_filters, op10_decontamination)
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_languages(docs, learn_profiles(docs))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
+_QUERIES = (op1_token_counts, op2_embedding_near_dedup, op3_suffix_dedup, op4_quality_classifier, op5_lattice_samples, op6_sharding, op7_html_extraction, op8_minhash_near_dedup, op9_url_filters, op10_decontamination, op11_language_id, op12_lexical_search, op13_conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -113,5 +129,57 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, component_id
 """
 
 
+#: op12: terms by a regular expression, counts by grouping; each row of documents is a document.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), all_docs AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0
+), asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), words AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d
+), tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY r, term
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), part AS (SELECT r, doc_id, term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS x FROM tf JOIN df USING (term) CROSS JOIN all_docs
+), scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(x) AS BIGINT) AS score FROM part JOIN asked USING (term) GROUP BY item_id, r HAVING sum(x) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored
+QUALIFY rank <= 10
+"""
+
+
+def _later(v: str, cost: int | str, letters: str) -> str:
+    """A path as text, ten digits of cost and then its audit, with edits added."""
+    return f"lpad(CAST(CAST({v}[1:10] AS BIGINT) + {cost} AS VARCHAR), 10, '0') || {v}[11:] || '{letters}'"
+
+
+#: op13: crc32 by bits, faults by windows, and the cheapest paths to each state as texts that a recursive query carries from turn to turn.
+OP13_SQL = rf"""
+WITH RECURSIVE raw AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations
+), hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 20 AS k FROM raw
+), live AS (SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE k <> 0
+), placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM live
+), turns AS (SELECT *, role[1:1] AS r, lag(role[1:1]) OVER (PARTITION BY c ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '-' END AS fault FROM placed
+), steps AS (SELECT c, i, r, fault IN ('b', 'd') AS x, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more FROM turns
+), paths AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, '0000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '0000000003I' AS v2, '0000000006II' AS v3 FROM (SELECT DISTINCT c FROM raw)
+  UNION ALL
+  SELECT c, i, w0, w1, least(w2, {_later("w0", 3, "I")}, {_later("w1", 3, "I")}, {_later("w3", 3, "I")}), least(w3, {_later("w2", 3, "I")}, {_later("w0", 6, "II")}, {_later("w1", 6, "II")}) FROM (
+    SELECT p.c, s.i, {_later("v0", 4, "D")} AS w0,
+      least({_later("v1", 4, "D")}, CASE WHEN NOT x AND r = 's' THEN {_later("v0", "more", "K")} END) AS w1,
+      least({_later("v2", 4, "D")}, CASE WHEN NOT x AND r = 'u' THEN {_later("least(v0, v1, v3)", "more", "K")} END, CASE WHEN NOT x THEN {_later("least(v0, v1, v3)", "3 + more", "R")} END) AS w2,
+      least({_later("v3", 4, "D")}, CASE WHEN NOT x AND r = 'a' THEN {_later("v2", "more", "K")} END, CASE WHEN NOT x THEN {_later("v2", "3 + more", "R")} END) AS w3
+    FROM paths p JOIN steps s ON s.c = p.c AND s.i = p.i + 1)
+), best AS (SELECT c, least(v0, v3) AS v FROM paths QUALIFY row_number() OVER (PARTITION BY c ORDER BY i DESC) = 1
+), letters AS (SELECT c, j, l, sum(CASE WHEN l = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY j) AS i FROM (SELECT c, unnest(range(len(v) - 10)) AS j, unnest(string_split(v[11:], '')) AS l FROM best WHERE len(v) > 10)
+), said AS (SELECT a.c, j, l, role, text, row_number() OVER w - 1 AS m, sum(CASE WHEN l = 'K' AND r = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY a.c) AS sys
+  FROM letters a LEFT JOIN turns t ON t.c = a.c AND t.i = a.i AND l <> 'I' WHERE l <> 'D' WINDOW w AS (PARTITION BY a.c ORDER BY j)
+), lines AS (SELECT c, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (m - sys) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM said GROUP BY c
+), counted AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(v[1:10] AS BIGINT) AS cost, v[11:] AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM raw) o JOIN best USING (c) LEFT JOIN counted USING (c) LEFT JOIN lines USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_lexical_search": OP12_SQL, "op13_conversation_repair": OP13_SQL}
