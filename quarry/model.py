@@ -13,14 +13,35 @@ MOST_LIST, MOST_ITEM_BYTES, MOST_QUERY_BYTES = 64, 1024, 1024
 QUALITY = 0.3
 
 
+@dataclass(frozen=True)
+class TextIndex:
+    """rows: the postings of trigrams by bucket; how many buckets there are, and the indexed chunks and their length in trigrams."""
+
+    rows: DataFrame
+    buckets: int
+    chunks: int
+    length: int
+
+
+@dataclass(frozen=True)
+class VectorCells:
+    """rows: chunk_id, embedding, gap (distance from the center) and cell; cells: (cell, center, radius, size) of all of them."""
+
+    rows: DataFrame
+    cells: tuple[tuple[int, tuple[float, ...], float, int], ...]
+
+
 @dataclass(frozen=True)
 class Corpus:
     """documents: id, path, title, topic, category, depth, tags, date, content_hash, last_indexed, size_bytes.
-    chunks: id, document_id, chunk_index, heading, level, content, token_count, quality_score, context_text. vectors: chunk_id, embedding."""
+    chunks: id, document_id, chunk_index, heading, level, content, token_count, quality_score, context_text. vectors: chunk_id, embedding.
+    text: the stored text index of just these chunks; without one text search reads the chunks. cells: the same vectors by cell, likewise."""
 
     documents: DataFrame
     chunks: DataFrame
     vectors: DataFrame
+    text: TextIndex | None = None
+    cells: VectorCells | None = None
 
 
 def _listed(name: str, values: tuple[str, ...]) -> None:

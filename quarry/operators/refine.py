@@ -114,3 +114,10 @@ def low_confidence(hits: DataFrame, ratio: float = 1.5) -> DataFrame:
     """(query_id, low_confidence): two hits or more whose best score is under ratio times the mean."""
     s = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.avg("score").alias("mean"))
     return s.select("query_id", ((F.col("n") >= 2) & F.lit(ratio != 0) & (F.col("mean") > 0) & (F.col("top") / F.col("mean") < ratio)).alias("low_confidence"))
+
+
+def flagged(hits: DataFrame, ratio: float = 1.5) -> DataFrame:
+    """Adds low_confidence() of its query to each hit, in one pass over the hits."""
+    w = Window.partitionBy("query_id")
+    n, top, mean = F.count(F.lit(1)).over(w), F.max("score").over(w), F.avg("score").over(w)
+    return hits.withColumn("low_confidence", (n >= 2) & F.lit(ratio != 0) & (mean > 0) & (top / mean < ratio))

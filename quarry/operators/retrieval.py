@@ -7,6 +7,8 @@ join nor a shuffle of the corpus is needed; only candidates are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.query_compiler import compile_query
 from quarry.functions.text import fold_text
-from quarry.model import MOST_FETCHED, MOST_NEIGHBOURS, Corpus, Filters, Fusion, checked_query
-from quarry.storage import durable, hinted, plain_unions
+from quarry.model import MOST_FETCHED, MOST_NEIGHBOURS, Corpus, Filters, Fusion, TextIndex, VectorCells, checked_query
+from quarry.operators.phrases import blocks_of, grams_of, needed
+from quarry.sources.cells import distances
+from quarry.storage import BROADCAST_ROWS, at_hand, durable, hinted, plain_unions
 
 #: Queries that one pass over the corpus answers; more make more passes.
 BLOCK = 4096
@@ -24,43 +28,69 @@ BLOCK = 4096
 
 def blocks(queries: DataFrame, *columns: str) -> Iterator[list]:
     """Rows of the query table in blocks of bounded size."""
-    rows: list = []
-    for r in queries.select(*columns).orderBy(columns[0]).toLocalIterator():
-        rows.append(r)
-        if len(rows) == BLOCK:
-            yield rows
-            rows = []
+    asked = queries.select(*columns)
+    rows = asked.limit(BLOCK + 1).collect()
+    if len(rows) > BLOCK:
+        rows = []
+        for r in asked.orderBy(columns[0]).toLocalIterator():
+            rows.append(r)
+            if len(rows) == BLOCK:
+                yield rows
+                rows = []
     if rows:
-        yield rows
+        yield sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+
+
+_NEAR = "query_id long, chunk_id long, distance double"
+
+
+def _nearest_of(ids: list[int], matrix: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each query its k nearest of the rows of x, exact; ties to the smaller key."""
+    norms, squares = (matrix * matrix).sum(1), (x * x).sum(1)
+    for low in range(0, len(ids), 256):
+        q = matrix[low : low + 256]
+        d = norms[low : low + 256, None] - 2 * q @ x.T + squares
+        slack = 8 * (matrix.shape[1] + 4) * np.finfo(float).eps * (norms[low : low + 256, None] + squares)  # the product form rounds by less
+        m = min(len(keys), k)
+        edge = np.partition(d + slack, m - 1, axis=1)[:, m - 1 : m]
+        out = []
+        for i, open_ in enumerate(~(d - slack > edge)):  # all that may be among the k nearest, equal vectors too
+            near = np.flatnonzero(open_)
+            exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+            order = np.lexsort((keys[near], exact))[:k]
+            out.append((np.full(len(order), ids[low + i]), keys[near[order]], exact[order]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "chunk_id", "distance"])
+
+
+def _vectors_of(batch: pa.RecordBatch, dim: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(their rows, the vectors of this length) of a batch (chunk_id, embedding, ..); some: of these rows only."""
+    lists = batch.column(1)
+    size = np.diff(lists.offsets.to_numpy())
+    good = np.flatnonzero(size == dim) if some is None else some[size[some] == dim]
+    return good, lists.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), dim)
 
 
 def _nearest(ids: list[int], matrix: np.ndarray, k: int):
-    norms = (matrix * matrix).sum(1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, x = _vectors_of(batch, matrix.shape[1])
+            if len(good):
+                yield from _nearest_of(ids, matrix, batch.column(0).to_numpy()[good], x, k)
+
+    return run
+
+
+def _nearest_in_cells(ids: list[int], matrix: np.ndarray, asked: dict[int, tuple[list[int], float, float]], k: int):
+    """As _nearest(), where each cell is asked by some of the queries and only for rows whose gap lies within its range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            good = np.flatnonzero(size == matrix.shape[1])
-            if not len(good):
-                continue
-            picked = lists.take(pa.array(good))
-            x = picked.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), -1)
-            keys = batch.column(0).to_numpy()[good]
-            squares = (x * x).sum(1)
-            for low in range(0, len(ids), 256):
-                q = matrix[low : low + 256]
-                d = norms[low : low + 256, None] - 2 * q @ x.T + squares
-                slack = 8 * (matrix.shape[1] + 4) * np.finfo(float).eps * (norms[low : low + 256, None] + squares)  # the product form rounds by less
-                m = min(len(good), k)
-                edge = np.partition(d + slack, m - 1, axis=1)[:, m - 1 : m]
-                out = []
-                for i, open_ in enumerate(~(d - slack > edge)):  # all that may be among the k nearest, equal vectors too
-                    near = np.flatnonzero(open_)
-                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                    order = np.lexsort((keys[near], exact))[:k]
-                    out.append((np.full(len(order), ids[low + i]), keys[near[order]], exact[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "chunk_id", "distance"])
+            gap, cell = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            for c in np.unique(cell):
+                own, low, high = asked[int(c)]
+                good, x = _vectors_of(batch, matrix.shape[1], np.flatnonzero((cell == c) & ~((gap < low) | (gap > high))))
+                if len(good):
+                    yield from _nearest_of([ids[i] for i in own], matrix[own], batch.column(0).to_numpy()[good], x, k)
 
     return run
 
@@ -71,25 +101,92 @@ def ranked(rows: DataFrame, *order: Column | str, limit: int | None = None) -> D
     return out if limit is None else out.where(F.col("rank") < limit)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _by_length(rows: list) -> Iterator[tuple[list[int], np.ndarray]]:
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["vector"]), []).append(r)
+    for part in by.values():
+        yield [r["query_id"] for r in part], np.array([r["vector"] for r in part], np.float64)
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, cells: VectorCells | None = None, report: list | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): for each row (query_id, vector) its k nearest vectors by L2 distance, exact.
 
     Each task keeps its k best for each query before anything is shuffled. Vectors of another length than the query's never match.
+    cells: the same vectors by cell; then only cells within a query's bound are read. report gets (query_id, cells read, vectors in them).
     """
+    plain_unions(vectors.sparkSession)
     out = None
     for rows in blocks(queries, "query_id", "vector"):
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(len(r["vector"]), []).append(r)
-        for part in by.values():
-            run = _nearest([r["query_id"] for r in part], np.array([r["vector"] for r in part], np.float64), k)
-            found = vectors.select("chunk_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, distance double")
+        for ids, matrix in _by_length(rows):
+            if cells is not None and np.isfinite(matrix).all() and matrix.shape[1]:
+                found = _in_cells(cells, ids, matrix, k, report)
+            else:
+                found = vectors.select("chunk_id", "embedding").mapInArrow(_nearest(ids, matrix, k), _NEAR)
             out = found if out is None else out.union(found)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double")
+        out = vectors.sparkSession.createDataFrame([], _NEAR)
     return ranked(out, "distance", limit=k)
 
 
+#: Rows of a first round that the plan of the second one holds itself; more are stored. Cells whose ranges a scan filters by.
+FIRST_ROWS, RANGED = 1 << 16, 64
+
+
+def _asked(cells: VectorCells, want: np.ndarray, far: np.ndarray, reach: np.ndarray) -> dict[int, tuple[list[int], float, float]]:
+    """cell -> (queries, least and largest gap that their bounds reach). want: [query][cell]."""
+    out = {}
+    for c in np.flatnonzero(want.any(0)):
+        own = np.flatnonzero(want[:, c])
+        low, high = (far[own, c] - reach[own]).min(), (far[own, c] + reach[own]).max()
+        out[cells.cells[c][0]] = own.tolist(), float(low) if np.isfinite(low) else -np.inf, float(high) if np.isfinite(high) else np.inf
+    return out
+
+
+def _round(cells: VectorCells, ids: list[int], matrix: np.ndarray, asked: dict[int, tuple[list[int], float, float]], k: int) -> DataFrame:
+    rows = cells.rows.where(F.col("cell").isin(list(asked)))
+    if len(asked) <= RANGED and all(np.isfinite(x) for _, *r in asked.values() for x in r):  # files are sorted by gap: row groups outside are skipped
+        rows = rows.where(reduce(or_, ((F.col("cell") == c) & F.col("gap").between(low, high) for c, (_, low, high) in asked.items())))
+    return rows.select("chunk_id", "embedding", "gap", "cell").mapInArrow(_nearest_in_cells(ids, matrix, asked, k), _NEAR)
+
+
+def _in_cells(cells: VectorCells, ids: list[int], matrix: np.ndarray, k: int, report: list | None) -> DataFrame:
+    """The k nearest in two rounds: the nearest cells that hold k vectors give a bound, by which the triangle inequality leaves out cells and rows."""
+    same = [c for c in cells.cells if len(c[1]) in (0, matrix.shape[1])]  # a loose cell has no center and is always read
+    some = VectorCells(cells.rows, tuple(same))
+    if not same:
+        return cells.rows.sparkSession.createDataFrame([], _NEAR)
+    loose, radius, size = np.array([not c[1] for c in same]), np.array([c[2] for c in same]), np.array([c[3] for c in same])
+    far = np.zeros((len(ids), len(same)))
+    if not loose.all():
+        far[:, ~loose] = distances(matrix, np.array([c[1] for c in same if c[1]]))
+    order = np.argsort(np.where(loose, np.inf, far), axis=1, kind="stable")
+    before = np.cumsum(np.where(loose, 0, size)[order], axis=1) - np.where(loose, 0, size)[order]
+    want = np.zeros_like(far, bool)
+    np.put_along_axis(want, order, before < k, axis=1)
+    want |= loose
+    everything = np.full(len(ids), np.inf)
+    first = ranked(_round(some, ids, matrix, _asked(some, want, far, everything), k), "distance", limit=k).drop("rank")
+    held = at_hand(first, FIRST_ROWS) if len(ids) * k <= FIRST_ROWS else None
+    first = held[0] if held else durable(first, "nearest")
+    bound = {r["query_id"]: r["edge"] for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("edge")).where(F.col("n") >= k).collect()}  # a number for each query of a block
+    reach = np.array([bound.get(q, np.inf) for q in ids])
+    reach = np.where(np.isnan(reach), np.inf, reach) * (1 + 1e-9) + 1e-12  # distances round
+    more = (far - radius <= reach[:, None]) & ~want
+    if report is not None:
+        read = want | more
+        report += [(q, int(read[i].sum()), int(size[read[i]].sum())) for i, q in enumerate(ids)]
+    return first.union(_round(some, ids, matrix, _asked(some, more, far, reach), k)) if more.any() else first
+
+
+def cells_read(cells: VectorCells, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, cells, cells_read, vectors, vectors_read): what a search for the k nearest reads of the stored cells."""
+    report: list = []
+    knn(vectors, queries, k, cells, report)
+    rows = [(q, len(cells.cells), c, sum(x[3] for x in cells.cells), n) for q, c, n in report]
+    return vectors.sparkSession.createDataFrame(rows, "query_id long, cells long, cells_read long, vectors long, vectors_read long")
+
+
 def query_terms(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
     """(query_id, folded phrases) of rows (query_id, query), in blocks."""
     for rows in blocks(queries, "query_id", "query"):
@@ -188,114 +285,198 @@ def _by_term(found: np.ndarray, terms: int):
 KEPT = 2_000_000
 
 
-def _scores(idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
-    """(query_id, weight_id, chunk_id, bm25), of each task the k best for each query and weight."""
+class _Best:
+    """The k best chunks of each query and weight triple, as a task meets them in groups."""
 
-    def best(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, idf: np.ndarray, mean: float, uses: list[tuple[int, list[int]]], weights: list[tuple[int, float, float, float]], k: int | None):
+        self.idf, self.mean, self.uses, self.weights, self.k = idf, mean, uses, weights, k
+        self.kept: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.edge: dict[tuple[int, int], float] = {}  # the k-th best score so far
+        self.held = 0
+
+    def _cut(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((keys, np.round(score, 9)))[:k]
+        order = np.lexsort((keys, np.round(score, 9)))[: self.k]
         return keys[order], score[order]
 
+    def worth(self, tf: np.ndarray, length: np.ndarray | float, term: np.ndarray | int) -> np.ndarray:
+        return self.idf[term] * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / self.mean))
+
+    def beaten(self, most: dict[int, tuple[np.ndarray, int]]) -> bool:
+        """Whether no chunk of a block can enter any list, by the most that each phrase can be worth there."""
+        if self.k is None:
+            return False
+        for weight_id, *w in self.weights:
+            bound = {t: float(self.worth(counts @ np.array(w), least, t)) for t, (counts, least) in most.items()}
+            for query_id, own in self.uses:
+                edge = self.edge.get((query_id, weight_id))
+                reach = sum(bound.get(t, 0.0) for t in own)
+                if reach > 0 and (edge is None or -reach <= edge + 1e-9):
+                    return False
+        return True
+
+    def add(self, keys: np.ndarray, length: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Scores chunks by rows (row, term, heading, context, content); hands on what is kept when it grows too large."""
+        if not len(found):
+            return
+        row, term = found[:, 0], found[:, 1]
+        of = _by_term(found, len(self.idf))
+        values = [(weight_id, self.worth(found[:, 2:] @ np.array(w), length[row], term)) for weight_id, *w in self.weights]
+        for query_id, own in self.uses:
+            mine = of(own)
+            if not len(mine):
+                continue
+            rows, at = np.unique(row[mine], return_inverse=True)
+            for weight_id, part in values:
+                parts = self.kept.setdefault((query_id, weight_id), [])
+                parts.append(self._cut([(keys[rows], -np.bincount(at, part[mine]))]))
+                self.held += len(parts[-1][0])
+                if self.k is not None and (n := sum(len(x) for x, _ in parts)) >= self.k and (len(parts) > 1 or n == self.k) and (n > 2 * self.k or (query_id, weight_id) not in self.edge):
+                    parts[:] = [self._cut(parts)]
+                    self.held += len(parts[0][0]) - n
+                    self.edge[query_id, weight_id] = float(parts[0][1][-1])
+        if self.held > KEPT:
+            yield from self.handed()
+
+    def handed(self) -> Iterator[pa.RecordBatch]:
+        for (query_id, weight_id), parts in self.kept.items():
+            keys, score = self._cut(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), query_id)), pa.array(np.full(len(keys), weight_id, np.int32)), pa.array(keys), pa.array(score)], names=["query_id", "weight_id", "chunk_id", "bm25"])
+        self.kept.clear()
+        self.held = 0
+
+
+def _scores(*options):
+    """(query_id, weight_id, chunk_id, bm25), of each task the k best for each query and weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*options)
+        for batch in batches:
+            yield from best.add(*_unpacked(batch))
+        yield from best.handed()
+
+    return run
+
+
+def _index_counts(terms: list[str]):
+    """(key, n): chunks that hold a term, by the term's number, from rows of the text index."""
+    grams = [grams_of(t) for t in terms]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        held = 0
+        total = np.zeros(len(terms), np.int64)
+        for block in blocks_of(batches):
+            total += np.bincount(block.hits(grams, list(range(len(terms))))[:, 1], minlength=len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms), dtype=np.int32)), pa.array(total)], names=["key", "n"])
+
+    return run
 
-        def handed() -> Iterator[pa.RecordBatch]:
-            for (query_id, weight_id), parts in kept.items():
-                keys, score = best(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), query_id)), pa.array(np.full(len(keys), weight_id, np.int32)), pa.array(keys), pa.array(score)], names=["query_id", "weight_id", "chunk_id", "bm25"])
 
-        for batch in batches:
-            keys, length, found = _unpacked(batch)
-            if not len(found):
-                continue
-            row, term = found[:, 0], found[:, 1]
-            of = _by_term(found, len(idf))
-            norm = 1.2 * (0.25 + 0.75 * length[row] / mean)
-            values = []
-            for weight_id, *w in weights:
-                tf = found[:, 2:] @ np.array(w)
-                values.append((weight_id, idf[term] * (tf * 2.2) / (tf + norm)))
-            for query_id, own in uses:
-                mine = of(own)
-                if not len(mine):
-                    continue
-                rows, at = np.unique(row[mine], return_inverse=True)
-                for weight_id, part in values:
-                    parts = kept.setdefault((query_id, weight_id), [])
-                    parts.append(best([(keys[rows], -np.bincount(at, part[mine]))]))
-                    held += len(parts[-1][0])
-                    if k is not None and len(parts) > 1 and (n := sum(len(x) for x, _ in parts)) > 2 * k:
-                        parts[:] = [best(parts)]
-                        held += len(parts[0][0]) - n
-            if held > KEPT:
-                yield from handed()
-                kept.clear()
-                held = 0
-        yield from handed()
+def _index_scores(terms: list[str], *options):
+    """As _scores(), from rows of the text index. A block whose bounds are beaten is passed over before a place of it is read."""
+    grams = [grams_of(t) for t in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*options)
+        for block in blocks_of(batches):
+            most = {t: m for t, g in enumerate(grams) if (m := block.most(g)) is not None}
+            if most and not best.beaten(most):
+                yield from best.add(block.ids, block.lengths, block.hits(grams, list(most)))
+        yield from best.handed()
 
     return run
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | None = None, text: TextIndex | None = None) -> DataFrame:
     """(query_id, weight_id, chunk_id, bm25, rank): lower is better, as full-text engines report it.
 
     queries: (query_id, query) or, compiled, (query_id, phrases). weights: (weight_id, heading, context, content), a few rows. k1 is 1.2 and
     b 0.75; a chunk's length is the number of its trigrams over all fields; a phrase's frequency is the weighted sum of its occurrences.
-    One pass over the chunks finds the phrases of all queries of a block; what it found is counted (a number for each phrase reaches the
-    driver) and then scored, and only k rows of a task are shuffled.
+
+    With a text index only the buckets of the phrases' trigrams are read, once to count the chunks that hold each phrase and once to score
+    them, where a block that can't reach a task's k best is passed over. Without one, one pass over the chunks finds the phrases of all
+    queries of a block and stores them. A number for each phrase reaches the driver; only k rows of a task are shuffled.
     """
+    plain_unions(chunks.sparkSession)
     fields, ready = _text_fields(chunks)
-    triples = [(r["weight_id"], r["heading"], r["context"], r["content"]) for r in weights.orderBy("weight_id").collect()]
+    triples = [(r["weight_id"], r["heading"], r["context"], r["content"]) for r in weights.collect()]
     out = None
     source = query_terms(queries) if "query" in queries.columns else ([(r["query_id"], [fold_text(p) for p in r["phrases"]]) for r in rows] for rows in blocks(queries, "query_id", "phrases"))
     for block in source:
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
         if not terms:
             continue
-        found = durable(fields.mapInArrow(_finder(terms, ready), _FOUND), "phrases")
-        counted = {r["key"]: r["n"] for r in found.mapInArrow(_term_counts(len(terms)), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-        n, df = counted.get(-1, 0), np.array([counted.get(t, 0) for t in range(len(terms))], float)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
         number = {t: i for i, t in enumerate(terms)}
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
-        run = _scores(np.where(idf > 0, idf, 1e-6), counted.get(-2, 0) / max(n, 1) or 1.0, uses, triples, k)
-        part = found.mapInArrow(run, "query_id long, weight_id int, chunk_id long, bm25 double")
+        if text is not None and all(len(t) >= 3 for t in terms):
+            rows = needed(text, terms)
+            counted = {r["key"]: r["n"] for r in rows.mapInArrow(_index_counts(terms), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+            n, length = text.chunks, text.length
+        else:
+            found = durable(fields.mapInArrow(_finder(terms, ready), _FOUND), "phrases")
+            counted = {r["key"]: r["n"] for r in found.mapInArrow(_term_counts(len(terms)), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+            n, length, rows = counted.get(-1, 0), counted.get(-2, 0), None
+        df = np.array([counted.get(t, 0) for t in range(len(terms))], float)
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        options = (np.where(idf > 0, idf, 1e-6), length / max(n, 1) or 1.0, uses, triples, k)
+        part = (found.mapInArrow(_scores(*options), _SCORED) if rows is None else rows.mapInArrow(_index_scores(terms, *options), _SCORED))
         out = part if out is None else out.union(part)
     if out is None:
-        out = chunks.sparkSession.createDataFrame([], "query_id long, weight_id int, chunk_id long, bm25 double")
+        out = chunks.sparkSession.createDataFrame([], _SCORED)
     window = Window.partitionBy("query_id", "weight_id").orderBy(F.round("bm25", 9), "chunk_id")
     out = out.withColumn("rank", F.row_number().over(window) - 1)
     return out if k is None else out.where(F.col("rank") < k)
 
 
-def match_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+_SCORED = "query_id long, weight_id int, chunk_id long, bm25 double"
+
+
+def match_counts(chunks: DataFrame, queries: DataFrame, text: TextIndex | None = None) -> DataFrame:
     """(query_id, matches): chunks that hold at least one phrase of the query."""
+    plain_unions(chunks.sparkSession)
     fields, ready = _text_fields(chunks)
     out = chunks.sparkSession.createDataFrame([], "query_id long, matches long")
     for block in query_terms(queries):
         terms = list(dict.fromkeys(t for _, ts in block for t in ts))
+        if not terms:
+            continue
         number = {t: i for i, t in enumerate(terms)}
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
-        out = out.union(fields.mapInArrow(_matching(terms, uses, ready), "query_id long, matches long"))
+        rows, run = (fields, _matching(terms, uses, ready)) if text is None or any(len(t) < 3 for t in terms) else (needed(text, terms), _index_matching(terms, uses))
+        out = out.union(rows.mapInArrow(run, "query_id long, matches long"))
     return out.groupBy("query_id").agg(F.sum("matches").alias("matches")).where("matches > 0")
 
 
+def _counted(total: list[int], uses: list[tuple[int, list[int]]], found: np.ndarray, terms: int) -> None:
+    of = _by_term(found, terms)
+    for i, (_, own) in enumerate(uses):
+        total[i] += len(np.unique(found[of(own), 0]))
+
+
 def _matching(terms: list[str], uses: list[tuple[int, list[int]]], ready: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, total = _machine(terms), [0] * len(uses)
         for batch in batches:
-            found, _ = _occurrences(batch, machine, ready)
-            of = _by_term(found, len(terms))
-            for i, (_, own) in enumerate(uses):
-                total[i] += len(np.unique(found[of(own), 0]))
+            _counted(total, uses, _occurrences(batch, machine, ready)[0], len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in uses], pa.int64()), pa.array(total, pa.int64())], names=["query_id", "matches"])
+
+    return run
+
+
+def _index_matching(terms: list[str], uses: list[tuple[int, list[int]]]):
+    grams = [grams_of(t) for t in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(uses)
+        for block in blocks_of(batches):
+            _counted(total, uses, block.hits(grams, list(range(len(terms)))), len(terms))
         yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in uses], pa.int64()), pa.array(total, pa.int64())], names=["query_id", "matches"])
 
     return run
 
 
 def weight_table(spark: SparkSession, *triples: tuple[float, float, float]) -> DataFrame:
-    return spark.createDataFrame([(k, *map(float, t)) for k, t in enumerate(triples)], "weight_id int, heading double, context double, content double")
+    columns = [pa.array(range(len(triples)), pa.int32()), *(pa.array([float(t[c]) for t in triples]) for c in range(3))]
+    return spark.createDataFrame(pa.table(columns, names=["weight_id", "heading", "context", "content"]))
 
 
 def attach(candidates: DataFrame, corpus: Corpus) -> DataFrame:
@@ -305,27 +486,30 @@ def attach(candidates: DataFrame, corpus: Corpus) -> DataFrame:
     return candidates.join(c, "chunk_id").join(d, "document_id")
 
 
-def filtered(candidates: DataFrame, corpus: Corpus, filters: Filters, limit: int) -> DataFrame:
+def filtered(candidates: DataFrame, corpus: Corpus, filters: Filters, limit: int, most: int | None = None) -> DataFrame:
     """(query_id, chunk_id, rank) of candidates that were cut by rank first, then filtered, ranked anew and cut at the limit.
 
-    Candidates are few by their cut: they are stored, counted and, where small, broadcast to the chunks' ids and the columns that are filtered by.
+    most: candidates that there can be. If they are few by that they are broadcast to the chunks' ids and the columns that are filtered by;
+    else they are stored and counted first.
     """
     from quarry.operators.predicates import predicate
 
-    few = hinted(durable(candidates.select("query_id", "chunk_id", "rank"), "candidates"))
+    cut = candidates.select("query_id", "chunk_id", "rank")
+    few = F.broadcast(cut) if most is not None and most <= BROADCAST_ROWS else hinted(durable(cut, "candidates"))
     kept = attach(few, corpus).where(predicate(filters)).select("query_id", "chunk_id", "rank")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1).where(F.col("rank") < limit)
 
 
-def vector_leg(corpus: Corpus, queries: DataFrame, filters: Filters, limit: int) -> DataFrame:
+def vector_leg(corpus: Corpus, queries: DataFrame, filters: Filters, limit: int, asked: int | None = None) -> DataFrame:
+    """asked: how many queries there are at most, if that is known."""
     fetch = min(filters.fetch(limit), MOST_NEIGHBOURS)
-    return filtered(knn(corpus.vectors, queries, fetch), corpus, filters, limit)
+    return filtered(knn(corpus.vectors, queries, fetch, corpus.cells), corpus, filters, limit, asked and asked * fetch)
 
 
-def text_leg(corpus: Corpus, queries: DataFrame, filters: Filters, fusion: Fusion, limit: int) -> DataFrame:
+def text_leg(corpus: Corpus, queries: DataFrame, filters: Filters, fusion: Fusion, limit: int, asked: int | None = None) -> DataFrame:
     fetch = min(filters.fetch(limit), MOST_FETCHED)
-    found = bm25(corpus.chunks, queries, weight_table(corpus.chunks.sparkSession, fusion.weights), fetch).drop("weight_id")
-    return filtered(found, corpus, filters, limit)
+    found = bm25(corpus.chunks, queries, weight_table(corpus.chunks.sparkSession, fusion.weights), fetch, corpus.text).drop("weight_id")
+    return filtered(found, corpus, filters, limit, asked and asked * fetch)
 
 
 def fuse(legs: list[DataFrame], k: float, limit: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from quarry.plans.search import candidates, search
 from quarry.sources.corpus import CORPUS_SQL
 from quarry.sources.index import stored as corpus
 from quarry.sources.files import chunk_rows, parsed
+from quarry.sources.postings import indexed_chunks
 from quarry.streaming.maintain import batch_state, debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +76,8 @@ KNN_SQL = """qv AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddin
 
 @register(_with("SELECT query_id, chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank < 10", KNN_SQL))
 def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.knn(corpus(spark, sf_dir).vectors, vector_queries(spark, sf_dir), 10)
+    kb = corpus(spark, sf_dir)
+    out = retrieval.knn(kb.vectors, vector_queries(spark, sf_dir), 10, kb.cells)
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -83,10 +85,18 @@ def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.functions.vectors import cosine_from_distance
 
-    out = retrieval.knn(corpus(spark, sf_dir).vectors, vector_queries(spark, sf_dir), 5)
+    kb = corpus(spark, sf_dir)
+    out = retrieval.knn(kb.vectors, vector_queries(spark, sf_dir), 5, kb.cells)
     return out.select("query_id", "chunk_id", F.round(cosine_from_distance(F.col("distance")), 6).alias("cosine"))
 
 
+@register()
+def knn_cells_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the vector queries reads of the stored cells for its ten nearest."""
+    kb = corpus(spark, sf_dir)
+    return retrieval.cells_read(kb.cells, kb.vectors, vector_queries(spark, sf_dir), 10)
+
+
 _JOINED = "JOIN kb_chunks c ON c.id = k.chunk_id JOIN kb_documents d ON d.id = c.document_id"
 
 
@@ -128,19 +138,22 @@ BM25_SQL = _bm25_sql(Fusion().weights)
 
 @register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM text_rank WHERE rank < 50", BM25_SQL))
 def bm25_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, Fusion().weights), 50)
+    kb = corpus(spark, sf_dir)
+    out = retrieval.bm25(kb.chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, Fusion().weights), 50, kb.text)
     return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @register(_with("SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM text_rank WHERE rank < 50", _bm25_sql((0.5, 4.0, 1.0))))
 def bm25_other_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, (0.5, 4.0, 1.0)), 50)
+    kb = corpus(spark, sf_dir)
+    out = retrieval.bm25(kb.chunks, every_text_query(spark, sf_dir), retrieval.weight_table(spark, (0.5, 4.0, 1.0)), 50, kb.text)
     return out.select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @register(_with("SELECT query_id, count(DISTINCT id) AS matches FROM hit GROUP BY 1", BM25_SQL))
 def fts_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.match_counts(corpus(spark, sf_dir).chunks, every_text_query(spark, sf_dir))
+    kb = corpus(spark, sf_dir)
+    return retrieval.match_counts(kb.chunks, every_text_query(spark, sf_dir), kb.text)
 
 
 # --- fusion and the pipeline
@@ -298,13 +311,17 @@ BROKEN_SQL = "d AS (SELECT * FROM kb_documents WHERE id % 7 <> 0), c AS (SELECT
         UNION ALL SELECT 'orphan-embedding', count(*) FROM v WHERE chunk_id NOT IN (SELECT id FROM c)
         UNION ALL SELECT 'chunk-without-document', count(*) FROM c WHERE document_id NOT IN (SELECT id FROM d)
         UNION ALL SELECT 'document-without-chunks', count(*) FROM d WHERE id NOT IN (SELECT document_id FROM c)
+        UNION ALL SELECT 'missing-text-row', count(*) FROM c WHERE id % 13 = 0
+        UNION ALL SELECT 'orphan-text-row', count(*) FROM kb_chunks WHERE id % 13 <> 0 AND document_id % 11 = 0
         UNION ALL SELECT 'extension-not-registered', 0 UNION ALL SELECT 'size-not-recorded', 0
         UNION ALL SELECT 'larger-than-a-read-returns', count(*) FROM d WHERE size_bytes > 1048576""",
         BROKEN_SQL,
     )
 )
 def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.doctor(_broken(spark, sf_dir)).select("check", "n")
+    """Of an index that lost some documents, chunks and rows of its text index."""
+    listed = indexed_chunks(corpus(spark, sf_dir).text).where("chunk_id % 13 <> 0")
+    return checks.doctor(_broken(spark, sf_dir), listed).select("check", "n")
 
 
 @register(_with("SELECT (SELECT count(*) FROM kb_documents) AS documents, CAST(0 AS BIGINT) AS without_size, count(*) AS chunks, count(*) AS with_context, count(*) FILTER (quality_score >= 0.3) AS good, count(*) FILTER (quality_score < 0.3) AS poor FROM kb_chunks"))

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.model import Corpus, SearchOptions
-from quarry.operators.refine import diversify, expand, low_confidence, rerank, with_spans
+from quarry.operators.refine import diversify, expand, flagged, rerank, with_spans
 from quarry.operators.retrieval import attach, fuse, text_leg, vector_leg
-from quarry.storage import durable, hinted
+from quarry.storage import at_hand, durable, hinted
 
 HIT = ("query_id", "rank", "score", "chunk_id", "document_id", "path", "title", "topic", "date", "tags", "heading", "content", "match_spans", "expanded_from", "low_confidence")
 
 
-def candidates(corpus: Corpus, queries: DataFrame, options: SearchOptions) -> DataFrame:
-    """Fused candidates with their columns; all of them where MMR follows, else as many as the next step takes."""
+#: Queries that are few: their legs are one plan, and their hits are fetched before content is read. Rows that are fetched so.
+FEW, FEW_ROWS = 64, 4096
+
+
+def _few(queries: DataFrame) -> tuple[DataFrame, int | None]:
+    """The queries and their number, if they are few: then as a table that plans hold themselves."""
+    return at_hand(queries, FEW) or (queries, None)
+
+
+def _candidates(corpus: Corpus, queries: DataFrame, asked: int | None, options: SearchOptions) -> DataFrame:
     legs = []
     if "vector" in queries.columns:
-        legs.append(vector_leg(corpus, queries.where("vector is not null"), options.filters, options.pool))
+        legs.append(vector_leg(corpus, queries.where("vector is not null"), options.filters, options.pool, asked))
     if "query" in queries.columns:
-        legs.append(text_leg(corpus, queries.where("query is not null"), options.filters, options.fusion, options.pool))
-    found = durable(fuse(legs, options.fusion.k, None if options.mmr.enabled else options.fused), "fused")
-    return attach(hinted(found), corpus)
+        legs.append(text_leg(corpus, queries.where("query is not null"), options.filters, options.fusion, options.pool, asked))
+    fused = fuse(legs, options.fusion.k, None if options.mmr.enabled else options.fused)
+    if asked is None or (found := at_hand(fused, FEW_ROWS)) is None:
+        return attach(hinted(durable(fused, "fused")), corpus)
+    rows = found[0]
+    ids = [r[0] for r in rows.select("chunk_id").distinct().collect()]  # the scan of the chunks' texts skips row groups by them
+    return attach(F.broadcast(rows), replace(corpus, chunks=corpus.chunks.where(F.col("id").isin(ids))))
+
+
+def candidates(corpus: Corpus, queries: DataFrame, options: SearchOptions) -> DataFrame:
+    """Fused candidates with their columns; all of them where MMR follows, else as many as the next step takes."""
+    return _candidates(corpus, *_few(queries), options)
 
 
 def search(corpus: Corpus, queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
@@ -31,15 +50,17 @@ def search(corpus: Corpus, queries: DataFrame, options: SearchOptions | None = N
     expansion), parent expansion and spans (on expanded content) follow as the options say.
     """
     options = options or SearchOptions()
-    hits = candidates(corpus, queries, options)
+    queries, asked = _few(queries)
+    hits = _candidates(corpus, queries, asked, options)
     if options.rerank:
         hits = rerank(hits, queries, None if options.mmr.enabled else options.hits)
     hits = diversify(hits, corpus.vectors, options.hits, options.mmr) if options.mmr.enabled else hits.where(F.col("rank") < options.hits)
-    hits = durable(hits, "hits")  # as many rows as queries times the limit at most
-    flags = low_confidence(hits, options.min_confidence_ratio)
+    if options.parent.enabled:
+        hits = durable(hits, "hits")  # read twice; as many rows as queries times the limit at most
+    hits = flagged(hits, options.min_confidence_ratio)
     if options.parent.enabled:
         hits = expand(hits, corpus.chunks, options.parent)
     else:
         hits = hits.withColumn("expanded_from", F.lit(None).cast("struct<kind:string,from_index:int,to_index:int,total_chunks:int>"))
     hits = with_spans(hits, queries) if "query" in queries.columns else hits.withColumn("match_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
-    return hits.join(flags, "query_id").select(*HIT)
+    return hits.select(*HIT)

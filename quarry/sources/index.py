@@ -1,4 +1,4 @@
-"""The stored index: documents, chunks and vectors as Parquet under one folder, with the folded fields that text search reads."""
+"""The stored index: documents, chunks, vectors and the postings of text search as Parquet under one folder."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import category_of, fold, topic_of
+from quarry.functions.text import category_of, topic_of
 from quarry.model import Corpus
 from quarry.operators.maintenance import hashed_embedder, missing_vectors
+from quarry.sources.cells import open_cells, write_cells
 from quarry.sources.corpus import corpus
 from quarry.sources.files import chunk_rows, parsed, scan
-from quarry.storage import numbered, shared_folder
+from quarry.sources.postings import open_postings, write_postings
+from quarry.storage import drop_tables, durable, numbered, shared_folder, written
 
-VERSION = 1
-TABLES = ("documents", "chunks", "vectors")
-_built: dict[tuple[str, str], str] = {}
+VERSION = 2
+TABLES = ("documents", "chunks")
+_built: dict[tuple[str, str], Corpus] = {}
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
@@ -26,24 +28,25 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
 
 
-def folded(chunks: DataFrame) -> DataFrame:
-    """chunks with their three fields as text search compares them."""
-    names = {"folded_heading": "heading", "folded_context": "context_text", "folded_content": "content"}
-    return chunks.withColumns({k: fold(F.col(c)) for k, c in names.items()})
-
-
 def write_index(kb: Corpus, folder: str, meta: dict | None = None) -> Corpus:
     """Replaces what is under folder by the corpus, and returns the stored one. What it is made of must not lie there itself."""
     spark = kb.documents.sparkSession
-    kb.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    folded(kb.chunks).write.mode("overwrite").parquet(f"{folder}/chunks")
-    kb.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
-    spark.createDataFrame([(json.dumps({"version": VERSION} | (meta or {})),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+    for name in TABLES:
+        getattr(kb, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    before = written(spark)
+    write_cells(durable(kb.vectors, "vectors"), f"{folder}/vectors")
+    drop_tables(spark, [p for p in written(spark) if p not in before])
+    stats = write_postings(spark.read.parquet(f"{folder}/chunks"), f"{folder}/postings")
+    spark.createDataFrame([(json.dumps({"version": VERSION, "text": stats} | (meta or {})),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
     return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> Corpus:
-    return Corpus(*(spark.read.parquet(f"{folder}/{t}") for t in TABLES))
+    stats = meta_of(spark, folder).get("text")
+    if stats is None:
+        raise ValueError(f"{folder} holds no index of version {VERSION}")
+    cells = open_cells(spark, f"{folder}/vectors")
+    return Corpus(*(spark.read.parquet(f"{folder}/{t}") for t in TABLES), cells.rows.select("chunk_id", "embedding"), open_postings(spark, [f"{folder}/postings"], stats), cells)
 
 
 def meta_of(spark: SparkSession, folder: str) -> dict:
@@ -69,16 +72,15 @@ def rebuild(spark: SparkSession, root: str, folder: str, extensions: tuple[str,
     docs = docs.select("id", "path", "title", F.coalesce("own_topic", topic_of(F.col("path"))).alias("topic"), category_of(F.col("path")).alias("category"), "depth", "tags", "date", "content_hash", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_indexed"), "size_bytes")
     chunks = rows.join(numbers, "path").select((F.col("id") * (1 << 20) + F.col("chunk_index")).alias("id"), F.col("id").alias("document_id"), "chunk_index", "heading", "level", "content", "token_count", "quality_score", "context_text")
     none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
-    kb = write_index(Corpus(docs, chunks, none), f"{folder}/text", {"model": model})
-    vectors = embed(missing_vectors(kb))
-    return write_index(replace(kb, chunks=kb.chunks.drop("folded_heading", "folded_context", "folded_content"), vectors=vectors), folder, {"model": model})
+    kb = Corpus(durable(docs, "documents"), durable(chunks, "chunks"), none)
+    return write_index(replace(kb, vectors=embed(missing_vectors(kb))), folder, {"model": model})
 
 
 def reset_for_model(spark: SparkSession, folder: str, new_folder: str, embed, model: str) -> Corpus:
     """The index under folder with all vectors made anew by another model, written to new_folder."""
     kb = open_index(spark, folder)
     bare = replace(kb, vectors=kb.vectors.limit(0))
-    return write_index(replace(kb, chunks=kb.chunks.drop("folded_heading", "folded_context", "folded_content"), vectors=embed(missing_vectors(bare))), new_folder, {"model": model})
+    return write_index(replace(kb, vectors=embed(missing_vectors(bare))), new_folder, {"model": model})
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -87,6 +89,5 @@ def stored(spark: SparkSession, sf_dir: str) -> Corpus:
     if key not in _built:
         kb = corpus(spark, sf_dir, _spread)
         folder = f"{shared_folder(spark)}/quarry-index-{abs(hash(key)):x}"
-        write_index(kb, folder)
-        _built[key] = folder
-    return open_index(spark, _built[key])
+        _built[key] = write_index(kb, folder)
+    return _built[key]

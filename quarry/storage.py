@@ -81,6 +81,12 @@ def numbered(df: DataFrame, order: str, column: str, first: int = 1) -> DataFram
     return placed.join(F.broadcast(known), "__part").withColumn(column, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
+def at_hand(df: DataFrame, most: int) -> tuple[DataFrame, int] | None:
+    """df as a table that the plan holds itself, and its rows, if these are at most so many; else None. df runs once, up to that many rows."""
+    rows = df.limit(most + 1).toArrow()
+    return None if rows.num_rows > most else (df.sparkSession.createDataFrame(rows), rows.num_rows)
+
+
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows. It is counted first, so it should be cheap or durable."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
