@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 # Limits and defaults that users see.
@@ -15,12 +16,15 @@ QUALITY = 0.3
 
 @dataclass(frozen=True)
 class TextIndex:
-    """rows: the postings of trigrams by bucket; how many buckets there are, and the indexed chunks and their length in trigrams."""
+    """rows: the postings of trigrams by bucket; how many buckets there are, and the live chunks and their length in trigrams.
+    dead: serials of ended revisions, whose chunks still stand in rows; a chunk's id divided by stride gives its serial."""
 
     rows: DataFrame
     buckets: int
     chunks: int
     length: int
+    dead: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    stride: int = 1
 
 
 @dataclass(frozen=True)

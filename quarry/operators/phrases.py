@@ -42,6 +42,7 @@ class Block:
     ids: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
+    live: np.ndarray | None = None  # which chunks are, if not all
     rows: dict[str, tuple[list[int], int, bytes]] = field(default_factory=dict)
     _coords: dict[str, np.ndarray] = field(default_factory=dict)
 
@@ -78,6 +79,7 @@ class Block:
                 counts = np.bincount(number * 3 + own % 3, minlength=3 * len(rows)).reshape(-1, 3)
                 out.append(np.concatenate([rows[:, None], np.full((len(rows), 1), t), counts], 1))
         found = np.concatenate(out)
+        found = found if self.live is None else found[self.live[found[:, 0]]]
         return found[np.argsort(found[:, 0], kind="stable")]
 
     def most(self, grams: list[tuple[str, int]]) -> tuple[np.ndarray, int] | None:
@@ -88,8 +90,8 @@ class Block:
         return np.min([r[0] for r in rows], axis=0), max(r[1] for r in rows)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks from rows of needed(). A block without any of the trigrams is left out."""
+def blocks_of(batches: Iterator[pa.RecordBatch], dead: np.ndarray, stride: int) -> Iterator[Block]:
+    """Blocks from rows of needed(). A block without any of the trigrams is left out; chunks of dead serials are never found."""
     block, number = None, None
     for batch in batches:
         for k, (at, gram) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -98,7 +100,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                     yield block
                 block, number = None, at
             if gram == "" and batch.column(5)[k].is_valid:
-                block = Block(np.asarray(batch.column(5)[k].values), *(np.frombuffer(batch.column(c)[k].as_py(), "<i8") for c in (6, 7)))
+                ids = np.asarray(batch.column(5)[k].values)
+                block = Block(ids, *(np.frombuffer(batch.column(c)[k].as_py(), "<i8") for c in (6, 7)), ~np.isin(ids // stride, dead) if len(dead) else None)
             elif block is not None:
                 block.rows[gram] = batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
     if block is not None and block.rows:

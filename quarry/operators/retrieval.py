@@ -131,6 +131,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, cells: VectorCells | Non
 
 #: Rows of a first round that the plan of the second one holds itself; more are stored. Cells whose ranges a scan filters by.
 FIRST_ROWS, RANGED = 1 << 16, 64
+#: A search for more than one in so many vectors reads them all at once.
+BROAD = 8
 
 
 def _asked(cells: VectorCells, want: np.ndarray, far: np.ndarray, reach: np.ndarray) -> dict[int, tuple[list[int], float, float]]:
@@ -166,10 +168,17 @@ def _in_cells(cells: VectorCells, ids: list[int], matrix: np.ndarray, k: int, re
     np.put_along_axis(want, order, before < k, axis=1)
     want |= loose
     everything = np.full(len(ids), np.inf)
+    if k * BROAD >= size.sum():  # so many neighbours leave little out: one round reads all
+        want[:] = True
+    if want.all():
+        if report is not None:
+            report += [(q, len(same), int(size.sum())) for q in ids]
+        return _round(some, ids, matrix, _asked(some, want, far, everything), k)
     first = ranked(_round(some, ids, matrix, _asked(some, want, far, everything), k), "distance", limit=k).drop("rank")
     held = at_hand(first, FIRST_ROWS) if len(ids) * k <= FIRST_ROWS else None
     first = held[0] if held else durable(first, "nearest")
-    bound = {r["query_id"]: r["edge"] for r in first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("edge")).where(F.col("n") >= k).collect()}  # a number for each query of a block
+    edges = held[1].group_by("query_id").aggregate([("distance", "count"), ("distance", "max")]) if held else first.groupBy("query_id").agg(F.count("*").alias("distance_count"), F.max("distance").alias("distance_max")).toArrow()
+    bound = {r["query_id"]: r["distance_max"] for r in edges.to_pylist() if r["distance_count"] >= k}  # a number for each query of a block
     reach = np.array([bound.get(q, np.inf) for q in ids])
     reach = np.where(np.isnan(reach), np.inf, reach) * (1 + 1e-9) + 1e-12  # distances round
     more = (far - radius <= reach[:, None]) & ~want
@@ -358,26 +367,26 @@ def _scores(*options):
     return run
 
 
-def _index_counts(terms: list[str]):
+def _index_counts(terms: list[str], *dead):
     """(key, n): chunks that hold a term, by the term's number, from rows of the text index."""
     grams = [grams_of(t) for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, *dead):
             total += np.bincount(block.hits(grams, list(range(len(terms))))[:, 1], minlength=len(terms))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms), dtype=np.int32)), pa.array(total)], names=["key", "n"])
 
     return run
 
 
-def _index_scores(terms: list[str], *options):
+def _index_scores(terms: list[str], dead: tuple, *options):
     """As _scores(), from rows of the text index. A block whose bounds are beaten is passed over before a place of it is read."""
     grams = [grams_of(t) for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*options)
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, *dead):
             most = {t: m for t, g in enumerate(grams) if (m := block.most(g)) is not None}
             if most and not best.beaten(most):
                 yield from best.add(block.ids, block.lengths, block.hits(grams, list(most)))
@@ -409,7 +418,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
         if text is not None and all(len(t) >= 3 for t in terms):
             rows = needed(text, terms)
-            counted = {r["key"]: r["n"] for r in rows.mapInArrow(_index_counts(terms), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+            counted = {r["key"]: r["n"] for r in rows.mapInArrow(_index_counts(terms, text.dead, text.stride), "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()}
             n, length = text.chunks, text.length
         else:
             found = durable(fields.mapInArrow(_finder(terms, ready), _FOUND), "phrases")
@@ -418,7 +427,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, weights: DataFrame, k: int | Non
         df = np.array([counted.get(t, 0) for t in range(len(terms))], float)
         idf = np.log((n - df + 0.5) / (df + 0.5))
         options = (np.where(idf > 0, idf, 1e-6), length / max(n, 1) or 1.0, uses, triples, k)
-        part = (found.mapInArrow(_scores(*options), _SCORED) if rows is None else rows.mapInArrow(_index_scores(terms, *options), _SCORED))
+        part = (found.mapInArrow(_scores(*options), _SCORED) if rows is None else rows.mapInArrow(_index_scores(terms, (text.dead, text.stride), *options), _SCORED))
         out = part if out is None else out.union(part)
     if out is None:
         out = chunks.sparkSession.createDataFrame([], _SCORED)
@@ -441,7 +450,7 @@ def match_counts(chunks: DataFrame, queries: DataFrame, text: TextIndex | None =
             continue
         number = {t: i for i, t in enumerate(terms)}
         uses = [(q, [number[t] for t in ts]) for q, ts in block if ts]
-        rows, run = (fields, _matching(terms, uses, ready)) if text is None or any(len(t) < 3 for t in terms) else (needed(text, terms), _index_matching(terms, uses))
+        rows, run = (fields, _matching(terms, uses, ready)) if text is None or any(len(t) < 3 for t in terms) else (needed(text, terms), _index_matching(terms, uses, text.dead, text.stride))
         out = out.union(rows.mapInArrow(run, "query_id long, matches long"))
     return out.groupBy("query_id").agg(F.sum("matches").alias("matches")).where("matches > 0")
 
@@ -462,12 +471,12 @@ def _matching(terms: list[str], uses: list[tuple[int, list[int]]], ready: bool):
     return run
 
 
-def _index_matching(terms: list[str], uses: list[tuple[int, list[int]]]):
+def _index_matching(terms: list[str], uses: list[tuple[int, list[int]]], *dead):
     grams = [grams_of(t) for t in terms]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [0] * len(uses)
-        for block in blocks_of(batches):
+        for block in blocks_of(batches, *dead):
             _counted(total, uses, block.hits(grams, list(range(len(terms)))), len(terms))
         yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in uses], pa.int64()), pa.array(total, pa.int64())], names=["query_id", "matches"])
 

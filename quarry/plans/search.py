@@ -21,7 +21,8 @@ FEW, FEW_ROWS = 64, 4096
 
 def _few(queries: DataFrame) -> tuple[DataFrame, int | None]:
     """The queries and their number, if they are few: then as a table that plans hold themselves."""
-    return at_hand(queries, FEW) or (queries, None)
+    held = at_hand(queries, FEW)
+    return (held[0], held[1].num_rows) if held else (queries, None)
 
 
 def _candidates(corpus: Corpus, queries: DataFrame, asked: int | None, options: SearchOptions) -> DataFrame:
@@ -33,9 +34,8 @@ def _candidates(corpus: Corpus, queries: DataFrame, asked: int | None, options:
     fused = fuse(legs, options.fusion.k, None if options.mmr.enabled else options.fused)
     if asked is None or (found := at_hand(fused, FEW_ROWS)) is None:
         return attach(hinted(durable(fused, "fused")), corpus)
-    rows = found[0]
-    ids = [r[0] for r in rows.select("chunk_id").distinct().collect()]  # the scan of the chunks' texts skips row groups by them
-    return attach(F.broadcast(rows), replace(corpus, chunks=corpus.chunks.where(F.col("id").isin(ids))))
+    ids = found[1].column("chunk_id").unique().to_pylist()  # the scan of the chunks' texts skips row groups by them
+    return attach(F.broadcast(found[0]), replace(corpus, chunks=corpus.chunks.where(F.col("id").isin(ids))))
 
 
 def candidates(corpus: Corpus, queries: DataFrame, options: SearchOptions) -> DataFrame:

@@ -7,6 +7,7 @@ member from its center, and each row keeps its own distance, by which a cell's f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.model import VectorCells
+from quarry.storage import plain_unions
 
 #: Vectors that centers are chosen from; vectors a cell shall have about, and the most cells of a length of vectors; vectors of a written file.
 SAMPLED, CELL_VECTORS, MOST_CELLS, FILE_VECTORS = 4096, 256, 2048, 1 << 20
 #: The cell of vectors that have no distance to anything: empty ones, or with a component that is null or not finite. Every search reads it.
 LOOSE = -1
-SCHEMA = "chunk_id long, embedding array<float>, gap double, cell int"
+SCHEMA = "chunk_id long, embedding array<float>, gap double, cell long"
 
 
 def choose_centers(x: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
@@ -56,7 +58,7 @@ def _placed(centers: dict[int, tuple[np.ndarray, np.ndarray]]):
         for batch in batches:
             lists = batch.column(1)
             size = np.diff(lists.offsets.to_numpy())
-            gap, cell = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, LOOSE, np.int32)
+            gap, cell = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, LOOSE, np.int64)
             for dim, (cells, own) in centers.items():
                 some = np.flatnonzero(size == dim)
                 if len(some):
@@ -70,29 +72,36 @@ def _placed(centers: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def write_cells(vectors: DataFrame, folder: str) -> None:
-    """Writes vectors by cell under folder/rows, and the cells with center, radius and size under folder/cells."""
+def write_cells(vectors: DataFrame, folder: str, first: int = 0) -> None:
+    """Writes vectors by cell under folder/rows, and the cells, numbered from first on, with center, radius and size under folder/cells."""
     spark = vectors.sparkSession
     counts = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").collect()}
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    centers, first = {}, 0
+    centers, base = {}, first
     for dim, n in sorted(counts.items()):
         rows = vectors.where((F.size("embedding") == dim) & finite).orderBy(F.xxhash64("chunk_id"), "chunk_id").select("embedding").limit(SAMPLED).collect()
         if rows:
             own = choose_centers(np.array([r["embedding"] for r in rows], np.float64), min(MOST_CELLS, -(-n // CELL_VECTORS)))
-            centers[dim] = np.arange(first, first + len(own), dtype=np.int32), own
+            centers[dim] = np.arange(first, first + len(own), dtype=np.int64), own
             first += len(own)
     total = sum(counts.values())
-    parts = max(1, -(-total // (max(first, 1) * FILE_VECTORS)))
+    parts = max(1, -(-total // (max(first - base, 1) * FILE_VECTORS)))
     placed = vectors.select("chunk_id", "embedding").mapInArrow(_placed(centers), SCHEMA)
-    dealt = placed.repartition("cell") if parts == 1 else placed.repartition(min(first * parts, 100_000), "cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+    dealt = placed.repartition("cell") if parts == 1 else placed.repartition(min(max(first - base, 1) * parts, 100_000), "cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
     dealt.sortWithinPartitions("cell", "gap").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
     measured = {r["cell"]: (r["radius"], r["n"]) for r in spark.read.schema(SCHEMA).parquet(f"{folder}/rows").groupBy("cell").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).collect()}
     rows = [(int(c), own.tolist(), *measured[int(c)]) for cells, centers_ in centers.values() for c, own in zip(cells, centers_, strict=True) if int(c) in measured]
     rows += [(LOOSE, [], float("inf"), measured[LOOSE][1])] if LOOSE in measured else []
-    spark.createDataFrame(rows, "cell int, center array<double>, radius double, size long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
-
-
-def open_cells(spark: SparkSession, folder: str) -> VectorCells:
-    rows = spark.read.schema("cell int, center array<double>, radius double, size long").parquet(f"{folder}/cells").toArrow().to_pylist()  # at most MOST_CELLS for each length
-    return VectorCells(spark.read.schema(SCHEMA).parquet(f"{folder}/rows"), tuple((r["cell"], tuple(r["center"]), r["radius"], r["size"]) for r in rows))
+    spark.createDataFrame(rows, "cell long, center array<double>, radius double, size long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+
+
+def open_cells(spark: SparkSession, folders: list[str]) -> VectorCells:
+    """The cells under all folders, together; each folder's are numbered apart, and loose ones are one cell."""
+    plain_unions(spark)
+    known: dict[int, tuple] = {}
+    for f in folders:  # at most MOST_CELLS for each length of vectors
+        for r in spark.read.schema("cell long, center array<double>, radius double, size long").parquet(f"{f}/cells").toArrow().to_pylist():
+            size = r["size"] + (known[r["cell"]][3] if r["cell"] in known else 0)
+            known[r["cell"]] = r["cell"], tuple(r["center"]), r["radius"], size
+    rows = reduce(DataFrame.unionByName, [spark.read.schema(SCHEMA).parquet(f"{f}/rows") for f in folders])
+    return VectorCells(rows, tuple(known.values()))

@@ -38,9 +38,12 @@ def excluded(path: Column, folders: tuple[str, ...] | None = None, ignore: str =
     return barred | matched
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",), folders: tuple[str, ...] | None = None, ignore: str = "", cap: int = MOST_BYTES) -> DataFrame:
-    """(path, content_hash, size_bytes, status, content) of the eligible files under root; those over the cap have status oversize and no content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("md",), folders: tuple[str, ...] | None = None, ignore: str = "", cap: int = MOST_BYTES, only: list[str] | None = None) -> DataFrame:
+    """(path, content_hash, size_bytes, status, content) of the eligible files under root; those over the cap have status oversize and no content.
+
+    only: files under root that are there, by path; just these are looked at."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(root) if only is None else reader.load([f"{root}/{p}" for p in only]) if only else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace("path", r"^.*?" + base.replace(".", r"\.") + "/", "")
     rows = files.withColumn("path", path).where(extension_of(F.col("path")).isin(*extensions) & ~F.regexp_extract("path", r"([^/]*)$", 1).startswith("~$") & ~excluded(F.col("path"), folders, ignore))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import fold
 from quarry.model import TextIndex
+from quarry.storage import plain_unions
 
 #: Characters and chunks of a block; a longer chunk is a block of its own.
 BLOCK_CHARS, BLOCK_CHUNKS = 1 << 20, 8192
@@ -122,22 +124,22 @@ def write_postings(chunks: DataFrame, folder: str, buckets: int | None = None, s
     rows = chunks.select("id", *(fold(F.col(c)).alias(c) for c in ("heading", "context_text", "content"))).mapInArrow(_indexer(buckets, segment << 40), SCHEMA)
     parts = max(1, -(-chars // (buckets * FILE_CHARS)))
     dealt = rows.repartition("bucket") if parts == 1 else rows.repartition(min(buckets * parts, 100_000), "bucket", F.pmod("block", F.lit(parts)))
-    dealt.sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    dealt.sortWithinPartitions("bucket", "gram", "block").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
     total = chunks.sparkSession.read.schema(SCHEMA).parquet(folder).where(F.col("bucket") == HEADS).agg(F.sum("chunks").alias("chunks"), F.sum("least").alias("length")).first()
     return {"buckets": buckets, "chunks": total["chunks"] or 0, "length": total["length"] or 0}
 
 
-def open_postings(spark: SparkSession, folders: list[str], stats: dict) -> TextIndex:
-    return TextIndex(spark.read.schema(SCHEMA).parquet(*folders) if len(folders) == 1 else _several(spark, folders), stats["buckets"], stats["chunks"], stats["length"])
-
-
-def _several(spark: SparkSession, folders: list[str]) -> DataFrame:
-    out = spark.read.schema(SCHEMA).parquet(folders[0])
-    for f in folders[1:]:
-        out = out.unionByName(spark.read.schema(SCHEMA).parquet(f))
-    return out
+def open_postings(spark: SparkSession, folders: list[str], stats: dict, dead: np.ndarray | None = None, stride: int = 1) -> TextIndex:
+    """The text index under all folders, together. dead: what chunk ids of ended revisions give when divided by stride."""
+    plain_unions(spark)
+    rows = reduce(DataFrame.unionByName, [spark.read.schema(SCHEMA).parquet(f) for f in folders])
+    return TextIndex(rows, stats["buckets"], stats["chunks"], stats["length"], np.zeros(0, np.int64) if dead is None else dead, stride)
 
 
 def indexed_chunks(text: TextIndex) -> DataFrame:
-    """(chunk_id) of all chunks that the text index lists."""
-    return text.rows.where(F.col("bucket") == HEADS).select(F.explode("ids").alias("chunk_id"))
+    """(chunk_id) of all live chunks that the text index lists."""
+    rows = text.rows.where(F.col("bucket") == HEADS).select(F.explode("ids").alias("chunk_id"))
+    if not len(text.dead):
+        return rows
+    gone = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"gone": text.dead})))  # bounded by the index
+    return rows.join(gone, F.floor(F.col("chunk_id") / text.stride) == F.col("gone"), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,10 @@ def numbered(df: DataFrame, order: str, column: str, first: int = 1) -> DataFram
     return placed.join(F.broadcast(known), "__part").withColumn(column, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
-def at_hand(df: DataFrame, most: int) -> tuple[DataFrame, int] | None:
+def at_hand(df: DataFrame, most: int) -> tuple[DataFrame, pa.Table] | None:
     """df as a table that the plan holds itself, and its rows, if these are at most so many; else None. df runs once, up to that many rows."""
     rows = df.limit(most + 1).toArrow()
-    return None if rows.num_rows > most else (df.sparkSession.createDataFrame(rows), rows.num_rows)
+    return None if rows.num_rows > most else (df.sparkSession.createDataFrame(rows), rows)
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ def data(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("cells"))
     write_cells(v, folder)
     q = spark.createDataFrame([(k, x[k * 7].tolist()) for k in range(40)] + [(100, [2.0]), (101, [])], "query_id long, vector array<float>")
-    return v, open_cells(spark, folder), q
+    return v, open_cells(spark, [folder]), q
 
 
 @pytest.mark.parametrize("k", [1, 100, 4000])
@@ -47,4 +47,4 @@ def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
     write_cells(none, str(tmp_path / "c"))
     q = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<float>")
-    assert retrieval.knn(none, q, 3, open_cells(spark, str(tmp_path / "c"))).count() == 0
+    assert retrieval.knn(none, q, 3, open_cells(spark, [str(tmp_path / "c")])).count() == 0
