@@ -1,7 +1,7 @@
-"""Connection graph: a breadth-first walk over nearest neighbours from a document, level by level, and its renderings.
+"""Connection graphs: breadth-first walks over nearest neighbours from many documents at once, level by level, and their renderings.
 
-Each level asks for the neighbours of its whole frontier in one pass over the vectors. Admission depends on order, so it is replayed on the driver over at
-most max_nodes times a few candidate rows.
+The frontier of all walks is a table. Each level asks once for the neighbours of its distinct chunks, whichever walks they belong to; what a
+walk admits depends on order, so its nodes and candidates, bounded by max_nodes and fan_out, meet in one group and are taken in turn there.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ import json
 from collections import defaultdict
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fit_width
 from quarry.model import MOST_NEIGHBOURS, Corpus, GraphOptions
 from quarry.operators.predicates import predicate
 from quarry.operators.retrieval import attach, knn
+from quarry.storage import durable, plain_unions
 
 
 @dataclass
@@ -40,83 +41,132 @@ class Graph:
     truncation: list[str] = field(default_factory=list)
 
 
-def _short(text: str) -> str:
-    return text if len(text) <= 200 else text[:200] + "…"
+_NODE = "start_id long, id int, parent_id int, depth int, score double, chunk_id long, path string"
+_STEP = f"{_NODE}, queries int, cut boolean"
 
 
-def seeds(corpus: Corpus, path: str, cap: int) -> tuple[list, bool]:
-    """(up to cap chunks of the document that have a vector, in order; whether there were more)."""
-    doc = corpus.documents.where(F.col("path") == path).select(F.col("id").alias("document_id"), "path")
-    rows = corpus.chunks.join(F.broadcast(doc), "document_id").join(corpus.vectors.withColumnRenamed("chunk_id", "id"), "id")
-    got = rows.select("id", "chunk_index", "path", "heading", "content", "embedding").orderBy("chunk_index", "id").limit(cap + 1).collect()
-    return got[:cap], len(got) > cap
+def seeds(corpus: Corpus, starts: DataFrame, cap: int) -> DataFrame:
+    """(start_id, path, chunk_id, at, embedding): of each start (start_id, path) up to cap + 1 chunks that have a vector, in order, at from 0."""
+    doc = corpus.documents.select(F.col("id").alias("document_id"), "path").join(starts, "path")
+    rows = corpus.chunks.join(doc, "document_id").select("start_id", "path", "chunk_index", F.col("id").alias("chunk_id")).join(corpus.vectors, "chunk_id")
+    order = Window.partitionBy("start_id").orderBy("chunk_index", "chunk_id")
+    return rows.withColumn("at", F.row_number().over(order) - 1).where(F.col("at") <= cap).select("start_id", "path", "chunk_id", "at", "embedding")
 
 
-def neighbours(corpus: Corpus, frontier: list[tuple[int, list[float]]], options: GraphOptions) -> dict[int, list]:
-    """node id to candidate rows, nearest first."""
-    spark, want = corpus.chunks.sparkSession, 2 * options.fan_out
-    queries = spark.createDataFrame(frontier, "query_id long, vector array<double>")
-    fetch = min(options.filters.fetch(want), MOST_NEIGHBOURS)
-    rows = attach(knn(corpus.vectors, queries, fetch), corpus).where(predicate(options.filters))
-    rows = rows.join(corpus.vectors, "chunk_id").select("query_id", "rank", "chunk_id", "distance", "path", "heading", "content", "embedding").orderBy("query_id", "rank")
-    out: dict[int, list] = defaultdict(list)
-    for r in rows.collect():
-        if len(out[r["query_id"]]) < want:
-            out[r["query_id"]].append(r)
-    return out
+def centroids(seeds: DataFrame) -> DataFrame:
+    """(start_id, vector): the mean of each start's vectors, of unit length unless it is zero."""
+    means = seeds.select("start_id", F.posexplode("embedding").alias("k", "x")).groupBy("start_id", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    v = means.groupBy("start_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return v.select("start_id", F.transform("v", lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])).alias("vector"))
 
 
-def connection_graph(corpus: Corpus, path: str, options: GraphOptions | None = None) -> Graph:
-    o = options or GraphOptions()
-    graph = Graph()
-    if o.max_nodes == 0:
-        return graph
-    start, more = seeds(corpus, path, o.max_seeds)
-    if more:
-        graph.truncation.append("max_seed_chunks")
-    barred = {path, *o.exclude_paths}
-    seen_chunks, frontier = {r["id"] for r in start}, []
-    graph.seeds_used = len(start)
-    if o.strategy == "centroid" and start:
-        mean = np.array([r["embedding"] for r in start], np.float64).mean(0)
-        norm = float(np.linalg.norm(mean))
-        graph.nodes.append(Node(0, None, 0, 1.0, None, path, None, ""))
-        frontier.append((0, (mean / norm if norm else mean).tolist()))
-    else:
-        for r in start[: o.max_nodes]:
-            frontier.append((len(graph.nodes), [float(x) for x in r["embedding"]]))
-            graph.nodes.append(Node(len(graph.nodes), None, 0, 1.0, r["id"], path, r["heading"], _short(r["content"])))
-        if len(start) > o.max_nodes:
-            graph.truncation.append("max_nodes")
-    seen_paths: set[str] = set()
-    for depth in range(1, o.depth + 1):
-        found = neighbours(corpus, frontier, o) if frontier else {}
-        fresh: list[tuple[int, list[float]]] = []
-        for parent, _ in frontier:
-            if len(graph.nodes) >= o.max_nodes:
-                if "max_nodes" not in graph.truncation:
-                    graph.truncation.append("max_nodes")
+def _neighbours(corpus: Corpus, queries: DataFrame, options: GraphOptions) -> DataFrame:
+    """(query_id, rank, chunk_id, distance, path): what passes the filters, at most twice the fan-out for each query, nearest first."""
+    want = 2 * options.fan_out
+    fetch = min(options.filters.fetch(want), MOST_NEIGHBOURS)
+    rows = attach(knn(corpus.vectors, queries, fetch, corpus.cells), corpus).where(predicate(options.filters))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= want).select("query_id", "rank", "chunk_id", "distance", "path")
+
+
+def _admitting(o: GraphOptions, depth: int):
+    """Of one walk: its nodes so far (kind 0), chunks that it may not enter besides (1) and the candidates of its last level (2), to the nodes of
+    the next level and a row without id that counts the questions asked and says whether the node budget cost something."""
+
+    def admit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = rows[rows["kind"] == 0].sort_values("id")
+        seen = set(rows.loc[rows["kind"] < 2, "chunk_id"].dropna().astype("int64"))
+        barred = {*nodes.loc[nodes["depth"] == 0, "path"], *o.exclude_paths}
+        if o.dedup_by_path:
+            barred |= set(nodes["path"])
+        found: dict[int, list] = defaultdict(list)
+        for r in rows[rows["kind"] == 2].sort_values(["id", "rank"]).itertuples():
+            found[int(r.id)].append(r)
+        out, total, asked, cut = [], len(nodes), 0, False
+        for parent in nodes.loc[nodes["depth"] == depth - 1, "id"].astype(int):
+            if total >= o.max_nodes:
+                cut = True
                 break
-            graph.knn_queries += 1
+            asked += 1
             added = 0
-            for r in found.get(parent, ()):
-                if added >= o.fan_out or len(graph.nodes) >= o.max_nodes:
+            for r in found[parent]:
+                similarity = min(1.0, max(0.0, 1 - r.distance**2 / 2))
+                if added == o.fan_out:
                     break
-                similarity = min(1.0, max(0.0, 1 - r["distance"] ** 2 / 2))
-                if r["chunk_id"] in seen_chunks or r["path"] in barred or similarity < o.min_similarity or (o.dedup_by_path and r["path"] in seen_paths):
+                if r.chunk_id in seen or r.path in barred or similarity < o.min_similarity:
                     continue
-                seen_chunks.add(r["chunk_id"])
-                seen_paths.add(r["path"])
-                fresh.append((len(graph.nodes), [float(x) for x in r["embedding"]]))
-                graph.nodes.append(Node(len(graph.nodes), parent, depth, similarity, r["chunk_id"], r["path"], r["heading"], _short(r["content"])))
-                added += 1
-        frontier = fresh
-    return graph
-
-
-def graph_rows(corpus: Corpus, graph: Graph) -> DataFrame:
-    schema = "id int, parent_id int, depth int, score double, chunk_id long, path string, heading string, snippet string"
-    return corpus.chunks.sparkSession.createDataFrame([tuple(asdict(n).values()) for n in graph.nodes], schema)
+                if total >= o.max_nodes:
+                    cut = True
+                    break
+                seen.add(int(r.chunk_id))
+                if o.dedup_by_path:
+                    barred.add(r.path)
+                out.append((key[0], total, parent, depth, similarity, int(r.chunk_id), r.path, None, None))
+                total, added = total + 1, added + 1
+        out.append((key[0], None, None, depth, None, None, None, asked, cut))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _STEP.split(", ")])
+        return frame.astype({"id": "Int32", "parent_id": "Int32", "chunk_id": "Int64", "queries": "Int32", "cut": "boolean"})
+
+    return admit
+
+
+def connection_graphs(corpus: Corpus, starts: DataFrame, options: GraphOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """The walks of all starts (start_id, path), ids being their own.
+
+    Nodes: (start_id, id, parent_id, depth, score, chunk_id, path, heading, snippet), in the order they were admitted from id 0. Stats, a row for
+    each start with seeds: (start_id, total_nodes, knn_queries, seeds_used, max_seed_chunks, max_nodes), the last two being what was cut. A
+    start without a chunk that has a vector has no rows. The driver holds the questions of a level in blocks, as any search does.
+    """
+    o, spark = options or GraphOptions(), corpus.chunks.sparkSession
+    plain_unions(spark)
+    starts = starts.select("start_id", "path")
+    every = durable(seeds(corpus, starts, o.max_seeds), "seeds")
+    own, none = every.where(F.col("at") < o.max_seeds), F.lit(None)
+    centroid = o.strategy == "centroid"
+    first = own.where(F.col("at") < (min(1, o.max_nodes) if centroid else o.max_nodes))
+    nodes = first.select("start_id", F.col("at").cast("int").alias("id"), none.cast("int").alias("parent_id"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), "chunk_id", "path")
+    barred = own.select("start_id", "chunk_id") if centroid else None
+    steps: list[DataFrame] = []
+    for depth in range(1, o.depth + 1):
+        front = nodes.where(F.col("depth") == depth - 1)
+        if depth == 1 and centroid:
+            asked, queries = front.withColumn("query_id", F.col("start_id")), centroids(own).withColumnRenamed("start_id", "query_id")
+        else:
+            asked = front.withColumn("query_id", F.col("chunk_id"))
+            queries = corpus.vectors.join(front.select("chunk_id").distinct(), "chunk_id").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+        found = durable(_neighbours(corpus, queries, o), "neighbours")
+        met = asked.select("start_id", "id", "query_id").join(found, "query_id").select("start_id", F.lit(2).alias("kind"), "id", none.cast("int").alias("depth"), "chunk_id", "path", "rank", "distance")
+        state = nodes.select("start_id", F.lit(0).alias("kind"), "id", "depth", "chunk_id", "path", none.cast("int").alias("rank"), none.cast("double").alias("distance"))
+        if barred is not None:
+            state = state.unionByName(barred.select("start_id", F.lit(1).alias("kind"), none.cast("int").alias("id"), none.cast("int").alias("depth"), "chunk_id", none.cast("string").alias("path"), none.cast("int").alias("rank"), none.cast("double").alias("distance")))
+        step = durable(state.unionByName(met).groupBy("start_id").applyInPandas(_admitting(o, depth), _STEP), "level")
+        steps.append(step.where("id is null"))
+        nodes = nodes.unionByName(step.where("id is not null").select(*nodes.columns))
+    snippet = F.when(F.length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("…"))).otherwise(F.col("content"))
+    shown = nodes.join(corpus.chunks.select(F.col("id").alias("chunk_id"), "heading", snippet.alias("snippet")), "chunk_id", "left")
+    counted = own.groupBy("start_id").agg(F.count("*").alias("n"))
+    more = every.where(F.col("at") == o.max_seeds).select("start_id", F.lit(True).alias("more"))
+    size = nodes.groupBy("start_id").agg(F.count("*").alias("total_nodes"))
+    asked = spark.createDataFrame([], "start_id long, queries int, cut boolean")
+    for step in steps:
+        asked = asked.union(step.select("start_id", "queries", "cut"))
+    asked = asked.groupBy("start_id").agg(F.sum("queries").alias("queries"), F.bool_or("cut").alias("cut"))
+    used = F.when(F.lit(o.max_nodes == 0), 0).when(F.lit(centroid), F.col("n")).otherwise(F.least("n", F.lit(o.max_nodes)))
+    cut = F.coalesce("cut", F.lit(False)) | F.lit(o.max_nodes == 0) | (F.lit(not centroid) & (F.col("n") > o.max_nodes))
+    stats = counted.join(size, "start_id", "left").join(asked, "start_id", "left").join(more, "start_id", "left")
+    stats = stats.select("start_id", F.coalesce("total_nodes", F.lit(0)).alias("total_nodes"), F.coalesce("queries", F.lit(0)).cast("long").alias("knn_queries"), used.cast("long").alias("seeds_used"), F.coalesce("more", F.lit(False)).alias("max_seed_chunks"), cut.alias("max_nodes"))
+    return shown.select("start_id", "id", "parent_id", "depth", "score", "chunk_id", "path", "heading", "snippet"), stats
+
+
+def connection_graph(corpus: Corpus, path: str, options: GraphOptions | None = None) -> Graph:
+    """The walk of one document, which has at most max_nodes nodes, fetched for rendering."""
+    starts = corpus.chunks.sparkSession.createDataFrame([(0, path)], "start_id long, path string")
+    nodes, stats = connection_graphs(corpus, starts, options)
+    rows = [Node(*r[1:]) for r in nodes.orderBy("id").collect()]
+    s = stats.first()
+    if s is None:
+        return Graph()
+    return Graph(rows, s["knn_queries"], s["seeds_used"], [n for n in ("max_seed_chunks", "max_nodes") if s[n]])
 
 
 def _label(n: Node, most: int = 40) -> str:

@@ -521,11 +521,45 @@ def tune_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph, sweep, stream
 
 
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document."""
+    return corpus(spark, sf_dir).documents.where("id % 50 = 0").select(F.col("id").alias("start_id"), "path")
+
+
 @register()
 def connection_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kb = corpus(spark, sf_dir)
-    start = kb.documents.where("id = 7").select("path").first()["path"]
-    return graph.graph_rows(kb, graph.connection_graph(kb, start, GraphOptions(min_similarity=0.2))).withColumn("score", F.round("score", 6))
+    nodes, _ = graph.connection_graphs(corpus(spark, sf_dir), _starts(spark, sf_dir), GraphOptions(min_similarity=0.2))
+    return nodes.withColumn("score", F.round("score", 6))
+
+
+#: A document of the model has one vector, that of its first line, so a walk has one seed.
+GRAPH_SQL = KNN_SQL + f""", seed AS (SELECT d.id AS start_id, c.id AS chunk_id FROM kb_documents d JOIN kb_chunks c ON c.document_id = d.id JOIN kb_vectors v ON v.chunk_id = c.id WHERE d.id % 50 = 0
+), met AS (SELECT start_id, k.chunk_id, k.rank, least(greatest(1 - distance * distance / 2, 0), 1) AS score FROM seed JOIN knn k ON k.query_id = seed.start_id JOIN kb_chunks c ON c.id = k.chunk_id WHERE k.rank < 10 AND c.document_id <> start_id
+), near AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY rank) AS id FROM met WHERE score >= 0.2)"""
+
+
+@register(
+    _with(
+        """SELECT start_id, CAST(0 AS INTEGER) AS id, CAST(NULL AS INTEGER) AS parent_id, CAST(0 AS INTEGER) AS depth, 1.0::DOUBLE AS score, chunk_id FROM seed
+        UNION ALL SELECT start_id, CAST(id AS INTEGER), 0, 1, round(score, 6), chunk_id FROM near WHERE id <= 5""",
+        GRAPH_SQL,
+    )
+)
+def graph_first_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = graph.connection_graphs(corpus(spark, sf_dir), _starts(spark, sf_dir), GraphOptions(depth=1, min_similarity=0.2))
+    return nodes.select("start_id", "id", "parent_id", "depth", F.round("score", 6).alias("score"), "chunk_id")
+
+
+@register(
+    _with(
+        """SELECT start_id, 1 + count(near.chunk_id) FILTER (id <= 5) AS total_nodes, CAST(1 AS BIGINT) AS knn_queries, CAST(1 AS BIGINT) AS seeds_used, false AS max_seed_chunks, false AS max_nodes FROM seed LEFT JOIN near USING (start_id) GROUP BY 1""",
+        GRAPH_SQL,
+    )
+)
+def graph_centroid_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the walks from the documents' centroids asked and used; of one seed the centroid has its direction."""
+    _, stats = graph.connection_graphs(corpus(spark, sf_dir), _starts(spark, sf_dir), GraphOptions(depth=1, min_similarity=0.2, strategy="centroid"))
+    return stats
 
 
 def _sweep_golden(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def test_graph(spark, most):
     assert graph.to_svg(g).count("<rect") == len(g.nodes) and graph.to_text(g) and graph.to_json(g)
     c = graph.connection_graph(kb, "cat/top/2.md", GraphOptions(strategy="centroid", min_similarity=0.1, dedup_by_path=True))
     paths = [n.path for n in c.nodes[1:]]
-    assert c.nodes[0].chunk_id is None and c.seeds_used == 3 and len(set(paths)) == len(paths)
+    assert c.nodes[0].chunk_id == 200 and c.seeds_used == 3 and len(set(paths)) == len(paths)
     assert graph.connection_graph(kb, "cat/top/2.md", GraphOptions(max_nodes=0)).nodes == [] and graph.connection_graph(kb, "no.md").nodes == []
 
 
