@@ -137,9 +137,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = TREES
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> RuleEnsemble:
     """Learns from at most fit_rows labelled rows with crc32(id) mod 4 other than 2. Rows with null id or label, or labels other than 0 and 1, are left out."""
-    chosen = labels.select(as_id(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    chosen = labels.select(as_id(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     chosen = chosen.where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
-    texts = docs.select(as_id(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(as_id(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
     stats = statistics(F.col("text"))
     rows = texts.select("y", "id", *(c.alias(k) for k, c in stats.items())).orderBy("id", "y", *stats).limit(fit_rows).toArrow()
     x = np.stack([rows.column(k).to_numpy() for k in stats], 1).astype(np.float64)
@@ -154,11 +154,11 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
     Null and empty texts get a score too. Input columns of any other name stay as they are. A null id counts as not held out. Labels, language, source and id are no inputs of a score.
     """
     names = ["held_out", "score", "predicted"]
-    rest = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
-    stats = statistics(F.col(text_col))
-    mark = free_prefix(docs, stats)
+    stats = statistics(F.col(f"`{text_col}`"))
+    mark = free_prefix(docs, [*stats, "held"])
     temporary = {k: f"{mark}{k}" for k in stats}
-    out = rest.withColumns({temporary[k]: c for k, c in stats.items()})
-    held = F.coalesce(F.crc32(as_id(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    out = out.withColumns({"held_out": held, "score": model.score({k: F.col(v) for k, v in temporary.items()})})
+    held = F.coalesce(F.crc32(as_id(F.col(f"`{id_col}`")).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    out = docs.withColumns({temporary[k]: c for k, c in stats.items()} | {f"{mark}held": held})  # id and text may be columns that are replaced
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    out = out.select(*rest, *temporary.values(), F.col(f"{mark}held").alias("held_out")).withColumn("score", model.score({k: F.col(v) for k, v in temporary.items()}))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*temporary.values())

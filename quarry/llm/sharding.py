@@ -49,7 +49,8 @@ def assign_shards(rows: DataFrame, key_col: str = "doc_id", shards: tuple[str, .
     """rows with slot and shard added (columns of these names are replaced). The table has `slots` rows whatever the input, and is broadcast."""
     spark = rows.sparkSession
     table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill_table(shards, slots))], "slot int, shard string")
-    out = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key_col}`"), slots))
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")]
+    out = rows.select(*rest, slot_of(F.col(f"`{key_col}`"), slots).alias("slot"))  # the key may be one of the replaced columns
     return out.join(F.broadcast(table), "slot")
 
 

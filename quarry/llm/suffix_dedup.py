@@ -405,24 +405,30 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(docs: DataFrame, id_col: str, text_col: str, extra: list[str]) -> DataFrame:
     kinds = dict(docs.dtypes)
     rest = "".join(f", x{k} {kinds[c]}" for k, c in enumerate(extra))
-    return docs.select(as_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra))).mapInArrow(_pack_texts, f"id long, mark long, packed binary{rest}")
+    return docs.select(as_id(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"x{k}") for k, c in enumerate(extra))).mapInArrow(_pack_texts, f"id long, mark long, packed binary{rest}")
 
 
-def _buckets(docs: DataFrame) -> int:
-    """Grows with the input; at least the session's shuffle partitions."""
+#: What Spark says of the size of a table that it doesn't know, as one made from rows, is at least this; its texts are measured instead.
+UNKNOWN_BYTES = 1 << 60
+
+
+def _buckets(docs: DataFrame, texts: DataFrame) -> int:
+    """Grows with the input, of which texts (id, text) are a part; at least the session's shuffle partitions."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     return int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20)))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, spans): for each text with bytes to remove, packed int64 pairs that may overlap, from one or several rows' blobs."""
     small_batches(docs.sparkSession)
-    texts = docs.select(as_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    buckets = _buckets(docs)
+    texts = docs.select(as_id(F.col(f"`{id_col}`")).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    buckets = _buckets(docs, texts)
     runs = texts.mapInArrow(_find_runs(buckets), "bucket int, kind int, id long, mark long, blob binary")
     found = durable(runs.groupBy("bucket").applyInArrow(_meet_group, _FOUND), "runs")
     opened = found.where("kind = 2").groupBy("id", "mark").agg(F.collect_list("blob").alias("blobs"))
-    slices = _packed(docs.where(F.col(id_col).isNotNull()), id_col, text_col, []).join(opened.hint("merge"), ["id", "mark"]).select("id", "mark", "packed", "blobs").mapInArrow(_slice_rows, _SLICES)
+    slices = _packed(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, []).join(opened.hint("merge"), ["id", "mark"]).select("id", "mark", "packed", "blobs").mapInArrow(_slice_rows, _SLICES)
     more = slices.groupBy(F.pmod("key", F.lit(buckets)).alias("bucket")).applyInArrow(_meet_slice_group, _FOUND)
     return durable(found.where("kind = 1").union(more).groupBy("id", "mark").agg(F.collect_list("blob").alias("spans")), "spans")
 
@@ -457,19 +463,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs without the bytes of every 100-byte string that also starts earlier (smaller id, or same text and earlier place).
 
     Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining bytes. With texts=True also
-    all other columns of docs, text_col as what remains (bytes of a character that was cut through are dropped there, not in the digest).
+    all other columns of docs, text_col as what remains (bytes of a character that was cut through are dropped there, not in the digest);
+    other columns of the names of the five results are replaced.
     A null text counts as empty. Texts without id lose nothing and make nothing repeat. Rows that repeat an id have the same rank:
     neither is earlier than the other. Texts under 100 bytes stay whole. An empty table gives an empty one.
     """
-    extra = [c for c in docs.columns if c not in (id_col, text_col)] if texts else []
+    digests = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    extra = [c for c in docs.columns if c not in (id_col, text_col, *digests)] if texts else []
     spans = repeated_spans(docs, id_col, text_col)
     # not broadcast: a task would then hold two Python workers, one that packs and one that cuts
     met = _packed(docs, id_col, text_col, extra).join(spans.hint("merge"), ["id", "mark"], "left").select("id", "packed", "spans", *(f"x{k}" for k in range(len(extra))))
     kinds = dict(docs.dtypes)
     rest = "".join(f", x{k} {kinds[c]}" for k, c in enumerate(extra))
     out = met.mapInArrow(_cutter(texts), f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept string' if texts else ''}{rest}")
-    digests = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not texts:
         return out.select(F.col("id").alias(id_col), *digests)
     named = {id_col: "id", text_col: "kept"} | {c: f"x{k}" for k, c in enumerate(extra)}
-    return out.select(*(F.col(named[c]).alias(c) for c in docs.columns), *(F.col(c) for c in digests if c not in docs.columns))
+    return out.select(*(F.col(named[c]).alias(c) for c in docs.columns if c in named), *(F.col(c) for c in digests if c not in named))
