@@ -38,7 +38,7 @@ def bucket_of(gram: str, buckets: int) -> int:
 def packed(coords: np.ndarray) -> bytes:
     """Ascending places as their differences: the width in bytes, then the bytes of all differences place by place."""
     steps = np.diff(coords, prepend=0).astype("<u4")
-    width = 1 if steps.max() < 1 << 8 else 2 if steps.max() < 1 << 16 else 4
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
     return bytes([width]) + steps.view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
 
 
