@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import category_of, token_estimate, topic_of
 from quarry.model import Corpus, Filters, Fusion, GraphOptions, Mmr, Parent, SearchOptions
-from quarry.operators import checks, evaluation, graph, maintenance, predicates, refine, retrieval, tuning
+from quarry.operators import checks, evaluation, graph, maintenance, predicates, refine, retrieval, sections, tuning
 from quarry.plans.search import candidates, search
 from quarry.sources.corpus import CORPUS_SQL
 from quarry.sources.index import stored as corpus
@@ -424,6 +424,33 @@ def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_rows(parsed(files)).select("path", "chunk_index", "heading", "level", "context_text", "token_count")
 
 
+#: Lines with a heading of level 1 to 4 before every third one.
+HEADED_SQL = """lines AS (SELECT doc_id AS document_id, CAST(unnest(range(2 * len(l))) AS INTEGER) AS pos, unnest(flatten([[CASE WHEN i % 3 = 0 THEN repeat('#', CAST(1 + (i // 3 * 7 + doc_id) % 4 AS INTEGER)) || ' Part ' || i END, l[i + 1]] FOR i IN range(len(l))])) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL)
+), leveled AS (SELECT *, CASE WHEN pos % 2 = 0 AND line IS NOT NULL THEN len(regexp_extract(line, '^#+')) END AS level, CASE WHEN pos % 2 = 0 THEN regexp_replace(line, '^#+ ', '') END AS heading FROM lines
+), placed AS (SELECT document_id, pos, level, count(level) OVER w AS section FROM leveled WINDOW w AS (PARTITION BY document_id ORDER BY pos)
+), above AS (SELECT a.document_id, a.section, max(a.level) AS level, list(h.heading ORDER BY h.pos) FILTER (h.heading IS NOT NULL) AS ancestors
+  FROM (SELECT document_id, section, pos, level FROM placed WHERE level IS NOT NULL) a
+  LEFT JOIN LATERAL (SELECT l.heading, l.pos FROM leveled l WHERE l.document_id = a.document_id AND l.pos < a.pos AND l.level < a.level
+    AND NOT EXISTS (SELECT 1 FROM leveled m WHERE m.document_id = l.document_id AND m.pos > l.pos AND m.pos < a.pos AND m.level <= l.level)) h ON true GROUP BY 1, 2)"""
+
+
+@register(
+    _with(
+        """SELECT document_id, CAST(section AS BIGINT) AS section, level, coalesce(array_to_string(ancestors, ' > '), '') AS ancestors FROM above""",
+        HEADED_SQL,
+    )
+)
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of every document, with a heading of level 1 to 4 set before each third line."""
+    raw = _table(spark, sf_dir, "documents").where("doc_id is not null")
+    mark = lambda i: F.concat(F.repeat(F.lit("#"), (1 + (F.floor(i / 3) * 7 + F.col("doc_id")) % 4).cast("int")), F.lit(" Part "), i.cast("string"))
+    lines = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.array(F.when(i % 3 == 0, mark(i)), x)))
+    rows = raw.select(F.col("doc_id").alias("document_id"), F.posexplode(lines).alias("pos", "line"))
+    found = sections.sections(rows).where("level is not null")
+    return found.select("document_id", "section", F.col("level").cast("long").alias("level"), F.array_join("ancestors", " > ").alias("ancestors"))
+
+
 # --- evaluation
 
 #: Every query expects one document, which counts once.

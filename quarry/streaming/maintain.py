@@ -92,3 +92,24 @@ def debounced(events: DataFrame, gap: str = "500 milliseconds") -> DataFrame:
     """(path, first, last, events): bursts of a path's events no further apart than the gap."""
     w = F.session_window("ts", gap)
     return events.groupBy("path", w).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("events")).drop("session_window")
+
+
+def maintain_index(events: DataFrame, root: str, folder: str, checkpoint: str, extensions: tuple[str, ...] = ("md",), trigger: dict | None = None, **how):
+    """Starts a query that keeps the index under folder up with the files under root: each batch brings the paths that it names to what they
+    are on disk when it runs. how: as rebuild() takes it.
+
+    An event only says where to look, so late, repeated and reordered events do no harm, and a batch that runs again after it was written
+    finds nothing to do. A batch of more paths than are looked up one by one is a scan of the whole folder, whatever it names.
+    """
+    from quarry.sources.index import MOST_PATHS, rebuild
+
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        named = batch.select(F.explode(F.array("path", "new_path")).alias("path")).where("path is not null").distinct()
+        paths = [r["path"] for r in named.limit(MOST_PATHS + 1).collect()]
+        if paths:
+            rebuild(spark, root, folder, extensions, only=paths if len(paths) <= MOST_PATHS else None, **how)
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()

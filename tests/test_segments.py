@@ -138,3 +138,28 @@ def test_models_and_other_writers(spark, run, monkeypatch):
     assert index.meta_of(spark, folder)["model"] == "other" and index.meta_of(spark, folder)["counters"]["embedded"] == kb.chunks.count()
     with pytest.raises(RuntimeError, match="another writer"):
         index._commit(spark, folder, index.meta_of(spark, folder))
+
+
+def test_a_stream_of_events_keeps_the_index_up(spark, tmp_path):
+    from quarry.streaming.maintain import maintain_index
+
+    root, folder, inbox = tmp_path / "kb", str(tmp_path / "index"), tmp_path / "events"
+    put(root, {"a.md": page("One"), "b.md": page("Two"), "c.md": page("Three")})
+    index.rebuild(spark, str(root), folder)
+    schema = "event_id long, ts timestamp, kind string, path string, new_path string"
+
+    def told(*events):
+        rows = spark.createDataFrame([(k, None, *e) for k, e in enumerate(events)], schema)
+        rows.coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(schema).parquet(str(inbox))
+        maintain_index(stream, str(root), folder, str(tmp_path / "checkpoint"), trigger={"availableNow": True}).awaitTermination(120)
+        return index.meta_of(spark, folder)
+
+    put(root, {"a.md": page("One", "More")})
+    (root / "b.md").rename(root / "d.md")
+    (root / "c.md").unlink()
+    meta = told(("reindex", "a.md", None), ("rename", "b.md", "d.md"), ("deindex", "c.md", None))
+    assert {k: meta["counters"][k] for k in ("updated", "renamed", "deleted")} == {"updated": 1, "renamed": 1, "deleted": 1}
+    kb = index.open_index(spark, folder)
+    assert content(kb) == content(index.rebuild(spark, str(root), str(tmp_path / "fresh")))
+    assert told(("reindex", "a.md", None), ("rename", "b.md", "d.md"))["version"] == meta["version"]
