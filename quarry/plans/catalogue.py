@@ -562,13 +562,13 @@ def connection_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A document of the model has one vector, that of its first line, so a walk has one seed.
 GRAPH_SQL = KNN_SQL + f""", seed AS (SELECT d.id AS start_id, c.id AS chunk_id FROM kb_documents d JOIN kb_chunks c ON c.document_id = d.id JOIN kb_vectors v ON v.chunk_id = c.id WHERE d.id % 50 = 0
 ), met AS (SELECT start_id, k.chunk_id, k.rank, least(greatest(1 - distance * distance / 2, 0), 1) AS score FROM seed JOIN knn k ON k.query_id = seed.start_id JOIN kb_chunks c ON c.id = k.chunk_id WHERE k.rank < 10 AND c.document_id <> start_id
-), near AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY rank) AS id FROM met WHERE score >= 0.2)"""
+), reached AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY rank) AS id FROM met WHERE score >= 0.2)"""
 
 
 @register(
     _with(
         """SELECT start_id, CAST(0 AS INTEGER) AS id, CAST(NULL AS INTEGER) AS parent_id, CAST(0 AS INTEGER) AS depth, 1.0::DOUBLE AS score, chunk_id FROM seed
-        UNION ALL SELECT start_id, CAST(id AS INTEGER), 0, 1, round(score, 6), chunk_id FROM near WHERE id <= 5""",
+        UNION ALL SELECT start_id, CAST(id AS INTEGER), 0, 1, round(score, 6), chunk_id FROM reached WHERE id <= 5""",
         GRAPH_SQL,
     )
 )
@@ -579,7 +579,7 @@ def graph_first_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     _with(
-        """SELECT start_id, 1 + count(near.chunk_id) FILTER (id <= 5) AS total_nodes, CAST(1 AS BIGINT) AS knn_queries, CAST(1 AS BIGINT) AS seeds_used, false AS max_seed_chunks, false AS max_nodes FROM seed LEFT JOIN near USING (start_id) GROUP BY 1""",
+        """SELECT start_id, 1 + count(reached.chunk_id) FILTER (id <= 5) AS total_nodes, CAST(1 AS BIGINT) AS knn_queries, CAST(1 AS BIGINT) AS seeds_used, false AS max_seed_chunks, false AS max_nodes FROM seed LEFT JOIN reached USING (start_id) GROUP BY 1""",
         GRAPH_SQL,
     )
 )
