@@ -15,6 +15,7 @@ from quarry.sources.corpus import CORPUS_SQL
 from quarry.sources.index import stored as corpus
 from quarry.sources.files import chunk_rows, parsed
 from quarry.sources.postings import indexed_chunks
+from quarry.storage import durable
 from quarry.streaming.maintain import batch_state, debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -600,6 +601,14 @@ def sweep_metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.metric_table(kb, hits, g, (1, 5, 10)).withColumn("value", F.round("value", 6))
 
 
+@register()
+def tune_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sweep's choice is adopted, with all folds."""
+    kb, g = corpus(spark, sf_dir), _sweep_golden(spark, sf_dir)
+    hits = tuning.sweep(kb, every_query(spark, sf_dir), g, Filters(), 10)
+    return tuning.decide_by_folds(durable(tuning.metric_table(kb, hits, g, (1, 5, 10)), "metrics"))
+
+
 @register("WITH live AS (SELECT user_id, ts, event_id, event_type FROM events WHERE user_id IS NOT NULL), last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM live) SELECT user_id || '.md' AS path, event_id FROM last WHERE n = 1 AND event_type <> 'purchase'")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state that replaying events as file events leads to: a purchase deindexes, all others reindex."""
