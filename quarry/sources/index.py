@@ -7,6 +7,7 @@ id over all revisions; each revision has a serial, from which the ids of its chu
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import replace
@@ -23,7 +24,7 @@ from quarry.operators.maintenance import actions, check_model, hashed_embedder,
 from quarry.sources.cells import open_cells, write_cells
 from quarry.sources.corpus import STRIDE as LINES
 from quarry.sources.corpus import corpus
-from quarry.sources.files import chunk_rows, parsed, scan
+from quarry.sources.files import MOST_RULE_BYTES, chunk_rows, parsed, scan
 from quarry.sources.postings import open_postings, write_postings
 from quarry.storage import drop_tables, durable, hinted, numbered, shared_folder, written
 
@@ -34,6 +35,8 @@ STRIDE = 1 << 20
 MOST_SEGMENTS, MOST_DEAD = 8, 1_000_000
 #: Paths of a batch of events that are looked up one by one; more are a scan of the folder.
 MOST_PATHS = 1000
+#: The file of ignore patterns at the top of a folder.
+IGNORE_FILE = ".quarryignore"
 _built: dict[tuple[str, str], tuple[tuple, Corpus]] = {}
 
 
@@ -151,13 +154,27 @@ def open_index(spark: SparkSession, folder: str, version: int | None = None) ->
     return Corpus(live("documents", F.col("serial")), live("chunks", _serial("id", stride)), cells.rows.select("chunk_id", "embedding"), text, cells)
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """The text of a small file, empty where there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+        return ""
+    if fs.getFileStatus(p).getLen() > MOST_RULE_BYTES:
+        raise ValueError(f"{path} has more than {MOST_RULE_BYTES} bytes")
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _present(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
     return [p for p in paths if (f := _file(spark, f"{root}/{p}"))[0].exists(f[1]) and f[0].getFileStatus(f[1]).isFile()]
 
 
 def rebuild(
     spark: SparkSession, root: str, folder: str, extensions: tuple[str, ...] = ("md",), folders: tuple[str, ...] | None = None, ignore: str = "",
-    embed=hashed_embedder, model: str = "hashed-64", force: bool = False, only: list[str] | None = None,
+    embed=hashed_embedder, model: str = "hashed-64", force: bool = False, only: list[str] | None = None, ignore_file: str = IGNORE_FILE,
 ) -> Corpus:
     """Brings the index under folder to the state of the files under root, and returns it. What was done is counted in meta_of()["counters"].
 
@@ -165,9 +182,15 @@ def rebuild(
     those that could not be read or parsed are skipped and stay as they were. Only renamed, updated and added files are parsed; chunks whose
     text for the embedder is that of a chunk of the same document before keep its vector, only others are embedded. A run that finds nothing
     to do writes nothing. force ends all revisions and parses and embeds everything anew; another model than the index's needs it.
-    only: paths that changed, as a stream of events tells them; all others are taken to be as they were.
+    only: paths that changed, as a stream of events tells them; all others are taken to be as they were, unless the rules changed.
+
+    Rules are what says which files count: extensions, folders, ignore, and the patterns of the file ignore_file under root, which is read
+    at each run. The index keeps their digest, so that the first run under other rules looks at the whole folder.
     """
     old = meta_of(spark, folder)
+    ignore = "\n".join(x for x in (ignore, _text(spark, f"{root}/{ignore_file}")) if x)
+    rules = hashlib.sha256(json.dumps([sorted(extensions), None if folders is None else sorted(folders), ignore]).encode()).hexdigest()
+    only = only if old.get("rules") == rules else None
     if old and not force:
         check_model({"model": old.get("model", ""), "dim": ""}, model, "")
     fresh = not old or force
@@ -199,6 +222,8 @@ def rebuild(
     counters = {"updated": n.get("updated", 0) + n.get("added", 0), "renamed": n.get("renamed", 0), "deleted": acts.get("deleted", 0), "skipped": acts.get("skipped", 0) + refused}
     ended = gone.count()
     if old and not fresh and not n and not ended:
+        if old.get("rules") != rules:
+            _commit(spark, folder, old | {"version": old["version"] + 1, "rules": rules})
         return open_index(spark, folder)
     meta_rows = meta.where("error is null").select("path", "title", "date", "depth", "tags", F.col("topic").alias("own_topic"))
     docs = names.join(disk.select("path", "content_hash", "size_bytes"), "path").join(meta_rows, "path")
@@ -218,7 +243,7 @@ def rebuild(
     new = durable(embed(missing).select("chunk_id", "embedding"), "embedded")
     number = old.get("version", 0) + 1
     buckets = manifest["segments"][0]["buckets"] if manifest["segments"] else None
-    out = dict(manifest, format=FORMAT, version=number, model=model, segments=list(manifest["segments"]), dead=list(manifest["dead"]))
+    out = dict(manifest, format=FORMAT, version=number, model=model, rules=rules, segments=list(manifest["segments"]), dead=list(manifest["dead"]))
     if n or not out["segments"]:
         out["segments"].append(_write_segment(Corpus(docs, chunks, reused.unionByName(new)), folder, number, buckets))
         top = names.agg(F.max("id").alias("id"), F.max("serial").alias("serial")).first()
@@ -245,7 +270,7 @@ def rebuild(
 def compact(spark: SparkSession, folder: str) -> Corpus:
     """The live rows of the index as one segment."""
     old = meta_of(spark, folder)
-    kept = {k: old[k] for k in ("model", "counters", "next_id", "next_serial") if k in old}
+    kept = {k: old[k] for k in ("model", "rules", "counters", "next_id", "next_serial") if k in old}
     return write_index(open_index(spark, folder), folder, kept, old["stride"])
 
 

@@ -163,3 +163,20 @@ def test_a_stream_of_events_keeps_the_index_up(spark, tmp_path):
     kb = index.open_index(spark, folder)
     assert content(kb) == content(index.rebuild(spark, str(root), str(tmp_path / "fresh")))
     assert told(("reindex", "a.md", None), ("rename", "b.md", "d.md"))["version"] == meta["version"]
+
+
+def test_rules_are_read_again(spark, tmp_path):
+    root, folder = tmp_path / "kb", str(tmp_path / "index")
+    put(root, {"a.md": page("One"), "b/x.md": page("Two"), "b/y.md": page("Three")})
+    paths = lambda kb: {r["path"] for r in kb.documents.select("path").collect()}
+    assert paths(index.rebuild(spark, str(root), folder)) == {"a.md", "b/x.md", "b/y.md"}
+    put(root, {".quarryignore": "b/*\n!b/y.md\n"})
+    kb = index.rebuild(spark, str(root), folder, only=["a.md"])  # the rules reach farther than the event
+    assert paths(kb) == {"a.md", "b/y.md"} and index.meta_of(spark, folder)["counters"]["deleted"] == 1
+    (root / "b/x.md").unlink()
+    put(root, {".quarryignore": "nothing/*\n"})
+    version = index.meta_of(spark, folder)["version"]
+    assert paths(index.rebuild(spark, str(root), folder, only=["a.md"])) == {"a.md", "b/y.md"}
+    assert index.meta_of(spark, folder)["version"] == version + 1  # the new rules change nothing but are known now
+    index.rebuild(spark, str(root), folder, only=["a.md"])
+    assert index.meta_of(spark, folder)["version"] == version + 1
