@@ -18,7 +18,7 @@ LISTED = 1000
 
 
 def grams_of(phrase: str) -> list[tuple[str, int]]:
-    """The distinct trigrams of a phrase, each with the offset of its first place, and all other offsets of repeated ones."""
+    """Every trigram of a phrase with its offset."""
     return [(phrase[k : k + 3], k) for k in range(len(phrase) - 2)]
 
 
