@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.operators import retrieval
+from quarry.model import Filters
+from quarry.operators import retrieval, tuning
 from quarry.plans import catalogue
 from quarry.sources import index
 
@@ -55,3 +56,28 @@ def test_only_what_is_asked_for_is_made(spark, tiny, monkeypatch):
     assert catalogue.queries()["group_paths"](spark, tiny).count() == 200
     kb = index.stored(spark, tiny)
     assert kb.text is not None and kb.cells is not None and "chunks" not in vars(kb) and not made
+
+
+@pytest.mark.parametrize("k", [4, 40])
+def test_orders_under_many_weights(spark, k, monkeypatch):
+    words = ["river", "mill", "stone", "grain", "the"]
+    r = np.random.default_rng(9)
+    rows = [(n, "river" if n % 7 == 0 else None, "mill x" if n % 5 == 0 else "x", " ".join([*r.choice(words[:4], int(r.integers(1, 9))), "the" * (n % 9 > 0)])) for n in range(500)]
+    chunks = spark.createDataFrame(rows, "id long, heading string, context_text string, content string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(["river", "mill stone", "stone mill", "grain river mill", "the", "the river", "none here", ""])), "query_id long, query string")
+    triples = [(0.5, 4.0, 1.0), (1.0, 1.0, 1.0), (4.0, 0.5, 2.0)]
+    want = sorted((x["query_id"], x["weight_id"], x["rank"], x["chunk_id"]) for x in retrieval.bm25(chunks, queries, retrieval.weight_table(spark, *triples), k).collect())
+    monkeypatch.setattr(retrieval, "GROUP", 200)
+    monkeypatch.setattr(retrieval, "POOLED", 2)
+    got = []
+    for x in retrieval.text_orders(chunks, queries, triples, k).collect():
+        orders = np.frombuffer(x["orders"], np.int32).reshape(3, k)
+        got += [(x["query_id"], w, n, x["chunks"][at]) for w, own in enumerate(orders) for n, at in enumerate(own) if at >= 0]
+    assert sorted(got) == want and len(want) > 6 * 3 * k * 0.9
+
+
+def test_sweep_metrics_equal_the_table_of_hits(spark, tiny):
+    kb, asked, golden = index.stored(spark, tiny), catalogue.every_query(spark, tiny).where("query_id in (0, 50)"), catalogue._sweep_golden(spark, tiny).where("query_id in (0, 50)")
+    hits = tuning.sweep(kb, asked, golden, Filters(), 10)
+    got, want = (sorted((*x[:4], round(x[4], 9)) for x in t.collect()) for t in (tuning.sweep_metrics(kb, asked, golden, Filters(), 10, (1, 5, 10)), tuning.metric_table(kb, hits, golden, (1, 5, 10))))
+    assert got == want and len(got) == 2 * 384 * 7
