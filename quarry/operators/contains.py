@@ -14,19 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.storage import durable
+from quarry.storage import durable, hinted
 
 #: Characters of a gram, and grams of a run: a needle has to hold one run.
 GRAM, WINDOW = 6, 7
 SHORTEST = GRAM + WINDOW - 1
 
 
-def minimizers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of a text's seeds; none in a text under SHORTEST characters."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _minimizers(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the seeds of texts that lie one after another. ends: for each character where its text ends."""
     n = len(points) - SHORTEST + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         h = np.zeros(len(points) - GRAM + 1, np.uint64)
         for k in range(GRAM):
@@ -38,17 +37,30 @@ def minimizers(text: str) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, WINDOW):
         lower = h[k : k + n] < least  # of equal ones the first
         least, at = np.where(lower, h[k : k + n], least), np.where(lower, np.arange(k, k + n), at)
-    at = np.unique(at)
-    return h[at].view(np.int64), at.astype(np.int32)
+    at = np.unique(at[np.arange(n) + SHORTEST <= ends[:n]])  # a run lies in one text
+    return h[at].view(np.int64), at
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def minimizers(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of a text's seeds; none in a text under SHORTEST characters."""
+    points = _points(text)
+    h, at = _minimizers(points, np.full(len(points), len(points)))
+    return h, at.astype(np.int32)
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            found = [minimizers(t or "") for t in part.column(1).to_pylist()]
-            own = np.repeat(np.arange(part.num_rows), [len(h) for h, _ in found])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(np.concatenate([h for h, _ in found])), pa.array(np.concatenate([a for _, a in found]))], names=["id", "seed", "at"])
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            size = np.array([len(t) for t in texts], np.int64)
+            start, own = np.cumsum(size) - size, np.repeat(np.arange(len(texts)), size)
+            h, at = _minimizers(_points("".join(texts)), (start + size)[own])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own[at])), pa.array(h), pa.array((at - start[own[at]]).astype(np.int32))], names=["id", "seed", "at"])
 
 
 def seeds(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,10 +73,11 @@ def occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
     Ids are unique longs. Needles have SHORTEST characters or more; shorter ones are never found. Both tables are read more than once.
     """
-    own = durable(seeds(texts, "text_id", "text"), "seeds")
     of_needles = seeds(needles, "needle_id", "needle").select(F.col("id").alias("needle_id"), "seed", F.col("at").alias("offset"))
     wanted = durable(of_needles, "needle-seeds")
-    counts = own.join(wanted.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("n"))
+    # no other seed of a text is ever asked for
+    own = durable(seeds(texts, "text_id", "text").join(hinted(wanted.select("seed").distinct()), "seed", "left_semi"), "seeds")
+    counts = own.groupBy("seed").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("needle_id").orderBy("n", "seed", "offset")
     # a needle one of whose seeds stands nowhere is in no text
     keyed = wanted.join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rarest)).where("r = 1 and n > 0")

@@ -81,3 +81,19 @@ def test_sweep_metrics_equal_the_table_of_hits(spark, tiny):
     hits = tuning.sweep(kb, asked, golden, Filters(), 10)
     got, want = (sorted((*x[:4], round(x[4], 9)) for x in t.collect()) for t in (tuning.sweep_metrics(kb, asked, golden, Filters(), 10, (1, 5, 10)), tuning.metric_table(kb, hits, golden, (1, 5, 10))))
     assert got == want and len(got) == 2 * 384 * 7
+
+
+def test_only_seeds_of_needles_are_stored(spark, monkeypatch):
+    from quarry.operators import contains
+
+    kept = {}
+    monkeypatch.setattr(contains, "durable", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    texts = spark.createDataFrame([(n, f"line {n} of a text that nobody quotes, {n * 7919} times") for n in range(200)] + [(200, "and here: a sentence to be found"), (201, ""), (202, "short")], "text_id long, text string")
+    needles = spark.createDataFrame([(1, "a sentence to be found")], "needle_id long, needle string")
+    assert [tuple(x) for x in contains.occurrences(texts, needles).collect()] == [(200, 1, 10, 32)]
+    assert 0 < kept["seeds"].count() < 40
+    rows = contains.seeds(texts, "text_id", "text").collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x["id"], set()).add((x["seed"], x["at"]))
+    assert all(by.get(i, set()) == set(zip(*(c.tolist() for c in contains.minimizers(t)))) for i, t in texts.collect())
