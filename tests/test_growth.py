@@ -97,3 +97,26 @@ def test_only_seeds_of_needles_are_stored(spark, monkeypatch):
     for x in rows:
         by.setdefault(x["id"], set()).add((x["seed"], x["at"]))
     assert all(by.get(i, set()) == set(zip(*(c.tolist() for c in contains.minimizers(t)))) for i, t in texts.collect())
+
+
+def test_texts_are_looked_through_once_before_a_sweep(spark, tiny, monkeypatch):
+    monkeypatch.setattr(retrieval, "LOOKED_UP", 0)
+    kb, asked = index.stored(spark, tiny), catalogue.every_query(spark, tiny)
+    want = {x["query_id"]: x["matches"] for x in retrieval.match_counts(kb.chunks, asked, kb.text).collect()}
+    monkeypatch.setattr(retrieval, "_matching", lambda *a: pytest.fail("a second pass over the texts"))
+    got = {x["query_id"]: x["matches"] for x in tuning.preflight(kb, asked).collect()}
+    assert {q: n for q, n in got.items() if n} == want and want
+
+
+def test_found_terms_take_few_bytes():
+    r = np.random.default_rng(3)
+    found = np.unique(np.stack([r.integers(0, retrieval.SLICE, 40_000), r.integers(0, 5000, 40_000)], 1)[:, ::-1], axis=0)[:, ::-1]
+    found = np.concatenate([found, np.zeros((len(found), 2), np.int64), r.integers(1, 3, (len(found), 1))], 1)
+    blob = retrieval._packed(found)
+    assert (retrieval._hits_in(blob) == found).all() and len(blob) < 7 * len(found)
+    found[5, 3] = 300  # counts of any size
+    assert (retrieval._hits_in(retrieval._packed(found)) == found).all() and len(retrieval._hits_in(retrieval._packed(found[:0]))) == 0
+    words, texts = ["ab", "b c", "bcd"], [["ab b c", None, "", "xab"], [None, "", "b", "cdab"], ["a", "b", "cd", "bcdab c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), *map(pa.array, texts)], names=["chunk_id", "heading", "context", "content"])
+    rows, length = retrieval._occurrences(batch, retrieval._machine(words), retrieval._sizes(words))
+    assert sorted(rows.tolist()) == [[0, 0, 1, 0, 0], [0, 1, 1, 0, 0], [3, 0, 1, 1, 1], [3, 1, 0, 0, 1], [3, 2, 0, 0, 1]] and length.tolist() == [4, 0, 0, 8]
