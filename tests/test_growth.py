@@ -120,3 +120,50 @@ def test_found_terms_take_few_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(4)), *map(pa.array, texts)], names=["chunk_id", "heading", "context", "content"])
     rows, length = retrieval._occurrences(batch, retrieval._machine(words), retrieval._sizes(words))
     assert sorted(rows.tolist()) == [[0, 0, 1, 0, 0], [0, 1, 1, 0, 0], [3, 0, 1, 1, 1], [3, 1, 0, 0, 1], [3, 2, 0, 0, 1]] and length.tolist() == [4, 0, 0, 8]
+
+
+def test_tasks_hand_on_what_is_within_the_edge_of_all(spark, monkeypatch):
+    words = ["river", "mill", "stone", "grain"]
+    r = np.random.default_rng(6)
+    chunks = spark.createDataFrame([(n, None, "x", " ".join(r.choice(words, int(r.integers(1, 30))))) for n in range(2000)], "id long, heading string, context_text string, content string").repartition(8)
+    queries = spark.createDataFrame([(n, " ".join(p)) for n, p in enumerate([["river"], ["mill", "stone"], ["stone", "mill"], ["grain", "river", "mill"]])], "query_id long, query string")
+    vectors = spark.createDataFrame([(n, r.integers(-3, 4, 4).astype(float).tolist()) for n in range(2000)], "chunk_id long, embedding array<double>").repartition(8)
+    near = spark.createDataFrame([(n, r.integers(-3, 4, 4).astype(float).tolist()) for n in range(5)], "query_id long, vector array<double>")
+    weights, handed = retrieval.weight_table(spark, (1.0, 1.0, 1.0), (4.0, 0.5, 0.5)), spark.sparkContext.accumulator(0)
+    run = lambda k: [sorted((*x[:-2], round(x[-2], 12), x[-1]) for x in t.collect()) for t in (retrieval.bm25(chunks, queries, weights, k), retrieval.knn(vectors, near, k))]
+    want = {k: run(k) for k in (64, 100, 1500)}
+    monkeypatch.setattr(retrieval, "MARKED", 0)
+    seen = []
+    flat, edges = retrieval._flat, retrieval._edges
+    monkeypatch.setattr(retrieval, "_edges", lambda *a: seen.append(edges(*a)) or seen[-1])
+
+    def counted(*a):
+        def go(batches):
+            def each():
+                for b in batches:
+                    handed.add(sum(len(x) // 8 for x in b.column(2).to_pylist()))
+                    yield b
+
+            yield from flat(*a)(each())
+
+        return go
+
+    monkeypatch.setattr(retrieval, "_flat", counted)
+    assert run(100) == want[100] and len(seen) == 2 and len(seen[0]) == 6 and len(seen[1]) == 5
+    assert 100 * 11 <= handed.value < 100 * 11 * 2.5
+    assert run(64) == want[64] and run(1500) == want[1500]
+
+
+def test_texts_of_other_chunks_are_not_shuffled(spark, tiny, monkeypatch):
+    from quarry.model import SearchOptions
+    from quarry.plans import search
+
+    kb, asked, options = index.stored(spark, tiny), catalogue.every_query(spark, tiny), SearchOptions(limit=10)
+    monkeypatch.setattr(search, "FEW", 0)
+    want = sorted(map(str, search.search(kb, asked, options).collect()))
+    counted = []
+    monkeypatch.setattr(search, "hinted", lambda df: df)
+    monkeypatch.setattr(search, "picked", lambda *a: counted.append(retrieval.picked(*a)) or counted[-1])
+    monkeypatch.setattr(retrieval, "MOST_IDS", 9)
+    assert sorted(map(str, search.search(kb, asked, options).collect())) == want
+    assert 0 < counted[0].count() <= len(want) < kb.chunks.count()
