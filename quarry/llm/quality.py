@@ -7,13 +7,14 @@ The model is then a sum of weighted conditions, compiled into one column express
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.durable import as_id, free_prefix
+from quarry.llm.durable import as_id
 
 #: Labelled rows used to fit, those with the least hashes of their ids.
 FIT_ROWS = 20_000
@@ -32,14 +33,29 @@ _PER_WORD = {
 _PER_CHAR = {"upper": r"\p{Lu}", "digits": r"[0-9]", "lines": r"\n"}
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Name to column. A null text counts as empty; no ratio is ever null."""
+def counts(text: Column) -> dict[str, Column]:
+    """What statistics are taken from, name to column. A null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
-    chars, words = F.length(text).cast("double"), count(r"\S++")
+    return {"chars": F.length(text).cast("double"), "words": count(r"\S++")} | {k: count(p) for k, p in (_PER_WORD | _PER_CHAR).items()}
+
+
+def ratios(found: dict[str, Column]) -> dict[str, Column]:
+    """Statistics of counts, name to column. No ratio is ever null."""
+    chars, words = found["chars"], found["words"]
     out = {"chars": chars, "words": words, "word_length": chars / F.greatest(words, F.lit(1.0))}
-    out |= {k: count(p) / F.greatest(words, F.lit(1.0)) for k, p in _PER_WORD.items()}
-    return out | {k: count(p) / F.greatest(chars, F.lit(1.0)) for k, p in _PER_CHAR.items()}
+    out |= {k: found[k] / F.greatest(words, F.lit(1.0)) for k in _PER_WORD}
+    return out | {k: found[k] / F.greatest(chars, F.lit(1.0)) for k in _PER_CHAR}
+
+
+def statistics(text: Column) -> dict[str, Column]:
+    return ratios(counts(text))
+
+
+def given(values: dict[str, Column], use: Callable[[dict[str, Column]], Column]) -> Column:
+    """What use() makes of values that stand in the expression once, however often it names them: no plan into which the column is moved repeats them."""
+    one = F.array(F.struct(*(c.alias(k) for k, c in values.items())))
+    return F.transform(one, lambda s: use({k: s[k] for k in values}))[0]
 
 
 @dataclass(frozen=True)
@@ -154,11 +170,7 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id",
     Null and empty texts get a score too. Input columns of any other name stay as they are. A null id counts as not held out. Labels, language, source and id are no inputs of a score.
     """
     names = ["held_out", "score", "predicted"]
-    stats = statistics(F.col(f"`{text_col}`"))
-    mark = free_prefix(docs, [*stats, "held"])
-    temporary = {k: f"{mark}{k}" for k in stats}
     held = F.coalesce(F.crc32(as_id(F.col(f"`{id_col}`")).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    out = docs.withColumns({temporary[k]: c for k, c in stats.items()} | {f"{mark}held": held})  # id and text may be columns that are replaced
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    out = out.select(*rest, *temporary.values(), F.col(f"{mark}held").alias("held_out")).withColumn("score", model.score({k: F.col(v) for k, v in temporary.items()}))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*temporary.values())
+    score = given(counts(F.col(f"`{text_col}`")), lambda n: given(ratios(n), model.score))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    return docs.select(*rest, held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

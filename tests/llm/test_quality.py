@@ -49,3 +49,14 @@ def test_rules_are_sparse():
     for rule in model.rules:
         z += rule.weight * np.all([(x[:, "abcdef".index(n)] > b) == up for n, up, b in rule.conditions], axis=0)
     assert np.mean((z > 0) == (y > 0)) > 0.97 and len(model.rules) < 80
+
+
+def test_a_filter_on_predicted_counts_once(spark, tiny):
+    """However many rules there are, a filter that Spark moves below the score has each pattern once, and its code stays small."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rules = tuple(Q.Rule((("bars", True, k / 100), ("numbers", False, k / 50)), 0.1) for k in range(40))
+    scored = Q.score_quality(docs, Q.RuleEnsemble(0.5, rules))
+    kept = scored.where("predicted = 1").select(*docs.columns)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (Q._PER_WORD["bars"], Q._PER_WORD["numbers"])] == [1, 1]
+    assert kept.count() == sum(r["predicted"] for r in scored.select("predicted").collect())
