@@ -167,3 +167,64 @@ def test_texts_of_other_chunks_are_not_shuffled(spark, tiny, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_IDS", 9)
     assert sorted(map(str, search.search(kb, asked, options).collect())) == want
     assert 0 < counted[0].count() <= len(want) < kb.chunks.count()
+
+
+def test_heads_of_lists_are_scored_and_no_more():
+    r = np.random.default_rng(11)
+    chunks, terms, k = 20_000, 12, 10
+    found = np.concatenate([np.stack([np.sort(r.choice(chunks, n, replace=False)), np.full(n, t)], 1) for t, n in enumerate(r.integers(3, 9000, terms))])
+    found = np.concatenate([found, r.integers(0, 2, (len(found), 2)), r.integers(1, 6, (len(found), 1))], 1)
+    length, idf = r.integers(20, 900, chunks), r.uniform(0.1, 6, terms)
+    idf[3] = 1e-6
+    uses = [(q, r.choice(terms, int(r.integers(1, 5)), replace=False).tolist()) for q in range(40)]
+    best, seen = retrieval._Best(idf, 300.0, uses, [(0, 2.0, 1.0, 1.0)], k), []
+    scored = retrieval._Lists.scored
+    retrieval._Lists.scored = lambda self, *a: (seen.append(len(x[1])) or x for x in scored(self, *a))
+    try:
+        for low in (0, 5000):  # two groups
+            own = found[(found[:, 0] >= low) & (found[:, 0] < (5000 if low == 0 else chunks))]
+            list(best.add(np.arange(low, chunks), length[low:], own - [low, 0, 0, 0, 0]))
+    finally:
+        retrieval._Lists.scored = scored
+    got = {b.column(0)[0].as_py(): (np.frombuffer(b.column(2)[0].as_py(), np.int64), np.frombuffer(b.column(3)[0].as_py())) for b in best.handed()}
+    everything = 0
+    for q, own in uses:
+        total = np.zeros(chunks)
+        for t in own:
+            rows = found[found[:, 1] == t]
+            total[rows[:, 0]] += best.worth(rows[:, 2:] @ np.array([2.0, 1.0, 1.0]), length[rows[:, 0]], t)
+        some = np.flatnonzero(total)
+        everything += len(some)
+        want = some[np.lexsort((some, -np.round(total[some], 9)))[:k]]
+        assert got[q][0].tolist() == want.tolist() and np.allclose(-got[q][1], total[want], atol=1e-12)
+    assert sum(seen) < everything / 4
+
+
+def test_a_golden_set_is_made_once_and_judged_without_a_frame_for_each_query(spark, tiny):
+    from quarry.operators import evaluation
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    golden = catalogue.golden_set(spark, tiny).localCheckpoint()
+    run = evaluation.evaluate(index.stored(spark, tiny), golden.mapInArrow(counted, golden.schema))
+    assert run.metrics.count() > 0 and made.value == golden.count()
+    assert "FlatMapGroups" not in run.metrics._jdf.queryExecution().toString()
+
+
+def test_placeholders_are_told_as_by_the_pattern_alone(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions.text import BOILERPLATE, is_boilerplate
+
+    tails = ["", ".", "。", ", , ", "\t", " . . . . . . . . . . . . ", ".x", "............x", " x", "x.............."]
+    texts = [(f"{pad}{b}{tail}",) for b in (*BOILERPLATE, "todo", "coming soon", "", "12 characters", "eleven char") for tail in tails for pad in ("", "  ", "\t", "a")] + [(None,)]
+    bare = F.regexp_replace(F.trim("t"), r"[.。、, \t]+$", "")
+    rows = spark.createDataFrame(texts, "t string").select("t", is_boilerplate(F.col("t")), F.upper(bare).isin([b.upper() for b in BOILERPLATE])).collect()
+    assert all(a == b for _, a, b in rows) and sum(bool(a) for _, a, _ in rows) > 100
+    plan = spark.createDataFrame(texts, "t string").where(is_boilerplate(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "substring(" in plan  # what tells most texts without the pattern
