@@ -228,3 +228,21 @@ def test_placeholders_are_told_as_by_the_pattern_alone(spark):
     assert all(a == b for _, a, b in rows) and sum(bool(a) for _, a, _ in rows) > 100
     plan = spark.createDataFrame(texts, "t string").where(is_boilerplate(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "substring(" in plan  # what tells most texts without the pattern
+
+
+@pytest.mark.parametrize("table", [1 << 24, 0])
+@pytest.mark.parametrize("least", [1, 3])
+def test_phrases_are_found_without_an_object_for_each_place(table, least, monkeypatch):
+    monkeypatch.setattr(retrieval, "PIECE", 7)
+    monkeypatch.setattr(retrieval, "TABLE", table)
+    r = np.random.default_rng(4)
+    draw = lambda low, high: "".join(r.choice(list("abé 語x"), int(r.integers(low, high))))
+    terms = list(dict.fromkeys(draw(least, 6) for _ in range(60)))
+    fields = [[None if r.random() < 0.2 else draw(0, 40) for _ in range(50)] for _ in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(-3, 47)), *(pa.array([*"abc", *f], pa.string())[3:] for f in fields)], names=["chunk_id", "heading", "context", "content"])
+    got, length = retrieval._occurrences(batch, retrieval._machine(terms), retrieval._sizes(terms))
+    count = lambda text, t: sum(text.startswith(t, k) for k in range(len(text)))
+    want = [[n, t, *c] for n in range(50) for t, x in enumerate(terms) if any(c := [count(f[n] or "", x) for f in fields])]
+    assert sorted(got.tolist()) == sorted(want) and length.tolist() == [sum(max(len(f[n] or "") - 2, 0) for f in fields) for n in range(50)]
+    assert not hasattr(retrieval._machine(terms), "iter")
+    assert retrieval._occurrences(batch[:0], retrieval._machine(terms), retrieval._sizes(terms))[0].shape == (0, 5)
