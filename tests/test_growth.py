@@ -246,3 +246,39 @@ def test_phrases_are_found_without_an_object_for_each_place(table, least, monkey
     assert sorted(got.tolist()) == sorted(want) and length.tolist() == [sum(max(len(f[n] or "") - 2, 0) for f in fields) for n in range(50)]
     assert not hasattr(retrieval._machine(terms), "iter")
     assert retrieval._occurrences(batch[:0], retrieval._machine(terms), retrieval._sizes(terms))[0].shape == (0, 5)
+
+
+def test_a_query_is_scored_once_for_weights_that_its_fields_do_not_tell_apart(spark, monkeypatch):
+    rows = [(n, "mill" if n % 7 == 0 else None, "stone" if n % 5 == 0 else "x", "river " * (n % 4) + "mill stone grain") for n in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, heading string, context_text string, content string")
+    queries = spark.createDataFrame(list(enumerate(["river", "grain river", "stone", "mill stone", "none here"])), "query_id long, query string")
+    triples = [(h, x, c) for h in (0.5, 2.0) for x in (1.0, 4.0) for c in (0.5, 1.0)]
+    want = sorted((x["query_id"], x["weight_id"], x["rank"], x["chunk_id"]) for x in retrieval.bm25(chunks, queries, retrieval.weight_table(spark, *triples), 9).collect())
+    seen, bests = {}, retrieval._bests
+    monkeypatch.setattr(retrieval, "_bests", lambda found, k, idf, mean, uses, weights: seen.update({q: len(weights) for q, _ in uses}) or bests(found, k, idf, mean, uses, weights))
+    got = []
+    for x in retrieval.text_orders(chunks, queries, triples, 9).collect():
+        got += [(x["query_id"], w, n, x["chunks"][at]) for w, own in enumerate(np.frombuffer(x["orders"], np.int32).reshape(8, 9)) for n, at in enumerate(own) if at >= 0]
+    assert sorted(got) == want and seen == {0: 2, 1: 2, 2: 4, 3: 8}
+
+
+def test_a_pass_lists_only_the_terms_of_its_queries():
+    r = np.random.default_rng(3)
+    terms = [f"term{t:02d}x" for t in range(12)]
+    texts = [" ".join(r.choice(terms, 9)) for _ in range(200)] + ["term00x"] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.nulls(300, pa.string()), pa.nulls(300, pa.string()), pa.array(texts)], names=["chunk_id", "heading", "context", "content"])
+    stored = list(retrieval._finder(terms)(iter([batch])))
+    uses, seen, add = [(q, [q % 12, (q + 1 + q // 12) % 12]) for q in range(24)], [], retrieval._Best.add_lists
+    retrieval._Best.add_lists = lambda self, keys, length, row, *a: seen.append(len(row)) or add(self, keys, length, row, *a)
+    try:
+        run = lambda some: [(q, c, x) for b in retrieval._scores(np.ones(12), 50.0, some, [(0, 1.0, 1.0, 1.0)], 7)(iter(stored)) for q, _, c, x in zip(*(col.to_pylist() for col in b.columns), strict=True)]
+        want, (all_rows,) = run(uses), seen
+        assert sorted(run(uses[:1]) + run(uses[1:])) == sorted(want)
+    finally:
+        retrieval._Best.add_lists = add
+    own = [sum(f"term{t:02d}x" in x for x in texts) for t in uses[0][1]]
+    assert seen[1] == sum(own) < all_rows / 3
+    counted = {t: sum(f"term{t:02d}x" in x for x in texts) for t in range(12)}
+    parts = list(retrieval._passes(uses, counted, 6))
+    assert sorted(u for p in parts for u in p) == sorted(uses) and all(len(p) == 6 for p in parts)
+    assert sum(any(0 in own for _, own in p) for p in parts) == 1  # the most frequent term is read once
